@@ -18,12 +18,11 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from freshet.config import TARGET_BAND
 from freshet.functions.naming import band_name, band_time, file_time, has_band_name, month_start
 
-TILE_SCHEMA = T.StructType.fromDDL(
+TILE_SCHEMA = (
     "path string, band_idx int, band_desc string, height int, width int, crs string, "
     "transform array<double>, nodata double, values array<float>"
 )
@@ -158,9 +157,9 @@ def pixel_series(
     return cube_rows(tiles, bands, stride, max_files).dropna(subset=list(bands))
 
 
-def value_grid(tiles: DataFrame, name: str = "p95", stride: int = 1) -> DataFrame:
-    """A one-band raster as ``pixel_id, y_idx, x_idx, <name>``."""
-    return _cells(tiles.select("width", F.col("values").alias(name)), [name], stride, [])
+def value_grid(tiles: DataFrame, name: str = "p95", stride: int = 1, carry: Sequence[str] = ()) -> DataFrame:
+    """One-band rasters as ``pixel_id, y_idx, x_idx, <name>`` (and the carried columns)."""
+    return _cells(tiles.select(*carry, "width", F.col("values").alias(name)), [name], stride, carry)
 
 
 def percentile_grids(layers: dict[str, DataFrame], stride: int = 1) -> DataFrame:
