@@ -77,7 +77,7 @@ def sigmoid_target(x, p95, slope: float = 2.0, offset: float = 0.0) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-slope) * (x - (mid + F.lit(offset)))))
 
 
-def is_event(y: Column | str, cutoff: float = 0.5) -> Column:
+def is_event(y: Column | str, cutoff: float | Column = 0.5) -> Column:
     """1 when strictly above the cut-off, else 0."""
     return (_double(y) > F.lit(cutoff)).cast("int")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,86 +24,98 @@ def threshold_grid(resolution: int = 200) -> list[float]:
 
 
 def threshold_curve(
-    df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", resolution: int = 200, cutoff: float = 0.5
+    df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", resolution: int = 200,
+    cutoff: float = 0.5, by: Sequence[str] = (),
 ) -> DataFrame:
     """Confusion counts at every grid threshold from one pass over the predictions.
 
     A prediction exceeds the first ``b`` thresholds and no more, so counting rows per ``b``
-    (at most ``resolution + 1`` groups) holds all curves; the rest is a suffix sum.
+    (at most ``resolution + 1`` per group) holds all curves; the rest is a suffix sum.
     """
-    grid = threshold_grid(resolution)
-    cuts = F.array(*[F.lit(t) for t in grid])
-    rows = df.select(is_event(y_true, cutoff).alias("e"), clip(y_pred).alias("p")).dropna()
-    hist = rows.groupBy(bucket_of(F.col("p"), cuts, resolution).alias("b")).agg(
+    cuts = F.array(*[F.lit(t) for t in threshold_grid(resolution)])
+    rows = df.select(*by, is_event(y_true, cutoff).alias("e"), clip(y_pred).alias("p")).dropna(subset=["e", "p"])
+    hist = rows.groupBy(*by, bucket_of(F.col("p"), cuts, resolution).alias("b")).agg(
         F.sum("e").alias("pos"), F.sum(1 - F.col("e")).alias("neg")
     )
-    spark = df.sparkSession
-    ladder = spark.range(resolution + 1).select(
-        F.col("id").cast("int").alias("b"),
-        F.when(F.col("id") > 0, F.element_at(cuts, F.greatest(F.col("id").cast("int"), F.lit(1)))).alias("threshold"),
+    # One row per (group, b): the histogram as a map, read at every step of the ladder.
+    packed = hist.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("b", F.struct("pos", "neg")))).alias("h")
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
-    full = ladder.join(F.broadcast(hist), "b", "left").select(
-        "b", "threshold", zero("pos").alias("pos"), zero("neg").alias("neg"), F.lit(0).alias("_k")
+    full = packed.select(
+        *by, F.lit(0).alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(resolution))).alias("b"), "h"
+    ).select(
+        *by, "_k", "b",
+        F.coalesce(F.try_element_at("h", F.col("b"))["pos"], F.lit(0)).cast("double").alias("pos"),
+        F.coalesce(F.try_element_at("h", F.col("b"))["neg"], F.lit(0)).cast("double").alias("neg"),
     )
-    above = Window.partitionBy("_k").orderBy(F.desc("b"))
-    whole = Window.partitionBy("_k")
+    whole = Window.partitionBy(*by, "_k")
+    above = whole.orderBy(F.desc("b"))
     tp, fp = F.sum("pos").over(above), F.sum("neg").over(above)
     P, N = F.sum("pos").over(whole), F.sum("neg").over(whole)
+    at = F.when(F.col("b") > 0, F.element_at(cuts, F.greatest(F.col("b"), F.lit(1))))
     return full.select(
-        "b", "threshold", tp.alias("tp"), fp.alias("fp"), (P - tp).alias("fn"), (N - fp).alias("tn")
+        *by, "b", at.alias("threshold"),
+        tp.alias("tp"), fp.alias("fp"), (P - tp).alias("fn"), (N - fp).alias("tn"),
     )
 
 
 def calibrate(
     df: DataFrame, method: str = "f1", y_true: str = "y_true", y_pred: str = "y_pred",
-    resolution: int = 200, cutoff: float = 0.5,
+    resolution: int = 200, cutoff: float = 0.5, by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row ``(threshold, score)``: the first best threshold, 0.5 if one class is missing."""
+    """``(threshold, score)`` per group: the first best threshold, 0.5 if one class is missing."""
     if method not in METHODS:
         raise ValueError(f"unknown calibration method {method!r}; choose from {METHODS}")
     if method == "pr_auc":
-        return _calibrate_on_curve(df, y_true, y_pred, cutoff)
-    c = threshold_curve(df, y_true, y_pred, resolution, cutoff)
+        scored = _curve_scores(df, y_true, y_pred, cutoff, by)
+    else:
+        scored = _grid_scores(df, method, y_true, y_pred, resolution, cutoff, by)
+    chosen = scored.select(
+        *by,
+        F.when(F.col("both"), F.col("threshold")).otherwise(DEFAULT_THRESHOLD).alias("threshold"),
+        F.when(F.col("both"), F.col("score")).alias("score"),
+    )
+    best = [F.desc_nulls_last("score"), F.asc("threshold")]
+    if not by:
+        return chosen.orderBy(*best).limit(1)
+    # Limited per task before the shuffle, so a group never gathers in one place.
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*best))
+    return chosen.withColumn("_r", rank).filter("_r = 1").drop("_r")
+
+
+def _grid_scores(df, method, y_true, y_pred, resolution, cutoff, by) -> DataFrame:
+    c = threshold_curve(df, y_true, y_pred, resolution, cutoff, by).filter("b > 0")
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     if method == "f1":
         score = F.when(2 * tp + fp + fn > 0, 2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0.0))).otherwise(0.0)
     else:
         score = tp / F.greatest(tp + fn, F.lit(1.0)) + tn / F.greatest(tn + fp, F.lit(1.0)) - 1
     both = (tp + fn > 0) & (tn + fp > 0)
-    return (
-        c.filter("b > 0")
-        .select(
-            F.when(both, F.col("threshold")).otherwise(DEFAULT_THRESHOLD).alias("threshold"),
-            F.when(both, score).alias("score"),
-        )
-        .orderBy(F.desc_nulls_last("score"), "threshold")
-        .limit(1)
-    )
+    return c.select(*by, "threshold", score.alias("score"), both.alias("both"))
 
 
-def _calibrate_on_curve(df: DataFrame, y_true: str, y_pred: str, cutoff: float) -> DataFrame:
-    """Best F1 over the distinct scores, counting ``>=``; the lowest score wins ties."""
-    cols = is_event(y_true, cutoff), clip(y_pred)
-    n = df.select(cols[0].alias("e"), cols[1].alias("p")).dropna().agg(F.sum("e").alias("pos"), F.count("e").alias("n")).first()
-    pos, total = n["pos"] or 0, n["n"]
-    if pos in (0, total):
-        return df.sparkSession.range(1).select(
-            F.lit(DEFAULT_THRESHOLD).alias("threshold"), F.lit(None).cast("double").alias("score")
-        )
+def _curve_scores(df, y_true, y_pred, cutoff, by) -> DataFrame:
+    """F1 at the distinct scores, counting ``>=``; the lowest score wins ties."""
+    rows = df.select(*by, is_event(y_true, cutoff).alias("e"), clip(y_pred).alias("p")).dropna(subset=["e", "p"])
+    sizes = rows.groupBy(*by).agg(
+        F.sum("e").cast("double").alias("_pos"), F.sum(1 - F.col("e")).cast("double").alias("_neg")
+    )
+    steps = score_steps(df, y_true, y_pred, cutoff, by)
+    if by:
+        steps = steps.join(sizes, list(by))
+    else:
+        total = sizes.first()
+        steps = steps.withColumns({"_pos": F.lit(total["_pos"] or 0.0), "_neg": F.lit(total["_neg"] or 0.0)})
     precision = F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
-    recall = F.col("cum_tp") / F.lit(float(pos))
+    recall = F.col("cum_tp") / F.greatest(F.col("_pos"), F.lit(1.0))
     f1 = 2 * precision * recall / F.greatest(precision + recall, F.lit(1e-8))
-    return (
-        score_steps(df, y_true, y_pred, cutoff)
-        .select(F.col("score").alias("threshold"), f1.alias("score"))
-        .orderBy(F.desc("score"), "threshold")
-        .limit(1)
-    )
+    both = (F.col("_pos") > 0) & (F.col("_neg") > 0)
+    return steps.select(*by, F.col("score").alias("threshold"), f1.alias("score"), both.alias("both"))
 
 
 def best_threshold(df: DataFrame, method: str = "f1", **kw) -> float:
-    return float(calibrate(df, method, **kw).first()["threshold"])
+    row = calibrate(df, method, **kw).first()
+    return float(row["threshold"]) if row else DEFAULT_THRESHOLD
 
 
 def classify(df: DataFrame, threshold: float, y_pred: str = "y_pred", out: str = "alert") -> DataFrame:
@@ -112,8 +125,9 @@ def classify(df: DataFrame, threshold: float, y_pred: str = "y_pred", out: str =
 def confusion_matrix(
     df: DataFrame, threshold: float, y_true: str = "y_true", y_pred: str = "y_pred", cutoff: float = 0.5
 ) -> DataFrame:
-    cols = metric_columns(y_true, y_pred, threshold, cutoff)
-    return df.agg(*[cols[n].cast("long").alias(n) for n in ("tn", "fp", "fn", "tp")])
+    names = ("tn", "fp", "fn", "tp")
+    counts = df.agg(*metric_columns(names, y_true, y_pred, threshold, cutoff))
+    return counts.select(*[F.col(n).cast("long").alias(n) for n in names])
 
 
 def by_intensity(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -133,11 +147,10 @@ def by_season(
     df: DataFrame, threshold: float, y_true: str = "y_true", y_pred: str = "y_pred",
     time: str = "time", cutoff: float = 0.5,
 ) -> DataFrame:
-    cols = metric_columns(y_true, y_pred, threshold, cutoff)
     return df.groupBy(season(time).alias("season")).agg(
         F.count(F.lit(1)).alias("count"),
         F.avg(is_event(y_true, cutoff)).alias("anomaly_rate"),
-        *[cols[n].alias(n) for n in ("precision", "recall", "f1")],
+        *metric_columns(("precision", "recall", "f1"), y_true, y_pred, threshold, cutoff),
     )
 
 

@@ -22,38 +22,51 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
 
-def metric_columns(y_true: str, y_pred: str, threshold: float = 0.5, cutoff: float | None = None) -> dict[str, Column]:
-    """Aggregate expressions by metric name.
+def metric_columns(
+    names: Sequence[str], y_true: str, y_pred: str, threshold: float | Column = 0.5, cutoff: float | None = None
+) -> list[Column]:
+    """Aggregate expressions for the named metrics.
 
     ``threshold`` classifies predictions, ``cutoff`` (same by default) the truth.
     """
-    cutoff = threshold if cutoff is None else cutoff
     y, p = F.col(y_true).cast("double"), clip(y_pred)
-    event, flag = is_event(y, cutoff), is_event(p, threshold)
-    q = clip(p, 1e-7, 1.0 - 1e-7)
+    event, flag = is_event(y, threshold if cutoff is None else cutoff), is_event(p, threshold)
     err = y - p
-    size = F.abs(y) + F.abs(p)
-    tp = F.count_if((event == 1) & (flag == 1)).cast("double")
-    fp = F.count_if((event == 0) & (flag == 1)).cast("double")
-    fn = F.count_if((event == 1) & (flag == 0)).cast("double")
-    tn = F.count_if((event == 0) & (flag == 0)).cast("double")
-    sse, sst = F.sum(err * err), F.var_pop(y) * F.count(y)
-    return {
-        "n": F.count(err),
-        "brier": F.avg((event - p) * (event - p)),
-        "rmse": F.sqrt(F.avg(err * err)),
-        "mae": F.avg(F.abs(err)),
-        "r2": F.when(sst > 0, 1 - sse / F.nullif(sst, F.lit(0.0))).when(sse == 0, 1.0).otherwise(0.0),
-        "smape": F.coalesce(200.0 * F.avg(F.when(size > 1e-12, F.abs(err) / F.greatest(size, F.lit(1e-12)))), F.lit(0.0)),
-        "log_loss": F.avg(-F.when(event == 1, F.ln(q)).otherwise(F.ln(1 - q))),
+
+    def cell(e: int, h: int) -> Column:
+        return F.count_if((event == e) & (flag == h)).cast("double")
+
+    def r2() -> Column:
+        sse, sst = F.sum(err * err), F.var_pop(y) * F.count(y)
+        return F.when(sst > 0, 1 - sse / F.nullif(sst, F.lit(0.0))).when(sse == 0, 1.0).otherwise(0.0)
+
+    def smape() -> Column:
+        size = F.abs(y) + F.abs(p)
+        part = F.when(size > 1e-12, F.abs(err) / F.greatest(size, F.lit(1e-12)))
+        return F.coalesce(200.0 * F.avg(part), F.lit(0.0))
+
+    def log_loss() -> Column:
+        q = clip(p, 1e-7, 1.0 - 1e-7)
+        return F.avg(-F.when(event == 1, F.ln(q)).otherwise(F.ln(1 - q)))
+
+    tp, fp, tn, fn = (lambda e=e, h=h: cell(e, h) for e, h in ((1, 1), (0, 1), (0, 0), (1, 0)))
+    makers = {
+        "n": lambda: F.count(err),
+        "brier": lambda: F.avg((event - p) * (event - p)),
+        "rmse": lambda: F.sqrt(F.avg(err * err)),
+        "mae": lambda: F.avg(F.abs(err)),
+        "r2": r2,
+        "smape": smape,
+        "log_loss": log_loss,
         "tp": tp, "fp": fp, "tn": tn, "fn": fn,
-        "accuracy": _ratio(tp + tn, tp + tn + fp + fn),
-        "precision": _ratio(tp, tp + fp),
-        "recall": _ratio(tp, tp + fn),
-        "f1": _ratio(2 * tp, 2 * tp + fp + fn),
-        "fpr": fp / F.greatest(fp + tn, F.lit(1.0)),
-        "fnr": fn / F.greatest(fn + tp, F.lit(1.0)),
+        "accuracy": lambda: F.avg((event == flag).cast("double")),
+        "precision": lambda: _ratio(tp(), tp() + fp()),
+        "recall": lambda: _ratio(tp(), tp() + fn()),
+        "f1": lambda: _ratio(2 * tp(), 2 * tp() + fp() + fn()),
+        "fpr": lambda: fp() / F.greatest(fp() + tn(), F.lit(1.0)),
+        "fnr": lambda: fn() / F.greatest(fn() + tp(), F.lit(1.0)),
     }
+    return [makers[n]().alias(n) for n in names]
 
 
 SCALARS = ("brier", "rmse", "mae", "r2", "smape", "accuracy", "precision", "recall", "f1", "log_loss", "fpr")
@@ -65,8 +78,7 @@ def scalar_metrics(
     names: Sequence[str] = SCALARS, by: Sequence[str] = (), cutoff: float | None = None,
 ) -> DataFrame:
     """Chosen metrics, one row (per group), in one aggregate."""
-    cols = metric_columns(y_true, y_pred, threshold, cutoff)
-    return df.groupBy(*by).agg(*[cols[n].alias(n) for n in names])
+    return df.groupBy(*by).agg(*metric_columns(names, y_true, y_pred, threshold, cutoff))
 
 
 def score_steps(
@@ -118,11 +130,13 @@ def evaluate(
 
 
 def anomaly_metrics(
-    df: DataFrame, threshold: float, y_true: str = "y_true", y_pred: str = "y_pred", cutoff: float = 0.5
+    df: DataFrame, threshold: float | Column, y_true: str = "y_true", y_pred: str = "y_pred",
+    cutoff: float = 0.5, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Confusion counts, rates and ranking metrics at a decision threshold."""
-    return _beside(
-        scalar_metrics(df, y_true, y_pred, threshold, ANOMALY, cutoff=cutoff).withColumn("threshold", F.lit(float(threshold))),
-        ranking_metrics(df, y_true, y_pred, cutoff, roc="roc_auc"),
-        (),
-    )
+    """Confusion counts, rates and ranking metrics at a decision threshold.
+
+    ``threshold`` may be a column, for groups with thresholds of their own.
+    """
+    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    scalars = df.groupBy(*by).agg(F.max(t).alias("threshold"), *metric_columns(ANOMALY, y_true, y_pred, t, cutoff))
+    return _beside(scalars, ranking_metrics(df, y_true, y_pred, cutoff, by, roc="roc_auc"), by)

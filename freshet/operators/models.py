@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from freshet.functions.scores import clip
 from freshet.operators.gramian import bayesian_ridge, moments, partial_least_squares
 from freshet.operators.neighbours import knn_predict
-from freshet.operators.quantiles import exact_percentiles
+from freshet.operators.quantiles import exact_percentiles, percentile_array
 
 PRED = "y_pred"
 _VEC = "_features"
@@ -189,8 +189,8 @@ def fit_transformed_ridge(df, features, label, params, seed):
     n = df.count()
     knots = min(params["n_quantiles"], n)
     refs = [i / (knots - 1) if knots > 1 else 0.5 for i in range(knots)]
-    row = exact_percentiles(df, [], label, {f"k{i}": r for i, r in enumerate(refs)}).first()
-    values, refs = np.array([row[f"k{i}"] for i in range(knots)], dtype=float), np.array(refs)
+    levels = percentile_array(df, [], label, refs).first()["levels"]
+    values, refs = np.array(levels, dtype=float), np.array(refs)
     normal = NormalDist()
     edge = 1e-7
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.runtime import pin
+
 MAX_PIVOTS = 256
 BLOCK_ROWS = 4096
 
@@ -64,7 +66,8 @@ def nearest(
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": cell, "d": d[np.arange(len(d)), cell]})
 
-    placed = t.withColumn("_a", assign("tv")).select("tid", "tv", "ty", "_a.cell", "_a.d")
+    # Read once per visit and for the cell sizes: worth a file instead of recomputing.
+    placed = pin(t.withColumn("_a", assign("tv")).select("tid", "tv", "ty", "_a.cell", "_a.d"))
     stats = {
         r["cell"]: (r["n"], r["lo"], r["hi"])
         for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.ordering import with_running_total
+from freshet.operators.ordering import bucket_of, with_running_total
 from freshet.runtime import Limits, is_small
 
 
@@ -30,44 +30,48 @@ def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs``; NULL values are skipped."""
+    levels = percentile_array(df, keys, value, list(probs.values()))
+    return levels.select(*keys, *[F.get("levels", F.lit(i)).alias(n) for i, n in enumerate(probs)])
+
+
+def percentile_array(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Like ``exact_percentiles``, as one array column ``levels`` in the order of ``probs``."""
     keys = list(keys)
+    probs = [float(p) for p in probs]
     slim = df.select(*keys, F.col(value).cast("double").alias("_v"))
     if groups_fit_memory(slim, keys):
-        levels = F.array(*[F.lit(float(p)) for p in probs.values()])
-        return (
-            slim.groupBy(*keys)
-            .agg(F.percentile("_v", levels).alias("_q"))
-            .select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
-        )
+        return slim.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, probs))).alias("levels"))
     return _by_rank(slim, keys, probs)
 
 
-def _by_rank(slim: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+def _by_rank(slim: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    if not keys:
+        return _by_rank(slim.withColumn("_k", F.lit(0)), ["_k"], probs).drop("_k")
     counted = slim.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     sizes = slim.groupBy(*keys).agg(F.count("_v").alias("_total"))
-    ranked = with_running_total(counted, keys, "_v", {"_cum": "_n"})
-    # The totals are joined after a filter-free pass; a huge group's side is split by AQE's
-    # skew join, and the table of totals has one row per group.
-    placed = ranked.join(sizes, keys) if keys else ranked.withColumn("_total", F.lit(_total(sizes)))
-    aggs, outs = [], []
-    for i, (name, p) in enumerate(probs.items()):
-        h = (F.col("_total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
-        holds = lambda r: (F.col("_cum") >= r) & (F.col("_cum") - F.col("_n") < r)
-        aggs += [
-            F.max(F.when(holds(lo), F.col("_v"))).alias(f"_lo{i}"),
-            F.max(F.when(holds(hi), F.col("_v"))).alias(f"_hi{i}"),
-        ]
-        hq = (F.col("_t") - 1) * F.lit(float(p))
-        outs.append(
-            F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}"))
-            .otherwise(F.col(f"_lo{i}") * (F.ceil(hq) - hq) + F.col(f"_hi{i}") * (hq - F.floor(hq)))
-            .alias(name)
-        )
-    found = placed.groupBy(*keys).agg(*aggs, F.max("_total").alias("_t")).select(*keys, *outs)
-    # Groups without any value keep their row, with NULLs.
-    return sizes.select(*keys).join(found, keys, "left") if keys else found
-
+    ranked = with_running_total(counted, keys, "_v", {"_cum": "_n"}).join(sizes, keys)
 
-def _total(sizes: DataFrame) -> int:
-    return sizes.first()[0] or 0
+    # A row stands for ranks (cum - n, cum]. It matters to a level with fractional position h
+    # exactly when cum - n - 1 < h < cum; a binary search finds those levels, if any.
+    order = sorted(range(len(probs)), key=probs.__getitem__)
+    asc = F.array(*[F.lit(probs[i]) for i in order])
+    span = F.greatest(F.col("_total") - 1, F.lit(1)).cast("double")
+    slack = 1e-9
+    first = bucket_of((F.col("_cum") - F.col("_n") - 1) / span - slack, asc, len(probs))
+    last = bucket_of(F.col("_cum") / span + slack, asc, len(probs))
+    near = ranked.select(
+        *keys, "_v", "_n", "_cum", "_total",
+        F.explode(F.slice(F.arrays_zip(asc.alias("p"), F.array(*map(F.lit, order)).alias("i")), first + 1, last - first)).alias("_l"),
+    )
+    h = (F.col("_total") - 1) * F.col("_l.p")
+    near = near.withColumn("_h", h).filter((F.col("_h") > F.col("_cum") - F.col("_n") - 1) & (F.col("_h") < F.col("_cum")))
+    part = F.col("_h") - F.floor("_h")
+    value = F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise(
+        F.min("_v") * (1 - F.max(part)) + F.max("_v") * F.max(part)
+    )
+    found = near.groupBy(*keys, F.col("_l.i").alias("_i")).agg(value.alias("_q"))
+    # At most one row per level and group from here on.
+    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_s"))
+    listed = listed.select(*keys, F.transform("_s", lambda r: r["_q"]).alias("levels"))
+    # Groups without any value keep their row, with NULL.
+    return sizes.select(*keys).join(listed, keys, "left")

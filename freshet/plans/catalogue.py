@@ -23,6 +23,7 @@ from freshet.operators.neighbours import knn_predict
 from freshet.operators.patches import build_patches
 from freshet.operators.sampling import hash_sample
 from freshet.plans import series as src
+from freshet.runtime import pin
 from freshet.sources import tiles
 from freshet.sources.sinks import append_summary
 
@@ -434,7 +435,7 @@ LEGACY = {f"lag_{k}": sql_lag(k, "tp", KL) for k in range(1, 4)} | {
         [L, f"p AS (SELECT pixel_id, quantile_cont(tp, 0.95) AS p95 FROM l JOIN supplier ON s_suppkey = pixel_id WHERE {RICH} GROUP BY 1)",
          "j AS (SELECT l.*, p95 FROM l JOIN p USING (pixel_id))"],
         "j", "pixel_id, time, tp, p95", LEGACY,
-    ),
+    ).replace("SELECT pixel_id, time, tp, p95, round", f"SELECT pixel_id, time, {rnds('tp', 'p95')}, round"),
 )
 def legacy_feature_target(spark, sf):
     from freshet.plans.legacy import feature_target_table
@@ -1108,9 +1109,10 @@ def model_table(spark, sf) -> tuple[DataFrame, list[str]]:
 def _model_query(name: str, **params) -> Query:
     def run(spark, sf):
         df, features = model_table(spark, sf)
+        # Scaler, fit and scoring all read the table: compute it once.
+        df = pin(df)
+        df = scaling.fit_scaler(df.filter("split = 'train'"), features).transform(df)
         train = df.filter("split = 'train'")
-        df = scaling.fit_scaler(train, features).transform(df)
-        train = df.filter("split = 'train'").cache()
         fitted = fit_model(name, train, features, "target_q1", **params)
         out = score(fitted, df.filter("split = 'test'"))
         return tidy(out.select("pixel_id", "time", "event_id", "target_q1", "y_pred"))
@@ -1145,7 +1147,7 @@ def knn(spark, sf):
     e = src.event_series(spark, sf)
     cfg = FeatureConfig(bands=BANDS, include_rolling=False, include_spatial_coords=False, include_temporal=False)
     df, _ = targets.features_and_targets(e, 2, cfg, (1,), clim.climatology(e, "tp"), keys=src.EVENT_KEYS)
-    df = splits.fixed_split(df.dropna(subset=["target_q1"]), src.EVENT_SPLIT)
+    df = pin(splits.fixed_split(df.dropna(subset=["target_q1"]), src.EVENT_SPLIT))
     out = knn_predict(
         df.filter("split = 'train'"), df.filter("split = 'test'"), ["lag_0_tp", "lag_1_tp", "lag_0_t2m"], "event_id", "event_id", "target_q1"
     )
@@ -1174,5 +1176,5 @@ def legacy_grid(spark, sf):
     from freshet.plans.legacy import feature_target_table, grid_search
 
     d = src.daily_series(spark, sf).drop("t2m")
-    base = feature_target_table(d, clim.climatology(d, "tp", levels={"p95": 0.95}), (3,), (1,), value="tp", slope=0.05).cache()
-    return tidy(grid_search(base, (3,), (1,), src.DAY_SPLIT, n_estimators=8, max_depth=4))
+    base = feature_target_table(d, clim.climatology(d, "tp", levels={"p95": 0.95}), (3,), (1,), value="tp", slope=0.05)
+    return tidy(grid_search(pin(base), (3,), (1,), src.DAY_SPLIT, n_estimators=8, max_depth=4))

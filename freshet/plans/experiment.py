@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.config import FeatureConfig, PipelineConfig, SeriesKeys, TARGET_BAND
+from freshet.config import FeatureConfig, FuzzyConfig, PipelineConfig, SeriesKeys, TARGET_BAND
 from freshet.operators import quality
-from freshet.operators.alerts import AnomalyReport, anomaly_report, best_threshold
+from freshet.operators.alerts import DEFAULT_THRESHOLD, AnomalyReport, anomaly_report, calibrate
 from freshet.operators.features import FeatureMeta, FeatureSpec, select_for_lookback
-from freshet.operators.metrics import evaluate
+from freshet.operators.metrics import anomaly_metrics, evaluate
 from freshet.operators.models import ModelEntry, SparkModel, fit_model, model_registry, score
 from freshet.operators.ordering import ordered_view
 from freshet.operators.sampling import hash_sample
@@ -30,6 +30,7 @@ from freshet.operators.scaling import fit_scaler
 from freshet.operators.search import SEARCH_SPACES, search
 from freshet.operators.splits import fixed_split
 from freshet.operators.targets import _score_futures, features_and_targets
+from freshet.runtime import pin
 from freshet.sources.sinks import cache_path, cached, run_record, save_table, write_json, write_summary
 
 log = logging.getLogger(__name__)
@@ -66,7 +67,7 @@ def grid_coverage(
     oldest = {p: [F.lag(b, p - 1).over(w).alias(f"_old{p}_{b}") for b in bands] for p in p_values}
     leads = [F.lead(band, q).over(w).alias(f"_future_{q}") for q in q_values]
     df = view.join_groups(view.df.select("*", *[c for cs in oldest.values() for c in cs], *leads), thresholds)
-    df = _score_futures(view.finish(df), q_values, _fuzzy_default())
+    df = _score_futures(view.finish(df), q_values, FuzzyConfig())
     aggs, structs = [], []
     for p, q in product(p_values, q_values):
         usable = F.col(f"target_q{q}").isNotNull()
@@ -85,20 +86,19 @@ def grid_coverage(
     return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def _fuzzy_default():
-    from freshet.config import FuzzyConfig
-
-    return FuzzyConfig()
-
-
 @dataclass
 class RunResult:
     """Outcome of one model in one experiment."""
 
     row: dict[str, Any]
     predictions: DataFrame | None = None
-    report: AnomalyReport | None = None
     model: Any = None
+    time: str = "time"
+
+    def report(self) -> AnomalyReport:
+        """Anomaly report of the test rows at the calibrated threshold."""
+        mine = self.predictions.filter("split = 'test'")
+        return anomaly_report(mine, self.row["threshold"], time=self.time)
 
 
 @dataclass
@@ -120,18 +120,14 @@ class ExperimentRunner:
         out_dir = self.cfg.output_dir if self.save else None
         base, meta = base_table(series, thresholds, self.cfg, self.keys, output_dir=out_dir)
         if not self.save:
-            base = base.persist()
+            base = pin(base)
         rows: list[dict[str, Any]] = []
-        try:
-            for P, Q in product(self.cfg.p_values, self.cfg.q_values):
-                try:
-                    rows += [r.row for r in self.run_one(base, meta, P, Q)]
-                except Exception as exc:  # noqa: BLE001 - failures stay within their experiment
-                    log.warning("experiment P%d_Q%d failed: %s", P, Q, exc)
-                    rows.append({"experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "error": str(exc)[:500]})
-        finally:
-            if not self.save:
-                base.unpersist()
+        for P, Q in product(self.cfg.p_values, self.cfg.q_values):
+            try:
+                rows += [r.row for r in self.run_one(base, meta, P, Q)]
+            except Exception as exc:  # noqa: BLE001 - failures stay within their experiment
+                log.warning("experiment P%d_Q%d failed: %s", P, Q, exc)
+                rows.append({"experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "error": str(exc)[:500]})
         summary = summary_frame(spark, rows)
         if self.save:
             write_summary(summary, self.cfg.output_dir)
@@ -153,75 +149,96 @@ class ExperimentRunner:
                 checks = quality.check_battery(df, features, target, quality.split_masks(), self.keys.time)
                 quality.require(checks)
             fitted = fit_scaler(df.filter("split = 'train'"), features, self.scaler)
-            results = []
-            for entry in self.models or model_registry(self.families):
-                results.append(self._run_model(entry, df, fitted, specs, target, P, Q, counts))
+            results = [
+                self._fit_model(entry, df, fitted, specs, target, P, Q, counts)
+                for entry in self.models or model_registry(self.families)
+            ]
+            self._evaluate([r for r in results if r.predictions is not None])
+            if self.save:
+                for r in results:
+                    self._store(r, features, df.sparkSession)
             return results
         finally:
             df.unpersist()
 
-    def _run_model(self, entry, df, fitted, specs: list[FeatureSpec], target, P, Q, counts) -> RunResult:
+    def _fit_model(self, entry, df, fitted, specs: list[FeatureSpec], target, P, Q, counts) -> RunResult:
+        """Tune, fit and score one model; its predictions are materialised here, failures included."""
         started = clock.monotonic()
         features = [s.name for s in specs]
         row: dict[str, Any] = {
             "experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "model": entry.name, "family": entry.family,
-            "input_type": entry.input_type, "n_features": len(features),
+            "input_type": entry.input_type, "n_features": len(features), "tuned": False,
             **{f"{s}_rows": counts[s] for s in ("train", "val", "test")},
         }
         try:
-            result = self._fit_and_score(entry, df, fitted, features, target, row)
+            data = fitted.transform(df) if entry.needs_scaling else df
+            train = data.filter("split = 'train'")
+            params = {**self.overrides.get(entry.name, {}), **self._tuned(entry, train, features, target, row)}
+            model = fit_model(entry, train, features, target, self.cfg.random_seed, **params)
+            ids = [self.keys.time, self.keys.entity, *self.keys.tie]
+            scored = score(model, data.filter("split != 'train'")).select(
+                *ids, "split", F.lit(entry.name).alias("model"), F.col(target).cast("double").alias("y_true"), "y_pred"
+            )
+            scored = self._materialise(scored, row)
+            result = RunResult(row, scored, model, self.keys.time)
         except Exception as exc:  # noqa: BLE001 - recorded as an error row
             log.warning("model %s failed: %s", entry.name, exc)
             result = RunResult({**row, "error": str(exc)[:500]})
         result.row["elapsed_s"] = round(clock.monotonic() - started, 2)
-        if self.save and result.predictions is not None:
-            self._store(entry, result, features, P, Q)
         return result
 
-    def _fit_and_score(self, entry, df, fitted, features, target, row) -> RunResult:
-        data = fitted.transform(df) if entry.needs_scaling else df
-        train = data.filter("split = 'train'")
-        params = dict(self.overrides.get(entry.name, {}))
+    def _tuned(self, entry, train, features, target, row) -> dict[str, Any]:
         tuning = self.cfg.tuning_config
-        row["tuned"] = False
-        if tuning.enabled and SEARCH_SPACES.get(entry.name):
-            found = search(
-                entry.name, train, features, target, tuning.metric, tuning.direction, tuning.n_trials,
-                tuning.n_cv_folds, tuning.cv_gap, tuning.timeout_per_model, self.cfg.random_seed, time=self.keys.time,
-            ).best_params
-            params.update(found)
-            row.update(tuned=bool(found), best_params=json.dumps(found))
-        model = fit_model(entry, train, features, target, self.cfg.random_seed, **params)
-        ids = [self.keys.time, self.keys.entity, *self.keys.tie]
-        scored = score(model, data.filter("split != 'train'")).select(
-            *ids, "split", F.col(target).alias("y_true"), "y_pred"
-        ).persist()
-        try:
-            for r in evaluate(scored, by=("split",)).collect():
-                row.update({f"{r['split']}_{k}": v for k, v in r.asDict().items() if k != "split"})
-            threshold = best_threshold(scored.filter("split = 'val'"), tuning.calibration_method)
-            test = scored.filter("split = 'test'")
-            report = anomaly_report(test, threshold, time=self.keys.time)
-            overall = report.overall.first()
-            row["threshold"] = threshold
-            row.update({f"anomaly_{c}": overall[c] for c in ALERT_COLUMNS})
-            if self.save:
-                write_json(df.sparkSession, report.to_dict(), f"{self._folder(row)}/anomaly_report")
-                save_table(test, f"{self._folder(row)}/predictions")
-        finally:
-            scored.unpersist()
-        return RunResult(row, test, report, model)
+        if not (tuning.enabled and SEARCH_SPACES.get(entry.name)):
+            return {}
+        found = search(
+            entry.name, train, features, target, tuning.metric, tuning.direction, tuning.n_trials,
+            tuning.n_cv_folds, tuning.cv_gap, tuning.timeout_per_model, self.cfg.random_seed, time=self.keys.time,
+        ).best_params
+        row.update(tuned=bool(found), best_params=json.dumps(found))
+        return found
+
+    def _materialise(self, scored: DataFrame, row: dict[str, Any]) -> DataFrame:
+        """Predictions become a table: the artefact of the run, or a checkpoint."""
+        if not self.save:
+            return pin(scored)
+        path = save_table(scored, f"{self._folder(row)}/predictions")
+        return scored.sparkSession.read.parquet(path)
+
+    def _evaluate(self, results: list[RunResult]) -> None:
+        """Metrics, thresholds and alert scores of all models together, grouped by model."""
+        if not results:
+            return
+        everything = results[0].predictions
+        for r in results[1:]:
+            everything = everything.unionByName(r.predictions)
+        rows = {r.row["model"]: r for r in results}
+        for m in evaluate(everything, by=("model", "split")).collect():
+            found = {f"{m['split']}_{k}": v for k, v in m.asDict().items() if k not in ("model", "split")}
+            rows[m["model"]].row.update(found)
+        method = self.cfg.tuning_config.calibration_method
+        best = calibrate(everything.filter("split = 'val'"), method, by=("model",)).collect()
+        thresholds = {r["model"]: float(r["threshold"]) for r in best}
+        test = everything.filter("split = 'test'")
+        at = F.lit(DEFAULT_THRESHOLD)
+        for name, value in thresholds.items():
+            at = F.when(F.col("model") == name, F.lit(value)).otherwise(at)
+        for m in anomaly_metrics(test, at, by=("model",)).collect():
+            row = rows[m["model"]].row
+            row["threshold"] = m["threshold"]
+            row.update({f"anomaly_{c}": m[c] for c in ALERT_COLUMNS})
 
     def _folder(self, row: dict[str, Any]) -> str:
         return f"{self.cfg.output_dir}/{row['experiment']}/{row['model']}"
 
-    def _store(self, entry, result: RunResult, features, P, Q) -> None:
-        spark = result.predictions.sparkSession
-        folder = self._folder(result.row)
+    def _store(self, result: RunResult, features: list[str], spark) -> None:
+        """Report, fitted model and run record beside the predictions."""
+        row, folder = result.row, self._folder(result.row)
+        if result.predictions is not None:
+            write_json(spark, result.report().to_dict(), f"{folder}/anomaly_report")
         if isinstance(result.model, SparkModel):
             result.model.save(f"{folder}/model")
-        record = run_record(self.cfg, P, Q, entry.name, features, result.row, spark)
-        write_json(spark, record, f"{folder}/metadata")
+        write_json(spark, run_record(self.cfg, row["P"], row["Q"], row["model"], features, row, spark), f"{folder}/metadata")
 
 
 def summary_frame(spark, rows: list[dict[str, Any]]) -> DataFrame:

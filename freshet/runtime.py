@@ -57,6 +57,7 @@ def local_session(app: str = "freshet", cpus: int | str = "*", **conf: str) -> S
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -66,8 +67,15 @@ def local_session(app: str = "freshet", cpus: int | str = "*", **conf: str) -> S
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of all inputs of a plan by the optimizer's statistics; no job runs.
+
+    Inputs rather than the output: the optimizer estimates a join by the product of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(leaves.next().stats().sizeInBytes())
+    return total
 
 
 def is_small(df: DataFrame, limits: Limits | None = None) -> bool:
