@@ -40,10 +40,15 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Pearson correlation of each feature with the target; undefined means no alert."""
     y = F.col(target).cast("double")
-    aggs = [F.corr(F.col(c).cast("double"), y).alias(f"r{i}") for i, c in enumerate(columns)]
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        # ``corr`` divides by zero on a constant column in ANSI mode.
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        aggs.append((F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))).alias(f"r{i}"))
     structs = []
     for i, c in enumerate(columns):
-        r = F.when(~F.isnan(f"r{i}"), F.col(f"r{i}"))
+        r = F.col(f"r{i}")
         structs.append(
             F.struct(
                 F.lit(c).alias("feature"),
