@@ -30,13 +30,26 @@ BLOCK_ROWS = 4096
 
 
 def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
-    """(len(a), len(b)) distances, in row chunks that bound memory."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for i in range(0, len(a), step):
-        diff = a[i : i + step, None, :] - b[None, :, :]
-        out[i : i + step] = np.abs(diff).sum(axis=2) if p == 1 else np.sqrt((diff * diff).sum(axis=2))
-    return out
+    """(len(a), len(b)) distances, built up one feature at a time."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        gap = a[:, j, None] - b[None, :, j]
+        out += np.abs(gap) if p == 1 else gap * gap
+    return out if p == 1 else np.sqrt(out, out=out)
+
+
+def _closest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the ``k`` smallest entries per row; ties go to low columns."""
+    if k >= d.shape[1]:
+        return np.nonzero(np.ones_like(d, dtype=bool))
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    keep = d <= kth
+    crowded = np.flatnonzero(keep.sum(axis=1) > k)
+    if len(crowded):
+        below, level = d[crowded] < kth[crowded], d[crowded] == kth[crowded]
+        room = k - below.sum(axis=1, keepdims=True)
+        keep[crowded] = below | (level & (np.cumsum(level, axis=1) <= room))
+    return np.nonzero(keep)
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -56,7 +69,7 @@ def nearest(
     q = queries.select(F.col(query_id).alias("qid"), vec.alias("qv"))
     n_train = t.count()
     if pivots is None:
-        pivots = int(min(MAX_PIVOTS, max(1, round(n_train**0.5 / 4))))
+        pivots = int(min(MAX_PIVOTS, max(1, n_train // 512)))
     seeds = t.select("tv", F.xxhash64("tid").alias("h")).orderBy("h").limit(pivots).collect()
     centres = np.array([r["tv"] for r in seeds], dtype=float)
 
@@ -123,22 +136,16 @@ def nearest(
             return pd.DataFrame({"qid": [], "tid": [], "dist": [], "ty": []})
         right = right.sort_values("tid", kind="stable")
         tv, tid, ty = _stack(right["tv"]), right["tid"].to_numpy(), right["ty"].to_numpy()
-        take = min(k, len(right))
-        parts = []
         qv, qid = _stack(left["qv"]), left["qid"].to_numpy()
+        parts = []
         for i in range(0, len(left), 512):
             d = _distances(qv[i : i + 512], tv, p)
-            best = np.argsort(d, axis=1, kind="stable")[:, :take]
-            rows = np.arange(len(d))[:, None]
-            parts.append(
-                pd.DataFrame({
-                    "qid": np.repeat(qid[i : i + 512], take), "tid": tid[best].ravel(),
-                    "dist": d[rows, best].ravel(), "ty": ty[best].ravel(),
-                })
-            )
+            row, col = _closest(d, k)
+            parts.append(pd.DataFrame({"qid": qid[i + row], "tid": tid[col], "dist": d[row, col], "ty": ty[col]}))
         return pd.concat(parts, ignore_index=True)
 
     def visit(plan: DataFrame) -> DataFrame:
+        plan = pin(plan)
         # Query blocks bound the other side too: a popular cell is split by its visitors, and
         # its training blocks are repeated once per query block.
         per = plan.groupBy("cell", "tb").agg(F.count(F.lit(1)).alias("_n")).select(
@@ -146,13 +153,16 @@ def nearest(
         )
         q_side = plan.join(per, ["cell", "tb"]).withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")).drop("nq")
         t_side = t_blocks.join(per, ["cell", "tb"]).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq")
+        # The work per byte is high: a fixed spread keeps small blocks from being coalesced.
         key = ["cell", "tb", "qb"]
+        width = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        q_side, t_side = (side.repartition(width, *key) for side in (q_side, t_side))
         return q_side.groupBy(*key).cogroup(t_side.groupBy(*key)).applyInPandas(search, hit_schema)
 
     w = Window.partitionBy("qid").orderBy("dist", "tid")
     best_k = lambda hits: hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
-    near = visit(q.mapInPandas(visits(True), visit_schema))
-    bounds = best_k(near).groupBy("qid").agg(F.max("dist").alias("bound"))
+    near = pin(best_k(visit(q.mapInPandas(visits(True), visit_schema))))
+    bounds = near.groupBy("qid").agg(F.max("dist").alias("bound"))
     again = q.join(bounds, "qid").mapInPandas(visits(False), visit_schema)
     hits = best_k(near.unionByName(visit(again)))
     return hits.select(F.col("qid").alias(query_id), F.col("tid").alias(train_id), "dist", F.col("ty").alias("label"))

@@ -9,6 +9,7 @@ import random
 import time as clock
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from freshet.functions.scores import clip
 from freshet.operators.metrics import evaluate
 from freshet.operators.models import PRED, fit_model
 from freshet.operators.splits import Fold, instant, purged_folds
+from freshet.runtime import in_parallel
 
 log = logging.getLogger(__name__)
 
@@ -110,16 +112,19 @@ def search(
     worst = math.inf if direction == "minimize" else -math.inf
     rng = random.Random(seed)
     rows, started = [], clock.monotonic()
+
+    def attempt(fold: Fold, params: dict[str, Any]) -> float:
+        try:
+            return _fold_score(model, train, fold, features, label, params, metric, time, seed)
+        except Exception as exc:  # noqa: BLE001 - a failed trial must not end the search
+            log.warning("trial %s failed: %s", params, exc)
+            return worst
+
     for trial in range(n_trials):
         if timeout is not None and rows and clock.monotonic() - started > timeout:
             break
         params = draw(space, rng)
-        for fold in folds:
-            try:
-                value = _fold_score(model, train, fold, features, label, params, metric, time, seed)
-            except Exception as exc:  # noqa: BLE001 - a failed trial must not end the search
-                log.warning("trial %d failed: %s", trial, exc)
-                value = worst
+        for fold, value in zip(folds, in_parallel([partial(attempt, f, params) for f in folds], len(folds))):
             rows.append((trial, json.dumps(params), fold.fold, value))
     trials = train.sparkSession.createDataFrame(rows, "trial int, params string, fold int, value double")
     mean = trials.groupBy("trial", "params").agg(F.avg("value").alias("score"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from freshet.config import SplitConfig, SplitStrategy
 from freshet.operators.climatology import instant
 from freshet.operators.ordering import with_running_total
+from freshet.runtime import pin
 
 SPLIT = "split"
 
@@ -48,19 +49,25 @@ def distinct_times(df: DataFrame, time: str = "time") -> DataFrame:
     return df.select(F.col(time).alias("time")).dropna().distinct()
 
 
-def values_at(values: DataFrame, column: str, positions: Iterable[int]) -> dict[int, Any]:
-    """Values at 0-based positions of a set of distinct values, in ascending order."""
-    wanted = sorted(set(positions))
-    if not wanted:
-        return {}
-    ranked = with_running_total(values.withColumn("_one", F.lit(1)), [], column, {"_pos": "_one"})
-    hit = ranked.filter(F.col("_pos").isin([p + 1 for p in wanted]))
-    return {r["_pos"] - 1: r[column] for r in hit.select("_pos", column).collect()}
+class TimeIndex:
+    """Dense 0-based positions of distinct values, ranked once and kept as a table."""
 
+    def __init__(self, values: DataFrame, column: str = "time"):
+        self.column = column
+        ranked = with_running_total(values.withColumn("_one", F.lit(1)), [], column, {"_pos": "_one"})
+        self.ranked = pin(ranked.select("_pos", column))
+        self.n = self.ranked.count()
 
-def _resolve(times: DataFrame, spans: Sequence[tuple[int, int, int, int]]) -> list[Fold]:
+    def at(self, positions: Iterable[int]) -> dict[int, Any]:
+        """Values at the given positions; only those reach the driver."""
+        wanted = sorted(set(positions))
+        hit = self.ranked.filter(F.col("_pos").isin([p + 1 for p in wanted])) if wanted else self.ranked.limit(0)
+        return {r["_pos"] - 1: r[self.column] for r in hit.collect()}
+
+
+def _resolve(index: TimeIndex, spans: Sequence[tuple[int, int, int, int]]) -> list[Fold]:
     """Turn half-open index spans (train lo, hi, val lo, hi) into time bounds."""
-    at = values_at(times, "time", [p for a, b, c, d in spans for p in (a, b - 1, c, d - 1)])
+    at = index.at(p for a, b, c, d in spans for p in (a, b - 1, c, d - 1))
     return [
         Fold(i + 1, at[a], at[b - 1], at[c], at[d - 1]) for i, (a, b, c, d) in enumerate(spans)
     ]
@@ -68,8 +75,8 @@ def _resolve(times: DataFrame, spans: Sequence[tuple[int, int, int, int]]) -> li
 
 def _walk_forward(df: DataFrame, cfg: SplitConfig, time: str, growing: bool) -> list[Fold]:
     before_test = df.filter(F.col(time) <= instant(cfg.val_end, cfg.end_of_day))
-    times = distinct_times(before_test, time)
-    n = times.count()
+    index = TimeIndex(distinct_times(before_test, time))
+    n = index.n
     tw = cfg.window_train_size or max(n // 3, 1)
     vw = cfg.window_val_size or max(n // 6, 1)
     step = cfg.step_size or vw
@@ -77,7 +84,7 @@ def _walk_forward(df: DataFrame, cfg: SplitConfig, time: str, growing: bool) ->
     spans = [(0 if growing else s, s + tw, s + tw, s + tw + vw) for s in starts]
     if not spans:
         warnings.warn("walk-forward split produced no folds; check the window sizes")
-    return _resolve(times, spans)
+    return _resolve(index, spans)
 
 
 def rolling_folds(df: DataFrame, cfg: SplitConfig, time: str = "time") -> list[Fold]:
@@ -97,8 +104,8 @@ def purged_folds(
 
     Folds with fewer than ``min_train_size`` training rows are dropped, without renumbering.
     """
-    times = distinct_times(df, time)
-    n = times.count()
+    index = TimeIndex(distinct_times(df, time))
+    n = index.n
     size = max(1, n // (n_folds + 1))
     spans = []
     for k in range(1, n_folds + 1):
@@ -106,7 +113,7 @@ def purged_folds(
         if lo >= n or hi <= lo:
             break
         spans.append((0, k * size, lo, hi))
-    folds = _resolve(times, spans)
+    folds = _resolve(index, spans)
     if not folds:
         return []
     counts = {(r["fold"], r["role"]): r["n"] for r in fold_sizes(df, folds, time).collect()}

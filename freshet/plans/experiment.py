@@ -11,6 +11,7 @@ import logging
 import time as clock
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import product
 from typing import Any
 
@@ -30,7 +31,7 @@ from freshet.operators.scaling import fit_scaler
 from freshet.operators.search import SEARCH_SPACES, search
 from freshet.operators.splits import fixed_split
 from freshet.operators.targets import _score_futures, features_and_targets
-from freshet.runtime import pin
+from freshet.runtime import in_parallel, pin
 from freshet.sources.sinks import cache_path, cached, run_record, save_table, write_json, write_summary
 
 log = logging.getLogger(__name__)
@@ -112,6 +113,7 @@ class ExperimentRunner:
     keys: SeriesKeys = field(default_factory=SeriesKeys)
     skip_checks: bool = False
     save: bool = False
+    parallel: int = 3
     overrides: dict[str, dict[str, Any]] = field(default_factory=dict)
 
     def run(self, series: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -149,10 +151,13 @@ class ExperimentRunner:
                 checks = quality.check_battery(df, features, target, quality.split_masks(), self.keys.time)
                 quality.require(checks)
             fitted = fit_scaler(df.filter("split = 'train'"), features, self.scaler)
-            results = [
-                self._fit_model(entry, df, fitted, specs, target, P, Q, counts)
-                for entry in self.models or model_registry(self.families)
-            ]
+            results = in_parallel(
+                [
+                    partial(self._fit_model, entry, df, fitted, specs, target, P, Q, counts)
+                    for entry in self.models or model_registry(self.families)
+                ],
+                self.parallel,
+            )
             self._evaluate([r for r in results if r.predictions is not None])
             if self.save:
                 for r in results:

@@ -14,13 +14,21 @@ lower them far enough to force the split plans on tiny inputs.
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 SMALL_BYTES = "spark.freshet.smallBytes"
 TASK_ROWS = "spark.freshet.taskRows"
 MAX_SLICES = "spark.freshet.maxSlices"
+_OWN_FOLDER = "spark.freshet.ownFolder"
 
 
 @dataclass(frozen=True)
@@ -83,14 +91,36 @@ def is_small(df: DataFrame, limits: Limits | None = None) -> bool:
     return estimated_bytes(df) <= limits.small_bytes
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only when that is unset (tests, laptops) a fresh local folder is chosen, once per session.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        named = spark.conf.get(_OWN_FOLDER, None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set(_OWN_FOLDER, named)
+    return named.rstrip("/")
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors only re-read files.
+    """Write an intermediate table to the shared folder and go on from its files.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only when that is
-    unset (tests, laptops) is a fresh local folder chosen.
+    The lineage ends there, so a lost executor only means reading files again. Unlike a raw
+    checkpoint the table is computed once, keeps column pruning and has true size statistics.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def in_parallel(tasks: Sequence[Callable[[], T]], width: int) -> list[T]:
+    """Run driver-side steps that each submit Spark jobs, a few at a time, in order of result."""
+    if width <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    carry = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPoolExecutor(min(width, len(tasks))) as pool:
+        return [f.result() for f in [pool.submit(carry(t)) for t in tasks]]

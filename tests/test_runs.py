@@ -12,7 +12,7 @@ from freshet.operators.models import ModelEntry, get_model
 from freshet.operators.sampling import exact_sample, hash_sample, sample_entities
 from freshet.plans.experiment import ExperimentRunner, base_table, grid_coverage
 from freshet.plans.legacy import feature_target_table, grid_search
-from freshet.runtime import pin
+from freshet.runtime import pin, shared_folder
 from freshet.sources import sinks
 
 SPLIT = SplitConfig(train_end="2022-01-02", val_end="2022-01-02T12:00:00")
@@ -75,10 +75,17 @@ def test_samples(skewed):
     assert sample_entities(skewed, "pixel_id").count() == 5
 
 
-def test_pin_uses_the_named_folder(spark, pixels):
+def test_pinned_tables_go_to_the_shared_folder(spark, pixels):
     kept = pin(pixels)
-    assert kept.count() == 150 and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    assert "Scan ExistingRDD" in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.exceptAll(pixels).isEmpty() and kept.count() == 150
+    assert f"{shared_folder(spark)}/pinned-" in kept.inputFiles()[0] and shared_folder(spark) == shared_folder(spark)
+
+
+def test_the_cluster_names_the_shared_folder():
+    class Session:
+        conf = {"spark.checkpoint.dir": "hdfs://shared/tmp/"}
+
+    assert shared_folder(Session()) == "hdfs://shared/tmp"
 
 
 def test_coverage(pixels):
