@@ -42,19 +42,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def tidy(df: DataFrame) -> DataFrame:
+def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles; adding zero turns a negative zero into a plain one."""
     return df.select(
         *[
-            (F.round(F.col(f.name).cast("double"), 6) + F.lit(0.0)).alias(f.name)
+            (F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
 
 
-def rnd(expr: str, alias: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {alias}"
+def rnd(expr: str, alias: str, digits: int = 6) -> str:
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {alias}"
 
 
 def rnds(*names: str) -> str:
@@ -1086,11 +1086,23 @@ def source_select(spark, sf):
     return tidy(tiles.metres_to_mm(chosen, ["tp"]))
 
 
-@query("patch_tensor")
+PATCH_SQL = f"""WITH {TILE_ROWS}, cube AS (SELECT time, CAST(y AS INT) AS y, CAST(xx AS INT) AS x, max(c) FILTER (WHERE unnamed OR b % 2 = 0) AS tp,
+max(c) FILTER (WHERE NOT unnamed AND b % 2 = 1) AS t2m FROM t GROUP BY f, time, y, xx),
+ti AS (SELECT time, row_number() OVER (ORDER BY time) AS i FROM (SELECT DISTINCT time FROM cube)),
+ci AS (SELECT cube.*, i FROM cube JOIN ti USING (time)),
+ctr AS (SELECT time, y AS cy, x AS cx, i FROM ci WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND i >= 2),
+cell AS (SELECT ctr.time, cy, cx, ci.i AS step, ci.y, ci.x, coalesce(CAST(CAST(round(CAST(tp AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR), 'n') || ',' ||
+coalesce(CAST(CAST(round(CAST(t2m AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR), 'n') AS v
+FROM ctr JOIN ci ON ci.i BETWEEN ctr.i - 1 AND ctr.i AND ci.y BETWEEN cy - 1 AND cy + 1 AND ci.x BETWEEN cx - 1 AND cx + 1)
+SELECT time, cy, cx, string_agg(v, ',' ORDER BY step, y, x) AS patch FROM cell GROUP BY 1, 2, 3"""
+
+
+@query("patch_tensor", PATCH_SQL)
 def patch_tensor(spark, sf):
-    """Two-step 3×3 patches of both bands over every raster of the tile table."""
+    """Two-step 3×3 patches of both bands over every raster; values as ten-thousandths in text."""
     cube = tiles.cube_rows(src.vector_tiles(spark, sf), BANDS)
-    return build_patches(cube, 2, 1, BANDS, 8, 8)
+    text = F.transform("patch", lambda v: F.coalesce(F.round(v.cast("double") * 10000).cast("long").cast("string"), F.lit("n")))
+    return build_patches(cube, 2, 1, BANDS, 8, 8).withColumn("patch", F.array_join(text, ","))
 
 
 # --- Models -------------------------------------------------------------------------------
@@ -1106,16 +1118,19 @@ def model_table(spark, sf) -> tuple[DataFrame, list[str]]:
     return df, meta.names
 
 
-def _model_query(name: str, **params) -> Query:
+def _model_query(name: str, only: Sequence[str] = (), digits: int = 6, **params) -> Query:
+    """Fit on the training rows, score the test rows; ``only`` narrows the features."""
+
     def run(spark, sf):
         df, features = model_table(spark, sf)
+        features = list(only) or features
         # Scaler, fit and scoring all read the table: compute it once.
         df = pin(df)
         df = scaling.fit_scaler(df.filter("split = 'train'"), features).transform(df)
         train = df.filter("split = 'train'")
         fitted = fit_model(name, train, features, "target_q1", **params)
         out = score(fitted, df.filter("split = 'test'"))
-        return tidy(out.select("pixel_id", "time", "event_id", "target_q1", "y_pred"))
+        return tidy(out.select("pixel_id", "time", "event_id", "target_q1", "y_pred"), digits)
 
     return run
 
@@ -1135,6 +1150,35 @@ query("forest")(_model_query("RandomForest", n_estimators=20, max_depth=8))
 query("gbt")(_model_query("GradientBoosting", n_estimators=10, max_depth=4))
 
 
+# With one or two standardised features the fits have closed forms that SQL can state.
+ONE = ("lag_0_tp",)
+TWO = ("lag_0_tp", "lag_1_tp")
+FIT_SQL = (
+    f"WITH {CHECK_CTE}, m AS (SELECT avg(lag_0_tp) AS m0, stddev_pop(lag_0_tp) AS s0, avg(lag_1_tp) AS m1, stddev_pop(lag_1_tp) AS s1, avg(y) AS my FROM k WHERE split = 'train'), "
+    "z AS (SELECT k.*, (lag_0_tp - m0) / s0 AS a, (lag_1_tp - m1) / s1 AS b, my FROM k, m), "
+    "c AS (SELECT count(*) AS n, sum(a * (y - my)) AS ay, sum(b * (y - my)) AS bb, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS b2 FROM z WHERE split = 'train')"
+)
+
+
+def _fit_sql(value: str, digits: int) -> str:
+    return (
+        f"{FIT_SQL} SELECT pixel_id, time, event_id, {rnd('y', 'target_q1', digits)}, "
+        f"{rnd(f'least(greatest(my + {value}, 0), 1)', 'y_pred', digits)} FROM z, c WHERE split = 'test'"
+    )
+
+
+def _shrunk(l1: float, l2: float) -> str:
+    return f"a * sign(ay) * greatest(abs(ay) / n - {l1}, 0) / (aa / n + {l2})"
+
+
+query("ridge_closed_form", _fit_sql("a * ay / (aa + 50.0)", 6))(_model_query("Ridge", ONE, alpha=50.0))
+query("lasso_closed_form", _fit_sql(_shrunk(0.0005, 0.0), 4))(_model_query("Lasso", ONE, 4, alpha=0.0005))
+query("elastic_net_closed_form", _fit_sql(_shrunk(0.0005, 0.0005), 4))(_model_query("ElasticNet", ONE, 4, alpha=0.001))
+query("pls_closed_form", _fit_sql("(a * ay + b * bb) * (ay * ay + bb * bb) / (ay * ay * aa + 2 * ay * bb * ab + bb * bb * b2)", 6))(
+    _model_query("PLSRegression", TWO, n_components=1)
+)
+
+
 @query(
     "knn",
     f"WITH {E}, {thr('e')}, w AS (SELECT {E_IDS}, tp AS a, lag(tp) OVER ({KE}) AS b, t2m AS c, lead(tp) OVER ({KE}) AS nx FROM e), "

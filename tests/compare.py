@@ -39,6 +39,8 @@ def differences(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
     a, b = _sorted(spark_df), _sorted(sql_df)
     notes = []
     for c in a.columns:
+        if a[c].dtype.kind != b[c].dtype.kind or (a[c].dtype.kind in "if" and a[c].dtype != b[c].dtype):
+            notes.append(f"{c}: type {a[c].dtype} != {b[c].dtype}")
         if pd.api.types.is_float_dtype(a[c]) or pd.api.types.is_float_dtype(b[c]):
             x, y = a[c].astype(float).to_numpy(), b[c].astype(float).to_numpy()
             bad = ~((x == y) | (np.isnan(x) & np.isnan(y)))
