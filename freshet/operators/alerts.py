@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.calendar import season
 from freshet.functions.scores import clip, intensity_band, is_event, residual
-from freshet.operators.metrics import _beside, anomaly_metrics, metric_columns, score_steps
+from freshet.operators.metrics import _beside, anomaly_metrics, judged, metric_columns, score_steps
 from freshet.operators.ordering import bucket_of
 from freshet.operators.quantiles import exact_percentiles
 
@@ -126,7 +126,7 @@ def confusion_matrix(
     df: DataFrame, threshold: float, y_true: str = "y_true", y_pred: str = "y_pred", cutoff: float = 0.5
 ) -> DataFrame:
     names = ("tn", "fp", "fn", "tp")
-    counts = df.agg(*metric_columns(names, y_true, y_pred, threshold, cutoff))
+    counts = judged(df, y_true, y_pred, threshold, cutoff).agg(*metric_columns(names))
     return counts.select(*[F.col(n).cast("long").alias(n) for n in names])
 
 
@@ -147,10 +147,11 @@ def by_season(
     df: DataFrame, threshold: float, y_true: str = "y_true", y_pred: str = "y_pred",
     time: str = "time", cutoff: float = 0.5,
 ) -> DataFrame:
-    return df.groupBy(season(time).alias("season")).agg(
+    rows = judged(df, y_true, y_pred, threshold, cutoff)
+    return rows.groupBy(season(time).alias("season")).agg(
         F.count(F.lit(1)).alias("count"),
-        F.avg(is_event(y_true, cutoff)).alias("anomaly_rate"),
-        *metric_columns(("precision", "recall", "f1"), y_true, y_pred, threshold, cutoff),
+        F.avg("_e").alias("anomaly_rate"),
+        *metric_columns(("precision", "recall", "f1")),
     )
 
 

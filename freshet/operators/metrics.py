@@ -22,15 +22,22 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
 
-def metric_columns(
-    names: Sequence[str], y_true: str, y_pred: str, threshold: float | Column = 0.5, cutoff: float | None = None
-) -> list[Column]:
-    """Aggregate expressions for the named metrics.
+def judged(
+    df: DataFrame, y_true: str, y_pred: str, threshold: float | Column = 0.5, cutoff: float | None = None
+) -> DataFrame:
+    """Add truth, clipped prediction, event and flag once, so that no metric recomputes them.
 
     ``threshold`` classifies predictions, ``cutoff`` (same by default) the truth.
     """
-    y, p = F.col(y_true).cast("double"), clip(y_pred)
-    event, flag = is_event(y, threshold if cutoff is None else cutoff), is_event(p, threshold)
+    rows = df.withColumns({"_y": F.col(y_true).cast("double"), "_p": clip(y_pred)})
+    return rows.withColumns(
+        {"_e": is_event("_y", threshold if cutoff is None else cutoff), "_h": is_event("_p", threshold)}
+    )
+
+
+def metric_columns(names: Sequence[str]) -> list[Column]:
+    """Aggregate expressions for the named metrics over a ``judged`` frame."""
+    y, p, event, flag = (F.col(c) for c in ("_y", "_p", "_e", "_h"))
     err = y - p
 
     def cell(e: int, h: int) -> Column:
@@ -78,7 +85,7 @@ def scalar_metrics(
     names: Sequence[str] = SCALARS, by: Sequence[str] = (), cutoff: float | None = None,
 ) -> DataFrame:
     """Chosen metrics, one row (per group), in one aggregate."""
-    return df.groupBy(*by).agg(*metric_columns(names, y_true, y_pred, threshold, cutoff))
+    return judged(df, y_true, y_pred, threshold, cutoff).groupBy(*by).agg(*metric_columns(names))
 
 
 def score_steps(
@@ -138,5 +145,6 @@ def anomaly_metrics(
     ``threshold`` may be a column, for groups with thresholds of their own.
     """
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    scalars = df.groupBy(*by).agg(F.max(t).alias("threshold"), *metric_columns(ANOMALY, y_true, y_pred, t, cutoff))
+    rows = judged(df.withColumn("_t", t), y_true, y_pred, F.col("_t"), cutoff)
+    scalars = rows.groupBy(*by).agg(F.max("_t").alias("threshold"), *metric_columns(ANOMALY))
     return _beside(scalars, ranking_metrics(df, y_true, y_pred, cutoff, by, roc="roc_auc"), by)

@@ -94,6 +94,7 @@ class RunResult:
     row: dict[str, Any]
     predictions: DataFrame | None = None
     model: Any = None
+    features: list[str] = field(default_factory=list)
     time: str = "time"
 
     def report(self) -> AnomalyReport:
@@ -123,20 +124,24 @@ class ExperimentRunner:
         base, meta = base_table(series, thresholds, self.cfg, self.keys, output_dir=out_dir)
         if not self.save:
             base = pin(base)
-        rows: list[dict[str, Any]] = []
+        results: list[RunResult] = []
         for P, Q in product(self.cfg.p_values, self.cfg.q_values):
             try:
-                rows += [r.row for r in self.run_one(base, meta, P, Q)]
+                results += self.run_one(base, meta, P, Q)
             except Exception as exc:  # noqa: BLE001 - failures stay within their experiment
                 log.warning("experiment P%d_Q%d failed: %s", P, Q, exc)
-                rows.append({"experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "error": str(exc)[:500]})
-        summary = summary_frame(spark, rows)
+                results.append(RunResult({"experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "error": str(exc)[:500]}))
+        self.evaluate([r for r in results if r.predictions is not None])
+        if self.save:
+            for r in results:
+                self._store(r, spark)
+        summary = summary_frame(spark, [r.row for r in results])
         if self.save:
             write_summary(summary, self.cfg.output_dir)
         return summary
 
     def run_one(self, base: DataFrame, meta: FeatureMeta, P: int, Q: int) -> list[RunResult]:
-        """All models of one (P, Q)."""
+        """Fit and score all models of one (P, Q); metrics follow for all experiments together."""
         target = f"target_q{Q}"
         specs = select_for_lookback(meta.specs, P)
         features = [s.name for s in specs]
@@ -151,18 +156,13 @@ class ExperimentRunner:
                 checks = quality.check_battery(df, features, target, quality.split_masks(), self.keys.time)
                 quality.require(checks)
             fitted = fit_scaler(df.filter("split = 'train'"), features, self.scaler)
-            results = in_parallel(
+            return in_parallel(
                 [
                     partial(self._fit_model, entry, df, fitted, specs, target, P, Q, counts)
                     for entry in self.models or model_registry(self.families)
                 ],
                 self.parallel,
             )
-            self._evaluate([r for r in results if r.predictions is not None])
-            if self.save:
-                for r in results:
-                    self._store(r, features, df.sparkSession)
-            return results
         finally:
             df.unpersist()
 
@@ -182,10 +182,10 @@ class ExperimentRunner:
             model = fit_model(entry, train, features, target, self.cfg.random_seed, **params)
             ids = [self.keys.time, self.keys.entity, *self.keys.tie]
             scored = score(model, data.filter("split != 'train'")).select(
-                *ids, "split", F.lit(entry.name).alias("model"), F.col(target).cast("double").alias("y_true"), "y_pred"
+                *ids, "split", F.lit(row["experiment"]).alias("experiment"), F.lit(entry.name).alias("model"), F.col(target).cast("double").alias("y_true"), "y_pred"
             )
             scored = self._materialise(scored, row)
-            result = RunResult(row, scored, model, self.keys.time)
+            result = RunResult(row, scored, model, features, self.keys.time)
         except Exception as exc:  # noqa: BLE001 - recorded as an error row
             log.warning("model %s failed: %s", entry.name, exc)
             result = RunResult({**row, "error": str(exc)[:500]})
@@ -210,40 +210,44 @@ class ExperimentRunner:
         path = save_table(scored, f"{self._folder(row)}/predictions")
         return scored.sparkSession.read.parquet(path)
 
-    def _evaluate(self, results: list[RunResult]) -> None:
-        """Metrics, thresholds and alert scores of all models together, grouped by model."""
+    def evaluate(self, results: list[RunResult]) -> None:
+        """Metrics, thresholds and alert scores of all runs in three grouped jobs."""
         if not results:
             return
         everything = results[0].predictions
         for r in results[1:]:
             everything = everything.unionByName(r.predictions)
-        rows = {r.row["model"]: r for r in results}
-        for m in evaluate(everything, by=("model", "split")).collect():
-            found = {f"{m['split']}_{k}": v for k, v in m.asDict().items() if k not in ("model", "split")}
-            rows[m["model"]].row.update(found)
+        run = ["experiment", "model"]
+        rows = {(r.row["experiment"], r.row["model"]): r.row for r in results}
+        for m in evaluate(everything, by=(*run, "split")).collect():
+            found = {f"{m['split']}_{k}": v for k, v in m.asDict().items() if k not in (*run, "split")}
+            rows[m["experiment"], m["model"]].update(found)
         method = self.cfg.tuning_config.calibration_method
-        best = calibrate(everything.filter("split = 'val'"), method, by=("model",)).collect()
-        thresholds = {r["model"]: float(r["threshold"]) for r in best}
+        level = F.lit(DEFAULT_THRESHOLD)
+        for b in calibrate(everything.filter("split = 'val'"), method, by=run).collect():
+            mine = (F.col("experiment") == b["experiment"]) & (F.col("model") == b["model"])
+            level = F.when(mine, F.lit(float(b["threshold"]))).otherwise(level)
         test = everything.filter("split = 'test'")
-        at = F.lit(DEFAULT_THRESHOLD)
-        for name, value in thresholds.items():
-            at = F.when(F.col("model") == name, F.lit(value)).otherwise(at)
-        for m in anomaly_metrics(test, at, by=("model",)).collect():
-            row = rows[m["model"]].row
+        for m in anomaly_metrics(test, level, by=run).collect():
+            row = rows[m["experiment"], m["model"]]
             row["threshold"] = m["threshold"]
             row.update({f"anomaly_{c}": m[c] for c in ALERT_COLUMNS})
 
     def _folder(self, row: dict[str, Any]) -> str:
         return f"{self.cfg.output_dir}/{row['experiment']}/{row['model']}"
 
-    def _store(self, result: RunResult, features: list[str], spark) -> None:
+    def _store(self, result: RunResult, spark) -> None:
         """Report, fitted model and run record beside the predictions."""
-        row, folder = result.row, self._folder(result.row)
+        row = result.row
+        if "model" not in row:
+            return
+        folder = self._folder(row)
         if result.predictions is not None:
             write_json(spark, result.report().to_dict(), f"{folder}/anomaly_report")
         if isinstance(result.model, SparkModel):
             result.model.save(f"{folder}/model")
-        write_json(spark, run_record(self.cfg, row["P"], row["Q"], row["model"], features, row, spark), f"{folder}/metadata")
+        record = run_record(self.cfg, row["P"], row["Q"], row["model"], result.features, row, spark)
+        write_json(spark, record, f"{folder}/metadata")
 
 
 def summary_frame(spark, rows: list[dict[str, Any]]) -> DataFrame:
