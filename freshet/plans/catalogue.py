@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.config import FeatureConfig, FuzzyConfig, SeriesKeys, SplitConfig, TargetMode
+from freshet.config import FeatureConfig, FuzzyConfig, PipelineConfig, SampleMode, TargetMode
 from freshet.functions import scores
 from freshet.functions.calendar import cyclical
 from freshet.functions.losses import loss
@@ -246,8 +246,6 @@ def region_aggregate(spark, sf):
     ),
 )
 def region_feature_table(spark, sf):
-    from freshet.config import SampleMode
-
     d = src.with_region(spark, sf, src.daily_series(spark, sf))
     cfg = FeatureConfig(bands=BANDS, rolling_windows=(3,))
     return tidy(feat.build_features(d, 3, cfg, SampleMode.REGION, src.DAY_KEYS, "region_id")[0])
@@ -1201,7 +1199,6 @@ def knn(spark, sf):
 @query("experiment_grid")
 def experiment_grid(spark, sf):
     """The whole job on the event series: base table, checks, scaling, fits, calibration, report."""
-    from freshet.config import PipelineConfig
     from freshet.operators.models import get_model
     from freshet.plans.experiment import ExperimentRunner
 

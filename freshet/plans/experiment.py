@@ -147,24 +147,22 @@ class ExperimentRunner:
         features = [s.name for s in specs]
         ids = [self.keys.time, self.keys.entity, *self.keys.tie]
         df = base.select(*dict.fromkeys([*ids, *features, target])).dropna(subset=[*features, target])
-        df = fixed_split(df, self.cfg.split_config, self.keys.time).persist()
-        try:
-            counts = {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
-            if any(not counts.get(s) for s in ("train", "val", "test")):
-                raise ValueError(f"P{P}_Q{Q}: an empty split in {counts}")
-            if not self.skip_checks:
-                checks = quality.check_battery(df, features, target, quality.split_masks(), self.keys.time)
-                quality.require(checks)
-            fitted = fit_scaler(df.filter("split = 'train'"), features, self.scaler)
-            return in_parallel(
-                [
-                    partial(self._fit_model, entry, df, fitted, specs, target, P, Q, counts)
-                    for entry in self.models or model_registry(self.families)
-                ],
-                self.parallel,
-            )
-        finally:
-            df.unpersist()
+        # The base table is on files: every job reads its own columns, nothing is held in memory.
+        df = fixed_split(df, self.cfg.split_config, self.keys.time)
+        counts = {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
+        if any(not counts.get(s) for s in ("train", "val", "test")):
+            raise ValueError(f"P{P}_Q{Q}: an empty split in {counts}")
+        if not self.skip_checks:
+            checks = quality.check_battery(df, features, target, quality.split_masks(), self.keys.time)
+            quality.require(checks)
+        fitted = fit_scaler(df.filter("split = 'train'"), features, self.scaler)
+        return in_parallel(
+            [
+                partial(self._fit_model, entry, df, fitted, specs, target, P, Q, counts)
+                for entry in self.models or model_registry(self.families)
+            ],
+            self.parallel,
+        )
 
     def _fit_model(self, entry, df, fitted, specs: list[FeatureSpec], target, P, Q, counts) -> RunResult:
         """Tune, fit and score one model; its predictions are materialised here, failures included."""

@@ -3,7 +3,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import models
 from freshet.operators.gramian import moments
 from freshet.operators.metrics import evaluate
 from freshet.operators.models import fit_model, get_model, model_registry, score
