@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from freshet.config import FeatureConfig, PipelineConfig, SplitConfig, TuningConfig
 from freshet.operators import climatology as clim
 from freshet.operators.models import ModelEntry, get_model
+from freshet.operators.quality import CheckFailed
 from freshet.operators.sampling import exact_sample, hash_sample, sample_entities
 from freshet.plans.experiment import ExperimentRunner, base_table, grid_coverage
 from freshet.plans.legacy import feature_target_table, grid_search
@@ -119,6 +120,15 @@ def test_grid_with_artefacts(spark, pixels, tmp_path):
     assert (tmp_path / "out" / "summary_results.csv").exists()
 
 
+def test_damaged_lags_stop_the_run(pixels):
+    cfg = PipelineConfig(p_values=(3,), q_values=(1,), feature_config=FEATURES)
+    base, meta = base_table(pixels, clim.climatology(pixels, "tp"), cfg)
+    runner = ExperimentRunner(cfg)
+    runner.check_lags(base, meta)
+    with pytest.raises(CheckFailed, match="lag_2_tp"):
+        runner.check_lags(base.withColumn("lag_2_tp", F.col("lag_1_tp")), meta)
+
+
 def test_sampled_base_table(pixels):
     cfg = PipelineConfig(p_values=(3,), q_values=(1,), feature_config=FEATURES, sample_frac=0.5)
     df, _ = base_table(pixels, clim.climatology(pixels, "tp"), cfg)
