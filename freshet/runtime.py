@@ -13,8 +13,10 @@ lower them far enough to force the split plans on tiny inputs.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -29,6 +31,7 @@ SMALL_BYTES = "spark.freshet.smallBytes"
 TASK_ROWS = "spark.freshet.taskRows"
 MAX_SLICES = "spark.freshet.maxSlices"
 _OWN_FOLDER = "spark.freshet.ownFolder"
+_shipped: dict[str, str] = {}
 
 
 @dataclass(frozen=True)
@@ -97,17 +100,38 @@ def is_small(df: DataFrame, limits: Limits | None = None) -> bool:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only when that is unset (tests, laptops) a fresh local folder is chosen, once per session.
+    Only when that is unset on a local master (tests, laptops) a fresh local folder is chosen, once per
+    session. A cluster without the setting is refused: its executors do not see each other's disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        named = spark.conf.get(_OWN_FOLDER, None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = spark.conf.get(_OWN_FOLDER, None) or tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_OWN_FOLDER, named)
     return named.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application: their paths may not hold it."""
+    context = spark.sparkContext
+    if _shipped.get("to") == context.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{os.path.basename(root)}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _shipped["to"] = context.applicationId
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from its files.
 
