@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from freshet.runtime import pin
 
 #: Rows of one rank bucket; the number of buckets follows the input, so a task stays this small.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 #: Bytes of text that the vectorised helpers take at once.
 CHUNK_BYTES = 2 << 20
 
