@@ -74,6 +74,7 @@ def local_session(app: str = "freshet", cpus: int | str = "*", **conf: str) -> S
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
