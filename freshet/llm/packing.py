@@ -14,17 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import column_of, spread_rank
+from freshet.llm.common import CHUNK_BYTES, byte_chunks, column_of, spread_rank
 from freshet.runtime import pin
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept per worker; the store is emptied when full, which changes no result.
+#: Words kept per worker in each of two generations; what falls out is encoded again when met again.
 STORE_WORDS = 400_000
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _stores: dict[str, "WordEncoder"] = {}
 
@@ -33,8 +35,9 @@ class WordEncoder:
     """Ids of texts as little-endian bytes, through a store of the ids of single words.
 
     The vocabulary's splitting pattern never joins characters over white space, so a text's ids are the
-    ids of its space-separated words one after the other. Words of ASCII letters are encoded many at a
-    time: each is one piece for the vocabulary and ends with an id whose token bears the word-end mark.
+    ids of its space-separated words one after the other. It also parts letters from the marks after them.
+    Words of letters are encoded many at a time: each is one piece and ends with an id whose token bears
+    the word-end mark. Anything else, and any batch whose ends do not add up, is encoded word by word.
     """
 
     def __init__(self, path: str):
@@ -45,51 +48,85 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
         self.store: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isascii() and w.isalpha()]
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                raise RuntimeError("the vocabulary does not end each word with its mark")
-            self.store.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
-        other = [w for w in words if not (w.isascii() and w.isalpha())]
-        tails = [w for w in other if w[:-1].isascii() and w[:-1].isalpha() and w[-1] in ".,!?;:"]
-        if tails:  # a word and one mark: two pieces
-            heads = {w[:-1] for w in tails} | {w[-1] for w in tails}
-            self._learn({w for w in heads if w not in self.store and w.isalpha()})
-            for mark in {w[-1] for w in tails} - self.store.keys():
-                self._encode_one(mark)
-            for w in tails:
-                self.store[w] = self.store[w[:-1]] + self.store[w[-1]]
-        for w in other:
-            if w not in self.store:
-                self._encode_one(w)
-
-    def _encode_one(self, word: str) -> None:
-        self.store[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.older: dict[str, bytes] = {}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(some):
+                raw, low = ids.tobytes(), 0
+                for word, high in zip(some, cuts.tolist()):
+                    self.store[word] = raw[low:high]
+                    low = high
+            else:
+                self.store.update((w, self._one(w)) for w in some)
+
+    def _learn(self, words: list[str]) -> None:
+        store, older = self.store, self.older
+        letters: set[str] = set()
+        marked: list[tuple[str, str]] = []
+        for word in words:
+            if word in older:
+                store[word] = older[word]
+            elif word.isalpha():
+                letters.add(word)
+            else:
+                head = word.rstrip(_MARKS)
+                if head.isalpha():
+                    marked.append((word, head))
+                    if head in older:
+                        store[head] = older[head]
+                    elif head not in store:
+                        letters.add(head)
+                else:
+                    store[word] = self._one(word)
+        self._letters(list(letters))
+        for word, head in marked:
+            mark = word[len(head) :]
+            if mark not in store:
+                store[mark] = self._one(mark)
+            store[word] = store[head] + store[mark]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the offsets of the texts."""
         if len(self.store) > STORE_WORDS:
-            self.store.clear()
-        split = [_ascii_lower(t).replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.store.keys()
+            self.older, self.store = self.store, {}
+        lists = pc.split_pattern(pc.replace_substring(_lowered(texts), "\n", " "), " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        store = self.store
+        new = [w for w in words if w not in store]
         if new:
             self._learn(new)
-        get = self.store.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _ascii_lower(text: str) -> str:
-    """A-Z lowered, unless that would turn a special token's name into another text or the reverse."""
-    if "<|" in text:
-        return text
-    return text.lower() if text.isascii() else text.translate(_FOLD)
+        codes = list(map(store.__getitem__, words))
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        each = sizes[at]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(first[at] - ends + each, each) + np.arange(total)]
+        words_before = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ids, np.concatenate(([0], ends))[words_before]
+
+
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Lowered as far as the vocabulary itself would for sure: whole Latin-1 texts, else only A-Z.
+
+    Texts that may hold a special token's name stay as they are.
+    """
+    texts = pc.fill_null(texts, "")
+    _, data, offsets = next(byte_chunks(texts, 1 << 60))
+    beyond = np.concatenate(([0], np.cumsum(data >= 0xC4)))
+    beyond = pa.array(np.diff(beyond[offsets]) > 0)
+    named = pc.match_substring(texts, "<|")
+    out = pc.if_else(beyond, pc.ascii_lower(texts), pc.utf8_lower(texts)) if pc.any(beyond).as_py() else pc.utf8_lower(texts)
+    return pc.if_else(named, texts, out) if pc.any(named).as_py() else out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -107,13 +144,13 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         encode = encoder(tokenizer_path or public_tokenizers.path(TOKENIZER))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
-                ids = column_of(part, "doc_id").to_pylist()
-                texts = [t or "" for t in column_of(part, "text").to_pylist()]
-                rows = []
-                for doc, codes in zip(ids, encode(texts)):
-                    codes += end
+            ids = column_of(batch, "doc_id").to_pylist()
+            column = column_of(batch, "text")
+            for low, _, bounds in byte_chunks(column, 3 * CHUNK_BYTES):
+                tokens, offsets = encode(column.slice(low, len(bounds) - 1))
+                raw, rows = tokens.tobytes(), []
+                for doc, start, stop in zip(ids[low:], offsets[:-1].tolist(), offsets[1:].tolist()):
+                    codes = raw[4 * start : 4 * stop] + end
                     for k, at in enumerate(range(0, len(codes), 4 * capacity)):
                         own = codes[at : at + 4 * capacity]
                         rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
