@@ -132,11 +132,19 @@ def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         low = high
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lowered, split at ASCII white space) and each row's word offsets."""
+#: Letters, digits and everything beyond ASCII: what plain words are made of once marks are left out.
+PLAIN = np.zeros(256, bool)
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lowered) and each row's word offsets.
+
+    ``inside`` says which bytes belong to words: by default all but ASCII white space.
+    """
     if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = inside[data]
     begins = np.empty(len(data), bool)
     begins[0] = True
     np.logical_not(solid[:-1], out=begins[1:])

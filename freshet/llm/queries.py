@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import fingerprints, language, packing, pii, quality
+from freshet.llm import decontaminate, fingerprints, language, packing, pii, quality, repeats, secrets
 from freshet.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,18 @@ def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+@query
+def op5_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find(documents(spark, sf_dir))
+
+
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
