@@ -29,15 +29,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def spread_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], into: str = "rank") -> DataFrame:
+def spread_rank(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], into: str = "rank", position: Column | None = None
+) -> DataFrame:
     """Gapless rank from 0 inside each group, without bringing a group together in one task.
 
-    Rows are dealt to hash buckets of ``order``; the rank follows (bucket, order). Bucket counts give
-    each bucket its offset, and only rows of one bucket of one group are sorted together. ``df`` is
-    read twice, so it should be a written table. Rows equal in ``order`` get different ranks.
+    Rows are dealt to buckets, the rank follows (bucket, order). Bucket counts give each bucket its offset,
+    and only rows of one bucket of one group are sorted together. ``position`` in [0, 1) decides the bucket
+    and must spread the rows; by default it is a hash of ``order``. ``df`` is read twice, so it should be a
+    written table. Rows equal in ``order`` get different ranks.
     """
     buckets = max(1, -(-df.count() // BUCKET_ROWS))
-    with_bucket = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    at = hash01(*order) if position is None else position
+    with_bucket = df.withColumn("_bucket", F.floor(at * buckets))
     keys = [*group, "_bucket"]
     counts = with_bucket.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,6 +54,11 @@ def spread_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], into:
     )
 
 
+def hash01(*columns: Column | str) -> Column:
+    """A hash of the columns as a number in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 12) / F.lit(float(1 << 52))
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Components of the graph of ``edges (a, b)`` long: rows (node, component), component the least node.
 
