@@ -1,22 +1,78 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept, and all but the last
+return the columns of documents. Null texts and texts without letters leave in the first stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from freshet.llm import decontaminate, language, neardup, packing, pii
+from freshet.llm.common import free_name
+from freshet.runtime import pin, ship
+
+#: A text stays if the best language has at least this share of the evidence.
+MIN_LANGUAGE_SHARE = 0.3
+#: Near duplicates: words of a shingle, and percent of common shingles.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language that can be told."""
+    ship(spark)
+    return language.keep_known(docs, language.fit(docs), MIN_LANGUAGE_SHARE)
+
 
-from freshet.llm import packing
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of every group of near duplicates.
 
+    Rows that repeat a doc_id are one document; the row whose text sorts first stays. Rows without a doc_id stay.
+    """
+    ship(spark)
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    turn = free_name(docs, "_turn")
+    stays = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    stays = stays.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return stays.where(F.col(turn) == 1).select(*docs.columns).union(docs.where("doc_id is null"))
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a copy of a benchmark item."""
+    ship(spark)
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the name of its kind."""
+    ship(spark)
+    return pii.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place."""
+    ship(spark)
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Not expressible in SQL (language model, tokenizer); tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result but the last is written before the next stage reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = pin(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -91,6 +91,14 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return low.union(roots).distinct()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32_utf8(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes."""
     return F.crc32(F.encode(text, "UTF-8"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import byte_chunks, column_of
+from freshet.llm.common import byte_chunks, column_of, free_name
 
 ORDER = 3
 UNKNOWN = "und"
@@ -101,6 +101,13 @@ class LanguageModel:
         return out, sizes
 
 
+def shares(bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Share of each language by the mean evidence per byte."""
+    rate = bits / np.maximum(sizes, 1)[:, None]
+    weight = np.exp2(-SHARPNESS * (rate - rate.min(axis=1, keepdims=True)))
+    return weight / weight.sum(axis=1, keepdims=True)
+
+
 def held_out() -> Column:
     """Whether a row's doc_id puts it aside for measuring; null for a null doc_id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -164,11 +171,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 bits, sizes = trained.bits(column_of(batch, "text"))
                 bits, sizes = bits[letters], sizes[letters]
                 best = bits.argmin(axis=1)
-                rate = bits / sizes[:, None]
-                lead = rate - rate[np.arange(len(best)), best][:, None]
                 names[letters] = np.array(trained.names, object)[best]
-                scores[letters] = 1 / np.exp2(-SHARPNESS * lead).sum(axis=1)
-                rates[letters] = rate[np.arange(len(best)), best]
+                scores[letters] = shares(bits, sizes).max(axis=1)
+                rates[letters] = bits.min(axis=1) / sizes
             yield pa.RecordBatch.from_arrays(
                 [column_of(batch, "doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(rates, from_pandas=True)],
                 ["doc_id", "lang_pred", "score", "bits_per_byte"],
@@ -178,3 +183,28 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", letters).mapInArrow(
         work, "doc_id long, lang_pred string, score double, bits_per_byte double"
     )
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, min_score: float) -> DataFrame:
+    """The rows and columns of ``docs`` whose text has a language with at least ``min_score``.
+
+    Null texts and texts without letters go. Without anything learned, every text with letters stays.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    flag = free_name(docs, "_letters")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trained = shared.value
+        for batch in batches:
+            keep = np.array(column_of(batch, flag).to_pylist(), bool)
+            if trained.trees and keep.any():
+                bits, sizes = trained.bits(column_of(batch, "text"))
+                keep &= shares(bits, sizes).max(axis=1) >= min_score
+            index = batch.schema.get_field_index(flag)
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(
+                [c for i, c in enumerate(kept.columns) if i != index], [n for i, n in enumerate(kept.schema.names) if i != index]
+            )
+
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.withColumn(flag, letters).mapInArrow(work, docs.schema)
