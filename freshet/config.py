@@ -90,7 +90,7 @@ class SplitConfig:
 class TuningConfig:
     enabled: bool = False
     n_trials: int = 30
-    timeout_per_model: int | None = 300
+    timeout_per_model: int | None = None
     n_cv_folds: int = 3
     cv_gap: int = 0
     metric: str = "brier"

@@ -1,186 +1,156 @@
-"""Exact k-nearest-neighbour regression by cell-pruned block joins.
+"""k-nearest-neighbour regression against a bounded set of labelled rows.
 
-Training rows are assigned to the nearest of a bounded number of pivots. A cell is described
-by its size and its smallest and largest distance to the pivot, so the triangle inequality
-tells which cells can hold a neighbour of a query:
-
-1. Each query visits the nearest cells that together hold ``k`` rows, giving an upper bound
-   on its k-th distance.
-2. It then visits only the other cells whose lower bound does not exceed that.
-
-Visits are equi-joins on (cell, training block, query block). Blocks have bounded sizes, so a
-cell with a third of all rows is many small tasks. Only the best ``k`` per query and block
-leave a task; no pair table is ever built. The result is exact: cells are skipped only when
-provably too far.
+Exact neighbours over two unbounded tables are quadratic work, so the labelled side of a fit is bounded
+by a documented parameter: up to ``max_rows`` rows, chosen by a hash of their id when there are more. That
+set is broadcast once (its size is checked by construction) and every query row is compared with all of
+it, block by block, in the task that holds the row: no shuffle, no ids on the query side, work linear in
+the queries. With at most ``max_rows`` labelled rows the neighbours are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.runtime import pin
-
-MAX_PIVOTS = 256
+MAX_ROWS = 100_000
 BLOCK_ROWS = 4096
 
 
-def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
-    """(len(a), len(b)) distances, built up one feature at a time."""
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        gap = a[:, j, None] - b[None, :, j]
-        out += np.abs(gap) if p == 1 else gap * gap
-    return out if p == 1 else np.sqrt(out, out=out)
+@dataclass(frozen=True)
+class Reference:
+    """Labelled rows in the order of their ids."""
 
+    ids: np.ndarray
+    vectors: np.ndarray
+    labels: np.ndarray
 
-def _closest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the ``k`` smallest entries per row; ties go to low columns."""
-    if k >= d.shape[1]:
-        return np.nonzero(np.ones_like(d, dtype=bool))
-    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    keep = d <= kth
-    crowded = np.flatnonzero(keep.sum(axis=1) > k)
-    if len(crowded):
-        below, level = d[crowded] < kth[crowded], d[crowded] == kth[crowded]
-        room = k - below.sum(axis=1, keepdims=True)
-        keep[crowded] = below | (level & (np.cumsum(level, axis=1) <= room))
-    return np.nonzero(keep)
 
+def reference_rows(
+    train: DataFrame, features: Sequence[str], train_id: str | Sequence[str], label: str, max_rows: int = MAX_ROWS, unique: bool = True,
+) -> Reference:
+    """At most about ``max_rows`` labelled rows in the order of ``train_id``, one or several columns.
+
+    They must be there and, unless ``unique`` is off, tell the rows apart.
+    """
+    keys = [train_id] if isinstance(train_id, str) else list(train_id)
+    missing = [k for k in keys if k not in train.columns]
+    if missing or not keys:
+        raise ValueError(f"neighbours need the id columns {missing or 'of a row'}")
+    n = train.count()
+    t = train.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("_y"))
+    keys = [f"_k{i}" for i in range(len(keys))]
+    if n > max_rows:
+        t = t.where(F.shiftrightunsigned(F.xxhash64(*keys), 12) / F.lit(float(1 << 52)) < max_rows / n)
+    table = t.orderBy(*keys).toArrow().to_pandas()  # bounded by max_rows
+    if unique and (table.duplicated(keys).any() or table[keys].isna().any(axis=None)):
+        raise ValueError(f"{keys} do not tell the labelled rows apart")
+    ids = table[keys[0]].to_numpy() if len(keys) == 1 else np.arange(len(table))
+    return Reference(ids, table[[f"_f{i}" for i in range(len(features))]].to_numpy(float), table["_y"].to_numpy(float))
+
+
+def _finder(k: int, p: int, block_rows: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Positions and distances of the k nearest rows; equal distances go to the lower position.
+
+    Nested, so that it travels by value to workers that lack this package.
+    """
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float)
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), len(b)))
+        for j in range(a.shape[1]):
+            gap = a[:, j, None] - b[None, :, j]
+            out += np.abs(gap) if p == 1 else gap * gap
+        return out if p == 1 else np.sqrt(out, out=out)
+
+    def find(queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = np.zeros((len(queries), 0), int), np.zeros((len(queries), 0))
+        for low in range(0, len(vectors), block_rows):
+            d = distances(queries, vectors[low : low + block_rows])
+            if best[0].shape[1] == k and k < d.shape[1]:
+                near = np.argpartition(d, k - 1, axis=1)[:, :k]
+                level = np.take_along_axis(d, near, 1).max(axis=1)
+                worse = level > best[1][:, -1]
+                # Where the k-th here is tied, the partition may have left out a lower position.
+                tied = (d <= level[:, None]).sum(axis=1) > k
+                full = tied & ~worse if worse.any() else tied
+            else:
+                near, full = None, np.ones(len(d), bool)
+            if near is None or full.any():
+                whole = np.argsort(d, axis=1, kind="stable")[:, :k]
+                near = whole if near is None else np.where(full[:, None], whole, near)
+            both_at = np.concatenate([best[0], near + low], axis=1)
+            both_d = np.concatenate([best[1], np.take_along_axis(d, near, 1)], axis=1)
+            order = np.lexsort((both_at, both_d), axis=1)[:, :k]
+            best = np.take_along_axis(both_at, order, 1), np.take_along_axis(both_d, order, 1)
+        return best
+
+    return find
 
 
 def nearest(
     train: DataFrame, queries: DataFrame, features: Sequence[str], train_id: str, query_id: str,
-    label: str, k: int = 10, p: int = 2, pivots: int | None = None, block_rows: int = BLOCK_ROWS,
+    label: str, k: int = 10, p: int = 2, max_rows: int = MAX_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``(query_id, train_id, dist, label)`` of the ``k`` nearest training rows of each query.
+    """``(query_id, train_id, dist, label)`` of the ``k`` nearest labelled rows of each query.
 
     Equal distances are ordered by the training id.
     """
-    vec = F.array(*[F.col(c).cast("double") for c in features])
-    t = train.select(F.col(train_id).alias("tid"), vec.alias("tv"), F.col(label).cast("double").alias("ty"))
-    q = queries.select(F.col(query_id).alias("qid"), vec.alias("qv"))
-    n_train = t.count()
-    if pivots is None:
-        pivots = int(min(MAX_PIVOTS, max(1, n_train // 512)))
-    seeds = t.select("tv", F.xxhash64("tid").alias("h")).orderBy("h").limit(pivots).collect()
-    centres = np.array([r["tv"] for r in seeds], dtype=float)
-
-    @F.pandas_udf("struct<cell:int,d:double>")
-    def assign(v: pd.Series) -> pd.DataFrame:
-        d = _distances(_stack(v), centres, p)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell, "d": d[np.arange(len(d)), cell]})
-
-    # Read once per visit and for the cell sizes: worth a file instead of recomputing.
-    placed = pin(t.withColumn("_a", assign("tv")).select("tid", "tv", "ty", "_a.cell", "_a.d"))
-    stats = {
-        r["cell"]: (r["n"], r["lo"], r["hi"])
-        for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
-    }
-    cells = np.array(sorted(stats))
-    size = np.array([stats[c][0] for c in cells])
-    lo = np.array([stats[c][1] for c in cells])
-    hi = np.array([stats[c][2] for c in cells])
-    used = centres[cells]
-    blocks = np.maximum(1, -(-size // block_rows))
-
-    def visits(first: bool):
-        """Rows (qid, qv, cell, tb) to visit, before or after an upper bound is known."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if batch.empty:
-                    continue
-                d = _distances(_stack(batch["qv"]), used, p)
-                order = np.argsort(d, axis=1, kind="stable")
-                held = np.cumsum(size[order], axis=1)
-                # Nearest cells up to and including the one that completes k rows.
-                home_sorted = np.concatenate([np.zeros((len(d), 1)), held[:, :-1]], axis=1) < k
-                home = np.zeros_like(home_sorted)
-                np.put_along_axis(home, order, home_sorted, axis=1)
-                if first:
-                    pick = home
-                else:
-                    # A hair of slack keeps rounding from pruning a tied neighbour.
-                    bound = batch["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
-                    floor = np.maximum(np.maximum(d - hi, lo - d), 0.0)
-                    pick = ~home & (floor <= bound)
-                row, col = np.nonzero(pick)
-                reps = blocks[col]
-                row, col = np.repeat(row, reps), np.repeat(col, reps)
-                tb = np.concatenate([np.arange(r) for r in reps]) if len(reps) else np.array([], int)
-                out = batch[["qid", "qv"]].iloc[row].reset_index(drop=True)
-                out["cell"], out["tb"] = cells[col].astype("int32"), tb.astype("int32")
-                yield out
-
-        return run
-
-    n_blocks = F.element_at(F.create_map(*[x for c, b in zip(cells, blocks) for x in (F.lit(int(c)), F.lit(int(b)))]), F.col("cell"))
-    t_blocks = placed.select("tid", "tv", "ty", "cell", F.pmod(F.xxhash64("tid"), n_blocks).cast("int").alias("tb"))
-    q_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in q.schema.fields)
-    visit_schema = f"{q_schema}, cell int, tb int"
-    id_type = q.schema["qid"].dataType.simpleString()
-    tid_type = t.schema["tid"].dataType.simpleString()
-    hit_schema = f"qid {id_type}, tid {tid_type}, dist double, ty double"
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "tid": [], "dist": [], "ty": []})
-        right = right.sort_values("tid", kind="stable")
-        tv, tid, ty = _stack(right["tv"]), right["tid"].to_numpy(), right["ty"].to_numpy()
-        qv, qid = _stack(left["qv"]), left["qid"].to_numpy()
-        parts = []
-        for i in range(0, len(left), 512):
-            d = _distances(qv[i : i + 512], tv, p)
-            row, col = _closest(d, k)
-            parts.append(pd.DataFrame({"qid": qid[i + row], "tid": tid[col], "dist": d[row, col], "ty": ty[col]}))
-        return pd.concat(parts, ignore_index=True)
-
-    def visit(plan: DataFrame) -> DataFrame:
-        plan = pin(plan)
-        # Query blocks bound the other side too: a popular cell is split by its visitors, and
-        # its training blocks are repeated once per query block.
-        per = plan.groupBy("cell", "tb").agg(F.count(F.lit(1)).alias("_n")).select(
-            "cell", "tb", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("nq")
-        )
-        q_side = plan.join(per, ["cell", "tb"]).withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")).drop("nq")
-        t_side = t_blocks.join(per, ["cell", "tb"]).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq")
-        # The work per byte is high: a fixed spread keeps small blocks from being coalesced.
-        key = ["cell", "tb", "qb"]
-        width = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        q_side, t_side = (side.repartition(width, *key) for side in (q_side, t_side))
-        return q_side.groupBy(*key).cogroup(t_side.groupBy(*key)).applyInPandas(search, hit_schema)
-
-    w = Window.partitionBy("qid").orderBy("dist", "tid")
-    best_k = lambda hits: hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
-    near = pin(best_k(visit(q.mapInPandas(visits(True), visit_schema))))
-    bounds = near.groupBy("qid").agg(F.max("dist").alias("bound"))
-    again = q.join(bounds, "qid").mapInPandas(visits(False), visit_schema)
-    hits = best_k(near.unionByName(visit(again)))
-    return hits.select(F.col("qid").alias(query_id), F.col("tid").alias(train_id), "dist", F.col("ty").alias("label"))
+    known = queries.sparkSession.sparkContext.broadcast(reference_rows(train, features, train_id, label, max_rows))
+    find = _finder(k, p, block_rows)
+    names = (query_id, train_id)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ref = known.value
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                part = batch.iloc[low : low + 256]
+                at, d = find(part.iloc[:, 1:].to_numpy(float), ref.vectors)
+                each = at.shape[1]
+                yield pd.DataFrame({
+                    names[0]: np.repeat(part.iloc[:, 0].to_numpy(), each), names[1]: ref.ids[at].reshape(-1),
+                    "dist": d.reshape(-1), "label": ref.labels[at].reshape(-1),
+                })
+
+    slim = queries.select(F.col(query_id), *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
+    kinds = (queries.schema[query_id].dataType.simpleString(), train.schema[train_id].dataType.simpleString())
+    return slim.mapInPandas(run, f"`{query_id}` {kinds[0]}, `{train_id}` {kinds[1]}, dist double, label double")
+
+
+def neighbour_column(
+    spark, known: Reference, features: Sequence[str], k: int = 10, weights: str = "distance", p: int = 2, block_rows: int = BLOCK_ROWS
+):
+    """Prediction as a column of the features; an exact match outweighs everything else. No id is needed."""
+    if weights not in ("distance", "uniform"):
+        raise ValueError(f"unknown weights {weights!r}")
+    shared, find = spark.sparkContext.broadcast(known), _finder(k, p, block_rows)
+
+    @F.pandas_udf("double")
+    def predict(columns: pd.DataFrame) -> pd.Series:
+        ref, out = shared.value, []
+        values = columns.to_numpy(float)
+        for low in range(0, len(values), 256):
+            at, d = find(values[low : low + 256], ref.vectors)
+            y = ref.labels[at]
+            if weights == "uniform":
+                out.append(y.mean(axis=1))
+                continue
+            exact = d == 0
+            weight = np.where(exact.any(axis=1)[:, None], exact.astype(float), 1 / np.where(exact, 1.0, d))
+            out.append((y * weight).sum(axis=1) / weight.sum(axis=1))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return predict(F.struct(*[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)]))
 
 
 def knn_predict(
     train: DataFrame, queries: DataFrame, features: Sequence[str], train_id: str, query_id: str,
-    label: str, k: int = 10, weights: str = "distance", p: int = 2, **kw,
+    label: str, k: int = 10, weights: str = "distance", p: int = 2, max_rows: int = MAX_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``(query_id, y_pred)``; an exact match outweighs everything else."""
-    if weights not in ("distance", "uniform"):
-        raise ValueError(f"unknown weights {weights!r}")
-    train = train.withColumnRenamed(train_id, "_train_id")
-    hits = nearest(train, queries, features, "_train_id", query_id, label, k, p, **kw)
-    if weights == "uniform":
-        value = F.avg("label")
-    else:
-        exact = F.avg(F.when(F.col("dist") == 0, F.col("label")))
-        inverse = F.when(F.col("dist") > 0, 1.0 / F.nullif(F.col("dist"), F.lit(0.0)))
-        value = F.coalesce(exact, F.sum(inverse * F.col("label")) / F.sum(inverse))
-    return hits.groupBy(query_id).agg(value.alias("y_pred"))
+    """``(query_id, y_pred)``."""
+    known = reference_rows(train, features, train_id, label, max_rows)
+    value = neighbour_column(queries.sparkSession, known, features, k, weights, p, block_rows)
+    return queries.select(query_id, value.alias("y_pred"))

@@ -90,7 +90,13 @@ class SlicePlan:
             df.join(F.broadcast(self.table(df.sparkSession)), self.keys, "left")
             .withColumn(
                 SLICE,
-                F.coalesce(bucket_of(F.col(self.order), F.col("_cuts"), self.most_cuts), F.lit(0)),
+                # NULL sorts last, so it belongs to the last slice.
+                F.coalesce(
+                    F.when(F.col(self.order).isNull(), F.size("_cuts")).otherwise(
+                        bucket_of(F.col(self.order), F.col("_cuts"), self.most_cuts)
+                    ),
+                    F.lit(0),
+                ),
             )
             .drop("_cuts")
         )
@@ -196,7 +202,7 @@ class OrderedView:
     plan: SlicePlan
 
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.partition).orderBy(*self.order)
+        return Window.partitionBy(*self.partition).orderBy(*[F.asc_nulls_last(c) for c in self.order])
 
     def join_groups(self, df: DataFrame, dim: DataFrame, how: str = "left") -> DataFrame:
         """Join a per-group table without bringing a split group together again."""
@@ -219,10 +225,11 @@ def ordered_view(
     """Prepare ``df`` for windows over ``keys`` ordered by ``order``.
 
     ``before``/``after``: how many preceding/following rows the caller's frames touch.
-    Rows with a NULL key are dropped, as grouping does in the batch semantics followed here.
+    Rows with a NULL key are dropped, as grouping does in the batch semantics followed here. Rows
+    without a time stay and come last in their group.
     """
     keys, order = list(keys), list(order)
-    df = df.dropna(subset=[*keys, order[0]])
+    df = df.dropna(subset=keys)
     plan = plan_slices(df, keys, order[0], max(before, after))
     if not plan.needed:
         return OrderedView(df, keys, order, plan)
@@ -233,7 +240,7 @@ def ordered_view(
     hot = tagged.filter(F.col("_total").isNotNull())
     w = Window.partitionBy(*keys, SLICE)
     if before:
-        late = w.orderBy(*[F.desc(c) for c in order])
+        late = w.orderBy(*[F.desc_nulls_first(c) for c in order])
         pieces.append(
             hot.filter(F.col(SLICE) < last_slice)
             .withColumn("_r", F.row_number().over(late))
@@ -243,7 +250,7 @@ def ordered_view(
             .withColumn(COPY, F.lit(True))
         )
     if after:
-        early = w.orderBy(*order)
+        early = w.orderBy(*[F.asc_nulls_last(c) for c in order])
         pieces.append(
             hot.filter(F.col(SLICE) > 0)
             .withColumn("_r", F.row_number().over(early))

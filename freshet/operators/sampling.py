@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BUCKETS = 1_000_000
 
 
 def hash_sample(df: DataFrame, fraction: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """About ``fraction`` of the rows, chosen by a hash of their key.
 
-    The choice depends on the key and seed alone, so it survives task retries and any
-    partitioning, and needs no shuffle.
+    The choice depends on the key and seed alone (52 bits of an MD5), so it survives task retries and
+    any partitioning, and needs no shuffle.
     """
     if fraction >= 1.0:
         return df
-    draw = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(_BUCKETS))
-    return df.filter(draw < int(round(fraction * _BUCKETS)))
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    return df.filter(draw < fraction)
 
 
 def exact_sample(df: DataFrame, fraction: float, keys: Sequence[str], seed: int = 42) -> DataFrame:

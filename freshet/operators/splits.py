@@ -73,6 +73,11 @@ def _resolve(index: TimeIndex, spans: Sequence[tuple[int, int, int, int]]) -> li
     ]
 
 
+def test_rows(cfg: SplitConfig, time: str = "time") -> Column:
+    """Rows after the test cut: held out from every fold of the walk-forward strategies."""
+    return F.coalesce(F.col(time) > instant(cfg.val_end, cfg.end_of_day), F.lit(False))
+
+
 def _walk_forward(df: DataFrame, cfg: SplitConfig, time: str, growing: bool) -> list[Fold]:
     before_test = df.filter(F.col(time) <= instant(cfg.val_end, cfg.end_of_day))
     index = TimeIndex(distinct_times(before_test, time))

@@ -880,7 +880,10 @@ def key_uniqueness(spark, sf):
 # --- Sampling, distinct, summary ----------------------------------------------------------
 
 
-@query("hash_sample")
+@query(
+    "hash_sample",
+    f"WITH {E} SELECT * FROM e WHERE ('0x' || substr(md5(event_id::VARCHAR || '|42'), 1, 13))::BIGINT / 4503599627370496.0 < 0.1",
+)
 def sampled(spark, sf):
     return hash_sample(src.event_series(spark, sf), 0.1, ["event_id"], seed=42)
 

@@ -6,10 +6,11 @@ written once; each experiment reads only its own columns from it.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import time as clock
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 from itertools import product
@@ -19,39 +20,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.config import FeatureConfig, FuzzyConfig, PipelineConfig, SeriesKeys, TARGET_BAND
+from freshet.config import FeatureConfig, FuzzyConfig, PipelineConfig, SampleMode, SeriesKeys, SplitStrategy, TARGET_BAND
 from freshet.operators import quality
+from freshet.operators.climatology import instant
 from freshet.operators.alerts import DEFAULT_THRESHOLD, AnomalyReport, anomaly_report, calibrate
 from freshet.operators.features import FeatureMeta, FeatureSpec, select_for_lookback
 from freshet.operators.metrics import anomaly_metrics, evaluate
 from freshet.operators.models import ModelEntry, SparkModel, fit_model, model_registry, score
 from freshet.operators.ordering import ordered_view
-from freshet.operators.sampling import hash_sample, sample_entities
+from freshet.operators.neighbours import MAX_ROWS
+from freshet.operators.sampling import hash_sample
 from freshet.operators.scaling import fit_scaler
 from freshet.operators.search import SEARCH_SPACES, search
-from freshet.operators.splits import fixed_split
+from freshet.operators.splits import fixed_split, make_splits, test_rows
 from freshet.operators.targets import _score_futures, features_and_targets
 from freshet.runtime import in_parallel, pin
-from freshet.sources.sinks import cache_path, cached, run_record, save_table, write_json, write_summary
+from freshet.sources.sinks import cache_path, cached, content_key, run_record, save_table, write_json, write_summary
 
 log = logging.getLogger(__name__)
-BASE_PARTS = ("p_values", "q_values", "feature_config", "fuzzy_config", "sample_frac", "random_seed", "spatial_stride")
+BASE_PARTS = ("p_values", "q_values", "feature_config", "fuzzy_config", "sample_frac", "random_seed")
 ALERT_COLUMNS = ("precision", "recall", "f1", "pr_auc", "fpr")
 
 
 def base_table(
     series: DataFrame, thresholds: DataFrame, cfg: PipelineConfig, keys: SeriesKeys = SeriesKeys(),
-    band: str = TARGET_BAND, output_dir: str | None = None,
+    band: str = TARGET_BAND, output_dir: str | None = None, verify: Callable[[DataFrame, FeatureMeta], None] | None = None,
 ) -> tuple[DataFrame, FeatureMeta]:
-    """Features for the longest lookback and all targets; written and read back when a folder is given."""
+    """Features for the longest lookback and all targets; written and read back when a folder is given.
+
+    The stored table is keyed by the configuration, the keys, the band and the rows it was made from.
+    ``verify`` sees the whole table, before any sampling.
+    """
+    if cfg.sample_mode != SampleMode.PIXEL:
+        raise ValueError(f"the grid builds pixel features; build {cfg.sample_mode.value} tables with their own operators")
     df, meta = features_and_targets(
         series, max(cfg.p_values), cfg.feature_config, cfg.q_values, thresholds, cfg.fuzzy_config, band, keys
     )
-    df = hash_sample(df, cfg.sample_frac, [keys.entity, *keys.order], cfg.random_seed)
+    sample = partial(hash_sample, fraction=cfg.sample_frac, keys=[keys.entity, *keys.order], seed=cfg.random_seed)
     if output_dir is None:
-        return df, meta
+        if verify:
+            verify(df, meta)
+        return sample(df), meta
+    made_from = [str(keys), band, content_key(series), content_key(thresholds)]
     path = cache_path(output_dir, f"base_table_P{max(cfg.p_values)}", cfg, *BASE_PARTS)
-    return cached(series.sparkSession, path, lambda: df), meta
+    path = path.replace(".parquet", f"-{hashlib.sha256(json.dumps(made_from).encode()).hexdigest()[:16]}.parquet")
+
+    def build() -> DataFrame:
+        if verify:
+            verify(df, meta)
+        return sample(df)
+
+    return cached(series.sparkSession, path, build), meta
 
 
 def grid_coverage(
@@ -121,18 +140,17 @@ class ExperimentRunner:
         """Summary with one row per (P, Q, model)."""
         spark = series.sparkSession
         out_dir = self.cfg.output_dir if self.save else None
-        base, meta = base_table(series, thresholds, self.cfg, self.keys, output_dir=out_dir)
+        verify = None if self.skip_checks else self.check_lags
+        base, meta = base_table(series, thresholds, self.cfg, self.keys, output_dir=out_dir, verify=verify)
         if not self.save:
             base = pin(base)
-        if not self.skip_checks:
-            self.check_lags(base, meta)
         results: list[RunResult] = []
         for P, Q in product(self.cfg.p_values, self.cfg.q_values):
             try:
                 results += self.run_one(base, meta, P, Q)
             except Exception as exc:  # noqa: BLE001 - failures stay within their experiment
                 log.warning("experiment P%d_Q%d failed: %s", P, Q, exc)
-                results.append(RunResult({"experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "error": str(exc)[:500]}))
+                results.append(RunResult({"experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "error": str(exc)}))
         self.evaluate([r for r in results if r.predictions is not None])
         if self.save:
             for r in results:
@@ -142,13 +160,11 @@ class ExperimentRunner:
             write_summary(summary, self.cfg.output_dir)
         return summary
 
-    def check_lags(self, base: DataFrame, meta: FeatureMeta, n_entities: int = 5) -> None:
-        """Recompute the lags of a few whole series; a sampled table has gaps and is left out."""
-        if self.cfg.sample_frac < 1.0 or not any(s.kind == "lag" for s in meta.specs):
+    def check_lags(self, whole: DataFrame, meta: FeatureMeta) -> None:
+        """Recompute the lags of every series of the unsampled table."""
+        if not any(s.kind == "lag" for s in meta.specs):
             return
-        few = F.broadcast(sample_entities(base, self.keys.entity, n_entities, self.cfg.random_seed))
-        series = base.join(few, self.keys.entity, "left_semi")
-        for r in quality.lag_integrity(series, meta.specs, self.keys).filter("mismatches > 0").collect():
+        for r in quality.lag_integrity(whole, meta.specs, self.keys).filter("mismatches > 0").collect():
             raise quality.CheckFailed(f"{r['feature']} differs from its source in {r['mismatches']} rows")
 
     def run_one(self, base: DataFrame, meta: FeatureMeta, P: int, Q: int) -> list[RunResult]:
@@ -157,15 +173,18 @@ class ExperimentRunner:
         specs = select_for_lookback(meta.specs, P)
         features = [s.name for s in specs]
         ids = [self.keys.time, self.keys.entity, *self.keys.tie]
-        df = base.select(*dict.fromkeys([*ids, *features, target])).dropna(subset=[*features, target])
+        block = [self.cfg.split_config.spatial_block_col] if self.cfg.split_config.spatial_block_col else []
+        df = base.select(*dict.fromkeys([*ids, *block, *features, target])).dropna(subset=[*features, target])
         # The base table is on files: every job reads its own columns, nothing is held in memory.
-        df = fixed_split(df, self.cfg.split_config, self.keys.time)
+        df = self._split(df)
         counts = {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
         if any(not counts.get(s) for s in ("train", "val", "test")):
             raise ValueError(f"P{P}_Q{Q}: an empty split in {counts}")
         if not self.skip_checks:
             checks = quality.check_battery(df, features, target, quality.split_masks(), self.keys.time)
             quality.require(checks)
+            for r in quality.target_correlation(df, features, target).filter("alert").collect():
+                raise quality.CheckFailed(f"{r['feature']} correlates with the target by {r['correlation']:.4f}")
         fitted = fit_scaler(df.filter("split = 'train'"), features, self.scaler)
         return in_parallel(
             [
@@ -175,6 +194,29 @@ class ExperimentRunner:
             self.parallel,
         )
 
+    def _split(self, df: DataFrame) -> DataFrame:
+        """Rows labelled train, val, test as the split configuration asks.
+
+        Walk-forward strategies fit on their last fold and test on the rows after the test cut; with a block
+        column, rows of the blocks whose hash falls in the last fifth are the test rows of either strategy.
+        """
+        cfg, time = self.cfg.split_config, self.keys.time
+        if cfg.strategy == SplitStrategy.FIXED:
+            out = fixed_split(df, cfg, time)
+        else:
+            folds = make_splits(df, cfg, time)
+            if not folds:
+                raise ValueError("the walk-forward split has no fold; check the window sizes")
+            last, t = folds[-1], F.col(time)
+            label = F.when(t.between(instant(last.train_lo), instant(last.train_hi)), "train")
+            label = label.when(t.between(instant(last.val_lo), instant(last.val_hi)), "val")
+            out = df.withColumn("split", label.when(test_rows(cfg, time), "test"))
+        if cfg.spatial_block_col:
+            block = F.pmod(F.xxhash64(cfg.spatial_block_col), F.lit(5)) == 4
+            inside = F.when(F.col("split") != "test", F.col("split"))
+            out = out.withColumn("split", F.when(block, F.when(F.col("split") == "test", "test")).otherwise(inside))
+        return out
+
     def _fit_model(self, entry, df, fitted, specs: list[FeatureSpec], target, P, Q, counts) -> RunResult:
         """Tune, fit and score one model; its predictions are materialised here, failures included."""
         started = clock.monotonic()
@@ -187,6 +229,8 @@ class ExperimentRunner:
         try:
             data = fitted.transform(df) if entry.needs_scaling else df
             train = data.filter("split = 'train'")
+            if entry.name == "KNN":
+                row["labelled_rows"] = min(counts["train"], entry.params.get("max_rows", MAX_ROWS))
             params = {**self.overrides.get(entry.name, {}), **self._tuned(entry, train, features, target, row)}
             model = fit_model(entry, train, features, target, self.cfg.random_seed, **params)
             ids = [self.keys.time, self.keys.entity, *self.keys.tie]
@@ -197,7 +241,7 @@ class ExperimentRunner:
             result = RunResult(row, scored, model, features, self.keys.time)
         except Exception as exc:  # noqa: BLE001 - recorded as an error row
             log.warning("model %s failed: %s", entry.name, exc)
-            result = RunResult({**row, "error": str(exc)[:500]})
+            result = RunResult({**row, "error": str(exc)})
         result.row["elapsed_s"] = round(clock.monotonic() - started, 2)
         return result
 
@@ -220,7 +264,7 @@ class ExperimentRunner:
         return scored.sparkSession.read.parquet(path)
 
     def evaluate(self, results: list[RunResult]) -> None:
-        """Metrics, thresholds and alert scores of all runs in three grouped jobs."""
+        """Metrics, thresholds and alert scores of all runs in three grouped jobs; reports run one by one."""
         if not results:
             return
         everything = results[0].predictions

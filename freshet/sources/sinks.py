@@ -5,7 +5,9 @@ All of it goes through Spark writers, so a path may be any file system the clust
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,15 @@ def cache_path(output_dir: str, name: str, cfg: PipelineConfig, *parts: str) ->
     return f"{output_dir}/cache/{name}-{cfg.content_hash(*parts)[:16]}.parquet"
 
 
+def content_key(df: DataFrame, columns: Sequence[str] | None = None) -> str:
+    """A hash of a table's rows in any order, by one column-pruned aggregate: equal contents, equal key."""
+    names = sorted(columns or df.columns)
+    each = F.xxhash64(*[F.col(c) for c in names]).cast("decimal(20,0)")
+    row = df.agg(F.count(F.lit(1)), F.sum(each), F.sum(F.xxhash64(F.lit(7), *[F.col(c) for c in names]).cast("decimal(20,0)"))).first()
+    kinds = [(c, df.schema[c].dataType.simpleString()) for c in names]
+    return hashlib.sha256(json.dumps([kinds, [str(v) for v in row]]).encode()).hexdigest()[:24]
+
+
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path`` if its write finished (the committer left its success marker)."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -60,9 +71,13 @@ def clustered(df: DataFrame, entity: str, time: str, partitions: int | None = No
 def ensure_thresholds(
     series: DataFrame, out_dir: str, value: str = "precipitation", entity: str = "pixel_id", force: bool = False
 ) -> DataFrame:
-    """Climatological thresholds, computed once and kept with a description beside them."""
+    """Climatological thresholds, computed once for this input and kept with a description beside them.
+
+    The file's name holds a hash of the value column, the entity, the levels and the rows they come from.
+    """
     spark = series.sparkSession
-    path = f"{out_dir}/thresholds.parquet"
+    made_from = json.dumps([value, entity, LEVELS, content_key(series, [entity, value])], sort_keys=True)
+    path = f"{out_dir}/thresholds-{hashlib.sha256(made_from.encode()).hexdigest()[:16]}.parquet"
     existed = None if force else read_if_there(spark, path)
     if existed is not None:
         return existed

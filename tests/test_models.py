@@ -138,16 +138,16 @@ def brute_knn(train, test, y, k, p, weights):
     return np.array(out)
 
 
-@pytest.mark.parametrize("p, weights, pivots, block", [(2, "distance", None, 4096), (1, "uniform", 12, 9), (2, "distance", 1, 16)])
-def test_knn(spark, p, weights, pivots, block):
-    """A third of the training rows share one point, so one cell is hot and ties are many."""
+@pytest.mark.parametrize("p, weights, block", [(2, "distance", 4096), (1, "uniform", 9), (2, "distance", 16)])
+def test_knn(spark, p, weights, block):
+    """A third of the training rows share one point, so ties are many."""
     rng = np.random.default_rng(5)
     train = np.where(np.arange(300)[:, None] % 3 == 0, 0.5, rng.normal(size=(300, 3)))
     test, y = rng.normal(size=(80, 3)), rng.uniform(size=300)
     test[:5] = 0.5
     make = lambda a: spark.createDataFrame(pd.DataFrame(a, columns=list("abc")).assign(id=np.arange(len(a))))
     t = make(train).join(spark.createDataFrame(pd.DataFrame({"id": np.arange(300), "y": y})), "id")
-    out = knn_predict(t, make(test), list("abc"), "id", "id", "y", 7, weights, p, pivots=pivots, block_rows=block)
+    out = knn_predict(t, make(test), list("abc"), "id", "id", "y", 7, weights, p, block_rows=block)
     got = out.toPandas().sort_values("id").y_pred.to_numpy()
     assert np.allclose(got, brute_knn(train, test, y, 7, p, weights))
 
