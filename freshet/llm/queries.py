@@ -11,7 +11,75 @@ from freshet.llm import decontaminate, fingerprints, language, neardup, packing,
 from freshet.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+_ASSIGN, _ACCESS, _HEX = (p.replace("'", "''") for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX))
+
+
+def _spans_sql(number: int, pattern: str, value: str, least: int = 0) -> str:
+    """Struct list (start, kind, end, value) of the matches of a pattern; gaps and matches give the positions."""
+    return (
+        f"list_filter(list_transform(range(1, len(m{number}) + 1), lambda i: struct_pack("
+        f"s := coalesce(list_sum(list_transform(g{number}[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m{number}[1:i - 1], lambda x: length(x))), 0)::BIGINT, "
+        f"k := {number}, e := coalesce(list_sum(list_transform(g{number}[1:i], lambda x: length(x))), 0)::BIGINT + list_sum(list_transform(m{number}[1:i], lambda x: length(x)))::BIGINT, "
+        f"v := {value.format(m=f'm{number}[i]')})), lambda x: length(x.v) >= {least})"
+    )
+
+
+_NAMED = "array_to_string(list_transform({0}, lambda x: ['assign', 'access', 'hex', 'live'][x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+_PLACEHOLDER = "example|sample|dummy|changeme|placeholder|xxxx|your[_-]"
+
+ORACLES: dict[str, str] = {
+    "op3_secret_ownership": f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT *, regexp_extract_all(t, '{_ASSIGN}') AS m0, string_split_regex(t, '{_ASSIGN}') AS g0,
+  regexp_extract_all(t, '{_ACCESS}') AS m1, string_split_regex(t, '{_ACCESS}') AS g1,
+  regexp_extract_all(t, '{_HEX}') AS m2, string_split_regex(t, '{_HEX}') AS g2 FROM d),
+base AS (SELECT doc_id, owner, list_sort(list_concat({_spans_sql(0, _ASSIGN, "regexp_extract({m}, '" + _ASSIGN.replace("{", "{{").replace("}", "}}") + "', 2)", secrets.SHORTEST_VALUE)},
+  list_concat({_spans_sql(1, _ACCESS, "{m}")}, {_spans_sql(2, _HEX, "{m}")}))) AS b FROM cut),
+each AS (SELECT doc_id, owner, unnest(b) AS x FROM base),
+owners AS (SELECT x.v AS v, count(DISTINCT owner) AS n FROM each GROUP BY 1),
+judged AS (SELECT e.doc_id, e.x, o.n, o.n = 1 AND length(e.x.v) >= {secrets.LIVE_LENGTH}
+    AND len(list_distinct(string_split(e.x.v, ''))) >= {secrets.LIVE_DIFFERENT} AND NOT regexp_matches(e.x.v, '(?i){_PLACEHOLDER}') AS live
+  FROM each e JOIN owners o ON o.v = e.x.v),
+extra AS (SELECT doc_id, coalesce(list(DISTINCT struct_pack(s := x.e - length(x.v), k := 3, e := x.e)) FILTER (WHERE live), []) AS live,
+  count(DISTINCT x.v) FILTER (WHERE n >= {secrets.COPIED_OWNERS}) AS n_copied FROM judged GROUP BY 1),
+slim AS (SELECT doc_id, list_transform(b, lambda x: struct_pack(s := x.s, k := x.k, e := x.e)) AS b FROM base)
+SELECT s.doc_id, len(list_filter(b, lambda x: x.k = 0))::BIGINT AS n_assign, len(list_filter(b, lambda x: x.k = 1))::BIGINT AS n_access,
+  len(list_filter(b, lambda x: x.k = 2))::BIGINT AS n_hex, sha256({_NAMED.format("b")}) AS base_sha256,
+  {_NAMED.format("list_sort(list_concat(b, coalesce(live, [])))")} AS spans,
+  coalesce(len(live), 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+FROM slim s LEFT JOIN extra USING (doc_id)""",
+    "op4_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+x AS (SELECT doc_id, unnest(g) AS t FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 85 * (len(p.g) + len(q.g) - n)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)""",
+    "op5_line_hash_dedup": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT doc_id, regexp_extract_all(t, '[^.!?\n]+[.!?]*') AS m, string_split_regex(t, '[^.!?\n]+[.!?]*') AS g FROM d),
+piece AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS raw, unnest(g[1:len(m)]) AS gap FROM cut),
+placed AS (SELECT doc_id, i, raw, sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM piece),
+unit AS (SELECT doc_id, i, stop, stop - length(regexp_replace(raw, '^\s+', '')) AS start,
+  list_filter(string_split_regex(rtrim(lower(raw), '.!? '), '\s+'), lambda x: x <> '') AS w FROM placed),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, start, stop, len(w) AS words, array_to_string(w, ' ') AS norm
+  FROM unit WHERE len(w) >= {repeats.MIN_UNIT_WORDS}),
+ranked AS (SELECT *, first_value(doc_id) OVER f AS first_doc_id, first_value(start) OVER f AS first_start FROM u
+  WINDOW f AS (PARTITION BY norm ORDER BY doc_id, start)),
+later AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY doc_id ORDER BY start) = 1 THEN 0 ELSE 1 END AS fresh FROM ranked
+  WHERE (doc_id, start) > (first_doc_id, first_start)),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS r FROM later),
+sized AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, r) AS run_words, min(start) OVER (PARTITION BY doc_id, r) AS run_start FROM run)
+SELECT doc_id, start::INT AS start, stop::INT AS "end", words::INT AS words, first_doc_id, first_start::INT AS first_start,
+  run_start::INT AS run_start, run_words::BIGINT AS run_words
+FROM sized WHERE run_words >= {repeats.MIN_RUN_WORDS}""",
+}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
