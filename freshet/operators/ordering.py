@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from freshet.runtime import Limits, is_small
+from freshet.runtime import Limits
 
 SLICE = "_slice"
 COPY = "_copy"
 _ALL = "_all"
 _GROUP_ROWS = "_group_rows"
 _SKETCH_CUTS = 4096
+_LEAST_SLICES = 8
 
 
 def bucket_of(x: Column, cuts: Column, n_cuts: int) -> Column:
@@ -134,9 +135,11 @@ def _merge_thin(cuts: list, counts: list[int], least: int) -> tuple[list, list[i
     return kept_cuts, kept
 
 
-def plan_slices(df: DataFrame, keys: Sequence[str], order: str, reach: int = 1) -> SlicePlan:
+def plan_slices(df: DataFrame, keys: Sequence[str], order: str, reach: int = 1, least_slices: int = 1) -> SlicePlan:
     """Find the groups of ``keys`` too large for one task and cut them along ``order``.
 
+    ``least_slices`` above one cuts the largest groups into about so many slices at any size.
+
     ``reach`` is the longest distance, in rows, that a frame looks over a slice edge; slices
     never get shorter than that.
     """
@@ -144,13 +147,12 @@ def plan_slices(df: DataFrame, keys: Sequence[str], order: str, reach: int = 1)
     keys = list(keys)
     fields = {f.name: f.dataType for f in df.schema.fields}
     plan = SlicePlan(keys, order, fields[order], [], [fields[k] for k in keys])
-    if is_small(df, limits):
-        return plan
-
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_GROUP_ROWS))
     stats = sizes.agg(F.sum(_GROUP_ROWS).alias("total"), F.max(_GROUP_ROWS).alias("largest")).first()
     total, largest = stats["total"] or 0, stats["largest"] or 0
     task_rows = max(limits.task_rows, -(-total // limits.max_slices))
+    if least_slices > 1:
+        task_rows = max(1, min(task_rows, -(-total // least_slices)))
     if largest <= task_rows:
         return plan
 
@@ -270,17 +272,18 @@ def with_running_total(
     keys: Sequence[str],
     order: str,
     sums: dict[str, str],
-    counts: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Inclusive running totals per group in ascending ``order``, sliced where needed.
 
+    A table without keys is one group and is always sliced, as is any with ``spread``: one plan at all sizes.
     ``sums`` maps output names to numeric columns. Ties in ``order`` must be aggregated away
     beforehand. Slice totals are prefix-summed as a table of at most ``max_slices`` rows.
     """
     keys = list(keys)
     if not keys:
-        df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
-    plan = plan_slices(df, keys, order)
+        df, keys, spread = df.withColumn(_ALL, F.lit(0)), [_ALL], True
+    plan = plan_slices(df, keys, order, least_slices=_LEAST_SLICES if spread else 1)
     if not plan.needed:
         w = Window.partitionBy(*keys).orderBy(order)
         out = df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.ordering import bucket_of, with_running_total
-from freshet.runtime import Limits, is_small
+from freshet.runtime import Limits
 
 
 def groups_fit_memory(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True when no group exceeds what one task may hold in a value map."""
+    """True when no group exceeds what one task may hold in a value map; never for a table without keys."""
+    if not keys:
+        return False
     limits = Limits.of(df.sparkSession)
-    if is_small(df, limits):
-        return True
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     return largest <= limits.task_rows
 
@@ -44,12 +44,12 @@ def percentile_array(df: DataFrame, keys: Sequence[str], value: str, probs: Sequ
     return _by_rank(slim, keys, probs)
 
 
-def _by_rank(slim: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+def _by_rank(slim: DataFrame, keys: list[str], probs: list[float], spread: bool = False) -> DataFrame:
     if not keys:
-        return _by_rank(slim.withColumn("_k", F.lit(0)), ["_k"], probs).drop("_k")
+        return _by_rank(slim.withColumn("_k", F.lit(0)), ["_k"], probs, spread=True).drop("_k")
     counted = slim.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     sizes = slim.groupBy(*keys).agg(F.count("_v").alias("_total"))
-    ranked = with_running_total(counted, keys, "_v", {"_cum": "_n"}).join(sizes, keys)
+    ranked = with_running_total(counted, keys, "_v", {"_cum": "_n"}, spread).join(sizes, keys)
 
     # A row stands for ranks (cum - n, cum]. It matters to a level with fractional position h
     # exactly when cum - n - 1 < h < cum; a binary search finds those levels, if any.

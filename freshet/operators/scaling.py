@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.quantiles import exact_percentiles, groups_fit_memory
+from freshet.operators.quantiles import exact_percentiles
 
 SCALERS = ("standard", "minmax", "robust")
 
@@ -51,14 +51,9 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], kind: str = "standard")
 
 def _quartiles(train: DataFrame, columns: list[str]) -> list[tuple[float, float]]:
     """(median, interquartile range) per column, exact at any size."""
-    levels = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     slim = train.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if groups_fit_memory(slim, []):
-        row = slim.agg(*[F.percentile(c, levels).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        triples = [row[f"q{i}"] for i in range(len(columns))]
-    else:
-        long = slim.unpivot([], columns, "feature", "value")
-        got = exact_percentiles(long, ["feature"], "value", {"a": 0.25, "m": 0.5, "b": 0.75})
-        by = {r["feature"]: (r["a"], r["m"], r["b"]) for r in got.collect()}
-        triples = [by[c] for c in columns]
-    return [(None, None) if t is None else (t[1], t[2] - t[0]) for t in triples]
+    long = slim.unpivot([], columns, "feature", "value")
+    got = exact_percentiles(long, ["feature"], "value", {"a": 0.25, "m": 0.5, "b": 0.75})
+    by = {r["feature"]: (r["a"], r["m"], r["b"]) for r in got.collect()}
+    triples = [by.get(c, (None, None, None)) for c in columns]
+    return [(None, None) if m is None else (m, b - a) for a, m, b in triples]

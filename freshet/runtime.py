@@ -1,14 +1,9 @@
-"""Session set-up and the size checks that every operator shares.
+"""Session set-up, intermediate tables and the limits that every ordered operator shares.
 
-Two questions decide between a plain plan and a split one:
-
-* is the whole input small enough that no group in it can hurt one task?
-  (answered from the optimizer's statistics, without a job)
-* if not, does any single group hold more rows than one task should sort?
-  (answered by one column-pruned, map-side combined count)
-
-The limits come from the session, so a cluster can raise them and the tests can
-lower them far enough to force the split plans on tiny inputs.
+One question decides how a group is worked on, at every size of the input: does it hold more rows
+than one task should sort? It is answered by one column-pruned, map-side combined count. The limits
+come from the session, so a cluster can raise them and the tests can lower them far enough to force
+the split plans on tiny inputs.
 """
 
 from __future__ import annotations
@@ -27,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
 
-SMALL_BYTES = "spark.freshet.smallBytes"
 TASK_ROWS = "spark.freshet.taskRows"
 MAX_SLICES = "spark.freshet.maxSlices"
 _OWN_FOLDER = "spark.freshet.ownFolder"
@@ -38,12 +32,10 @@ _shipped: dict[str, str] = {}
 class Limits:
     """Bounds used by the skew checks.
 
-    ``small_bytes``: inputs estimated below this take the plain plan unchecked.
     ``task_rows``: most rows of one group that one task may sort.
     ``max_slices``: bound on all cut points together, hence on what is broadcast.
     """
 
-    small_bytes: int = 64 * 1024 * 1024
     task_rows: int = 2_000_000
     max_slices: int = 20_000
 
@@ -51,7 +43,6 @@ class Limits:
     def of(cls, spark: SparkSession) -> "Limits":
         conf = spark.conf
         return cls(
-            small_bytes=int(conf.get(SMALL_BYTES, str(cls.small_bytes))),
             task_rows=int(conf.get(TASK_ROWS, str(cls.task_rows))),
             max_slices=int(conf.get(MAX_SLICES, str(cls.max_slices))),
         )
@@ -78,26 +69,6 @@ def local_session(app: str = "freshet", cpus: int | str = "*", **conf: str) -> S
     return spark
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Bytes of all inputs of a plan by the optimizer's statistics; no job runs.
-
-    Inputs rather than the output: the optimizer estimates a join by the product of its sides.
-    """
-    jdf = getattr(df, "_jdf", None)
-    if jdf is None:  # a remote session shows no plan: let the counting checks decide
-        return 1 << 62
-    leaves = jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(leaves.next().stats().sizeInBytes())
-    return total
-
-
-def is_small(df: DataFrame, limits: Limits | None = None) -> bool:
-    limits = limits or Limits.of(df.sparkSession)
-    return estimated_bytes(df) <= limits.small_bytes
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 

@@ -83,7 +83,7 @@ def alignment_issues(meta: DataFrame, columns: Sequence[str] = META_COLUMNS, ref
 
 
 def validate_alignment(tiles: DataFrame) -> None:
-    """Raise with every mismatch listed; a clean table passes silently."""
+    """Raise with every kind of mismatch, its number of files and one of them; a clean table passes silently."""
     bad = alignment_issues(file_metadata(tiles))
     rows = bad.groupBy("issue").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("example")).collect()
     if rows:
@@ -91,18 +91,24 @@ def validate_alignment(tiles: DataFrame) -> None:
 
 
 def _cells(tiles: DataFrame, layers: Sequence[str], stride: int, carry: Sequence[str]) -> DataFrame:
-    """Explode aligned value arrays into one row per kept cell."""
-    zipped = F.arrays_zip(*[F.col(c) for c in layers])
-    flat = tiles.select(*carry, "width", F.posexplode(zipped).alias("_pos", "_cell"))
-    y, x = F.expr("_pos div width").cast("int"), (F.col("_pos") % F.col("width")).cast("int")
-    kept = flat.filter((y % stride == 0) & (x % stride == 0))
-    nx = F.ceil(F.col("width") / F.lit(stride)).cast("int")
-    yi, xi = (y / stride).cast("int"), (x / stride).cast("int")
-    return kept.select(
+    """One row per kept cell of aligned value arrays: positions are chosen before anything is exploded."""
+    width, size = F.col("width"), F.size(layers[0])
+    rows = F.when(size > 0, F.sequence(F.lit(0), F.expr(f"(size(`{layers[0]}`) - 1) div width").cast("int"), F.lit(stride)))
+    columns = F.sequence(F.lit(0), width.cast("int") - 1, F.lit(stride))
+    nx = F.ceil(width / F.lit(stride)).cast("int")
+
+    def cell(y: Column, x: Column) -> Column:
+        at = (y * width + x).cast("int")
+        yi, xi = (y / stride).cast("int"), (x / stride).cast("int")
+        return F.struct(
+            (yi.cast("long") * nx + xi).alias("pixel_id"), yi.alias("y_idx"), xi.alias("x_idx"),
+            *[F.get(F.col(c), at).alias(c) for c in layers],
+        )
+
+    cells = F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: cell(y, x))))
+    return tiles.select(*carry, F.explode(cells).alias("_cell")).select(
         *carry,
-        (yi.cast("long") * nx + xi).alias("pixel_id"),
-        yi.alias("y_idx"),
-        xi.alias("x_idx"),
+        *[F.col("_cell")[c].alias(c) for c in ("pixel_id", "y_idx", "x_idx")],
         *[F.col("_cell")[c].alias(c) for c in layers],
     )
 

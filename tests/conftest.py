@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from freshet.runtime import MAX_SLICES, SMALL_BYTES, TASK_ROWS, local_session  # noqa: E402
+from freshet.runtime import MAX_SLICES, TASK_ROWS, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,12 +20,11 @@ def tight(spark):
     """Limits so low that every group above a few rows is split."""
 
     def set_limits(task_rows=7, max_slices=20_000):
-        spark.conf.set(SMALL_BYTES, "0")
         spark.conf.set(TASK_ROWS, str(task_rows))
         spark.conf.set(MAX_SLICES, str(max_slices))
 
     yield set_limits
-    for key in (SMALL_BYTES, TASK_ROWS, MAX_SLICES):
+    for key in (TASK_ROWS, MAX_SLICES):
         spark.conf.unset(key)
 
 
