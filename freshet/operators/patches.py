@@ -1,20 +1,26 @@
 """Spatio-temporal patches around interior cells.
 
 A patch holds P time steps of a (2·hw+1)² neighbourhood with all bands, oldest step first,
-flattened row-major as (step, dy, dx, band). Cells are sent to the at most (2·hw+1)² centres
-they belong to, planes are gathered per (centre, time), and P consecutive planes are taken by
-a window over a dense time index.
+flattened row-major as (step, dy, dx, band).
+
+The grid is cut into square blocks. A block holds its own cells and a halo of ``hw`` cells, so at
+hw = 5 and blocks of 32 a cell is copied 1.7 times on average, not 121 times. One shuffle gathers
+the plane of each (block, time); P consecutive planes meet in a window over a dense time index; the
+patches of all centres of a block are then cut out of the planes as array slices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.ordering import ordered_view, with_running_total
 
+#: Side of a block in cells.
+BLOCK = 32
+
 
 def dense_time_index(cube: DataFrame, time: str = "time") -> DataFrame:
     """``(time, t_idx)`` over all distinct times, 0-based."""
@@ -23,6 +29,13 @@ def dense_time_index(cube: DataFrame, time: str = "time") -> DataFrame:
     return ranked.select(time, (F.col("t_idx") - 1).cast("long").alias("t_idx"))
 
 
+def _blocks_of(at: Column, hw: int, block: int, size: int) -> Column:
+    """Blocks whose cells or halo hold the coordinate."""
+    low = F.greatest(F.floor((at - hw) / block), F.lit(0)).cast("int")
+    high = F.least(F.floor((at + hw) / block), F.lit((size - 1) // block)).cast("int")
+    return F.sequence(low, high)
+
+
 def build_patches(
     cube: DataFrame,
     P: int,
@@ -31,32 +44,33 @@ def build_patches(
     height: int,
     width: int,
     times: DataFrame | None = None,
+    time_index: DataFrame | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``(time, cy, cx, patch)`` for every interior centre with P full steps.
 
     ``cube`` has one row per (time, cell); a band value may be NULL and stays NULL inside the
-    patch. ``times`` restricts the reference times, after the steps have been taken over all.
+    patch, while a cell without a row takes all its centres away. ``times`` restricts the reference
+    times, after the steps have been taken over all. ``time_index`` gives (time, t_idx) where it is
+    known from the sources, which saves a pass over the cube.
     """
     bands = list(bands)
     values = F.array(*[F.col(b).cast("float") for b in bands])
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-hw, hw + 1) for dx in range(-hw, hw + 1)])
-    # A cell at offset (dy, dx) from a centre belongs to the centre (y - dy, x - dx).
-    spread = cube.select("time", "y_idx", "x_idx", values.alias("v"), F.explode(offsets).alias("o")).select(
-        "time",
-        (F.col("y_idx") - F.col("o.dy")).alias("cy"),
-        (F.col("x_idx") - F.col("o.dx")).alias("cx"),
-        F.struct("o.dy", "o.dx", "v").alias("cell"),
+    spread = (
+        cube.filter(F.col("y_idx").between(0, height - 1) & F.col("x_idx").between(0, width - 1))
+        .select("time", "y_idx", "x_idx", values.alias("v"), F.explode(_blocks_of(F.col("y_idx"), hw, block, height)).alias("by"))
+        .select("*", F.explode(_blocks_of(F.col("x_idx"), hw, block, width)).alias("bx"))
     )
-    inside = spread.filter(F.col("cy").between(hw, height - 1 - hw) & F.col("cx").between(hw, width - 1 - hw))
-    side = 2 * hw + 1
-    planes = (
-        inside.groupBy("cy", "cx", "time")
-        .agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-        .filter(F.size("cells") == side * side)
-        .select("cy", "cx", "time", F.flatten(F.transform("cells", lambda c: c["v"])).alias("plane"))
-    )
-    indexed = planes.join(dense_time_index(cube), "time")
-    view = ordered_view(indexed, ["cy", "cx"], ["t_idx"], before=P - 1)
+    y0, x0 = F.greatest(F.col("by") * block - hw, F.lit(0)), F.greatest(F.col("bx") * block - hw, F.lit(0))
+    y1 = F.least(F.col("by") * block + block - 1 + hw, F.lit(height - 1))
+    x1 = F.least(F.col("bx") * block + block - 1 + hw, F.lit(width - 1))
+    w = x1 - x0 + 1
+    place = ((F.col("y_idx") - y0) * w + F.col("x_idx") - x0).cast("int")
+    gathered = spread.groupBy("by", "bx", "time").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "v"))).alias("cells"))
+    planes = gathered.select("by", "bx", "time", _dense(F.col("cells"), ((y1 - y0 + 1) * w).cast("int")).alias("plane"))
+
+    indexed = planes.join(time_index or dense_time_index(cube), "time")
+    view = ordered_view(indexed, ["by", "bx"], ["t_idx"], before=P - 1)
     last = view.window().rowsBetween(-(P - 1), 0)
     stacked = view.df.withColumns(
         {"steps": F.collect_list("plane").over(last), "first_idx": F.min("t_idx").over(last)}
@@ -64,5 +78,38 @@ def build_patches(
     full = view.finish(stacked).filter(
         (F.size("steps") == P) & (F.col("t_idx") - F.col("first_idx") == P - 1)
     )
-    out = full.select("time", "cy", "cx", F.flatten("steps").alias("patch"))
-    return out if times is None else out.join(times, "time", "left_semi")
+    if times is not None:
+        full = full.join(times, "time", "left_semi")
+
+    side = 2 * hw + 1
+    steps = F.col("steps")
+
+    def cut(cy: Column, cx: Column) -> Column:
+        """Row slices of every plane; a missing cell makes the whole patch NULL."""
+        first = (cy - y0) * w + cx - x0 - hw
+        rows = lambda plane: F.flatten(
+            F.transform(F.sequence(F.lit(-hw), F.lit(hw)), lambda dy: F.slice(plane, (first + dy * w + 1).cast("int"), F.lit(side)))
+        )
+        return F.flatten(F.flatten(F.transform(steps, rows)))
+
+    def centres(number: Column, size: int) -> Column:
+        low, high = F.greatest(number * block, F.lit(hw)), F.least(number * block + block - 1, F.lit(size - 1 - hw))
+        return F.when(low <= high, F.sequence(low, high))
+
+    patches = F.flatten(
+        F.transform(centres(F.col("by"), height), lambda cy: F.transform(
+            centres(F.col("bx"), width), lambda cx: F.struct(cy.alias("cy"), cx.alias("cx"), cut(cy, cx).alias("patch"))
+        ))
+    )
+    return full.select("time", F.explode(patches).alias("p")).select("time", "p.cy", "p.cx", "p.patch").filter(F.col("patch").isNotNull())
+
+
+def _dense(cells: Column, expected: Column) -> Column:
+    """Values by position; positions without a cell are NULL. Whole planes, the usual case, need no filling."""
+    kind = "array<array<float>>"
+    gap = lambda n: F.array_repeat(F.lit(None).cast("array<float>"), n)
+    filled = F.aggregate(
+        cells, F.array().cast(kind), lambda out, c: F.concat(out, gap(c["at"] - F.size(out)), F.array(c["v"])).cast(kind),
+    )
+    filled = F.concat(filled, gap(expected - F.size(filled)))
+    return F.when(F.size(cells) == expected, F.transform(cells, lambda c: c["v"])).otherwise(filled)

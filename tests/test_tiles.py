@@ -160,3 +160,22 @@ def test_patches_match_numpy(spark):
         np.testing.assert_array_equal(have, want)
     only = spark.createDataFrame([(t[3].to_pydatetime(),)], "time timestamp_ntz")
     assert build_patches(cube, 2, 1, ["tp"], 6, 6, only).count() == 16
+
+
+@pytest.mark.parametrize("hw, P, block", [(1, 2, 3), (2, 3, 4), (5, 3, 8), (5, 1, 32), (3, 2, 2)])
+def test_patches_over_block_edges_and_holes(spark, hw, P, block):
+    """Blocks smaller and larger than the halo; cells that are missing take their centres away."""
+    rng = np.random.default_rng(hw)
+    h, w, steps = 14, 17, 4
+    cube = rng.normal(size=(steps, h, w)).astype(np.float32)
+    gone = {(1, 3, 4), (2, 9, 16), (3, 0, 0)}
+    rows = [(dt.datetime(2022, 1, 1, t), y, x, float(cube[t, y, x])) for t in range(steps) for y in range(h) for x in range(w) if (t, y, x) not in gone]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, y_idx int, x_idx int, tp float")
+    got = {(r.time.hour, r.cy, r.cx): np.array(r.patch, np.float32) for r in build_patches(df, P, hw, ["tp"], h, w, block=block).collect()}
+    want = {}
+    for t in range(P - 1, steps):
+        for y in range(hw, h - hw):
+            for x in range(hw, w - hw):
+                if not any(t - P < a <= t and abs(b - y) <= hw and abs(c - x) <= hw for a, b, c in gone):
+                    want[t, y, x] = cube[t - P + 1 : t + 1, y - hw : y + hw + 1, x - hw : x + hw + 1].reshape(-1)
+    assert got.keys() == want.keys() and all(np.array_equal(got[k], want[k]) for k in want)
