@@ -808,6 +808,14 @@ CHECK_CTE = (
 )
 
 
+PAIRS = (("train", "val"), ("train", "test"), ("val", "test"))
+
+
+def _names_sql(names: Sequence[str]) -> str:
+    listed = ", ".join(f"('{n}')" for n in names)
+    return f"(SELECT count(*) = 0 FROM (VALUES {listed}) v(n) WHERE regexp_matches(lower(n), 'target|future|label'))"
+
+
 def _check_row(name: str, ok: str) -> str:
     return f"SELECT '{name}' AS \"check\", {ok} AS ok FROM a"
 
@@ -816,14 +824,16 @@ def _check_row(name: str, ok: str) -> str:
     "check_battery",
     f"WITH {CHECK_CTE}, a AS (SELECT max(time) FILTER (WHERE split = 'train') AS t1, min(time) FILTER (WHERE split = 'val') AS v0, max(time) FILTER (WHERE split = 'val') AS v1, "
     "min(time) FILTER (WHERE split = 'test') AS s0, count(*) FILTER (WHERE split = 'train') AS n1, count(*) FILTER (WHERE split = 'val') AS n2, count(*) FILTER (WHERE split = 'test') AS n3, "
+    + ", ".join(f"count(*) FILTER (WHERE split = '{a}' AND split = '{b}') AS {a}_{b}" for a, b in PAIRS)
+    + ", " + " + ".join(f"count(*) FILTER (WHERE {s.name} IS NULL)" for s in CHECK_SPECS) + " AS nulls, "
     "min(y) AS lo, max(y) AS hi FROM k) "
     + " UNION ALL ".join(
         _check_row(n, ok)
         for n, ok in (
-            ("no_future_names", "TRUE"), ("train_before_val", "t1 < v0"), ("val_before_test", "v1 < s0"),
-            ("disjoint_train_val", "TRUE"), ("disjoint_train_test", "TRUE"), ("disjoint_val_test", "TRUE"),
+            ("no_future_names", _names_sql([s.name for s in CHECK_SPECS])), ("train_before_val", "t1 < v0"), ("val_before_test", "v1 < s0"),
+            *((f"disjoint_{a}_{b}", f"{a}_{b} = 0") for a, b in PAIRS),
             ("train_not_empty", "n1 > 0"), ("val_not_empty", "n2 > 0"), ("test_not_empty", "n3 > 0"),
-            ("no_null_features", "TRUE"), ("target_in_range", "lo >= 0 AND hi <= 1"),
+            ("no_null_features", "nulls = 0"), ("target_in_range", "lo >= 0 AND hi <= 1"),
         )
     ),
 )
@@ -833,6 +843,46 @@ def check_battery(spark, sf):
     return quality.check_battery(labelled, meta.names, "target_q1", quality.split_masks()).select("check", "ok")
 
 
+@query(
+    "check_battery_failing",
+    f"WITH {CHECK_CTE}, p AS (SELECT *, CASE WHEN event_id % 10 > 0 THEN y END AS future_tp, 2 * y AS doubled, time <= TIMESTAMP '2024-01-22' AS tr, "
+    "time > TIMESTAMP '2024-01-20' AND time <= TIMESTAMP '2024-01-25' AS va, time > TIMESTAMP '2025-01-01' AS te FROM k), "
+    "a AS (SELECT max(time) FILTER (WHERE tr) AS t1, min(time) FILTER (WHERE va) AS v0, max(time) FILTER (WHERE va) AS v1, min(time) FILTER (WHERE te) AS s0, "
+    "count(*) FILTER (WHERE tr) AS n1, count(*) FILTER (WHERE va) AS n2, count(*) FILTER (WHERE te) AS n3, count(*) FILTER (WHERE tr AND va) AS train_val, "
+    "count(*) FILTER (WHERE tr AND te) AS train_test, count(*) FILTER (WHERE va AND te) AS val_test, count(*) FILTER (WHERE future_tp IS NULL) AS nulls, "
+    "min(doubled) AS lo, max(doubled) AS hi FROM p) "
+    + " UNION ALL ".join(
+        _check_row(n, f"coalesce({ok}, FALSE)")
+        for n, ok in (
+            ("no_future_names", _names_sql(["lag_0_tp", "future_tp"])), ("train_before_val", "t1 < v0"), ("val_before_test", "v1 < s0"),
+            *((f"disjoint_{a}_{b}", f"{a}_{b} = 0") for a, b in PAIRS),
+            ("train_not_empty", "n1 > 0"), ("val_not_empty", "n2 > 0"), ("test_not_empty", "n3 > 0"),
+            ("no_null_features", "nulls = 0"), ("target_in_range", "lo >= 0 AND hi <= 1"),
+        )
+    ),
+)
+def check_battery_failing(spark, sf):
+    """The same battery on a table that breaks most of its rules."""
+    df, _ = _checked_table(spark, sf)
+    df = df.withColumns({"future_tp": F.when(F.col("event_id") % 10 > 0, F.col("target_q1")), "doubled": 2 * F.col("target_q1")})
+    at = lambda day: clim.instant(day)
+    masks = {
+        "train": F.col("time") <= at("2024-01-22"), "val": (F.col("time") > at("2024-01-20")) & (F.col("time") <= at("2024-01-25")),
+        "test": F.col("time") > at("2025-01-01"),
+    }
+    return quality.check_battery(df, ["lag_0_tp", "future_tp"], "doubled", masks).select("check", "ok")
+
+
+@query(
+    "rolling_test_rows",
+    f"WITH {L} SELECT time, pixel_id FROM l WHERE time > TIMESTAMP '2000-12-31'",
+)
+def rolling_test_rows(spark, sf):
+    """Rows held out from every fold of the walk-forward splits."""
+    d = src.daily_series(spark, sf)
+    return d.filter(splits.test_rows(src.DAY_SPLIT)).select("time", "pixel_id")
+
+
 @query(
     "lag_integrity",
     f"WITH {CHECK_CTE}, g AS (SELECT *, "
@@ -1146,7 +1196,7 @@ query("elastic_net")(_model_query("ElasticNet", alpha=0.001))
 query("bayes_ridge")(_model_query("BayesianRidge"))
 query("pls")(_model_query("PLSRegression"))
 query("transformed_target")(_model_query("TransformedTarget_Ridge"))
-query("tree")(_model_query("DecisionTree", max_depth=8))
+query("tree")(_model_query("DecisionTree"))
 query("forest")(_model_query("RandomForest", n_estimators=20, max_depth=8))
 query("gbt")(_model_query("GradientBoosting", n_estimators=10, max_depth=4))
 
@@ -1172,6 +1222,10 @@ def _shrunk(l1: float, l2: float) -> str:
     return f"a * sign(ay) * greatest(abs(ay) / n - {l1}, 0) / (aa / n + {l2})"
 
 
+query(
+    "ridge_two_features",
+    _fit_sql("(a * ((b2 + 1) * ay - ab * bb) + b * ((aa + 1) * bb - ab * ay)) / ((aa + 1) * (b2 + 1) - ab * ab)", 6),
+)(_model_query("Ridge", TWO))
 query("ridge_closed_form", _fit_sql("a * ay / (aa + 50.0)", 6))(_model_query("Ridge", ONE, alpha=50.0))
 query("lasso_closed_form", _fit_sql(_shrunk(0.0005, 0.0), 4))(_model_query("Lasso", ONE, 4, alpha=0.0005))
 query("elastic_net_closed_form", _fit_sql(_shrunk(0.0005, 0.0005), 4))(_model_query("ElasticNet", ONE, 4, alpha=0.001))
