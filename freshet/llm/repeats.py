@@ -23,7 +23,7 @@ from freshet.runtime import pin
 MIN_UNIT_WORDS = 3
 #: Least words of a run of repeated units. A passage of 50 words keeps about so many when the broken
 #: sentences at its ends are taken off.
-MIN_RUN_WORDS = 25
+MIN_RUN_WORDS = 30
 
 _UNIT = re.compile(r"[^.!?\n]+[.!?]*")
 
