@@ -10,6 +10,7 @@ import hashlib
 import json
 import logging
 import time as clock
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import partial
@@ -34,7 +35,7 @@ from freshet.operators.scaling import fit_scaler
 from freshet.operators.search import SEARCH_SPACES, search
 from freshet.operators.splits import fixed_split, make_splits, test_rows
 from freshet.operators.targets import _score_futures, features_and_targets
-from freshet.runtime import in_parallel, pin
+from freshet.runtime import in_parallel, pin, shared_folder
 from freshet.sources.sinks import cache_path, cached, content_key, run_record, save_table, write_json, write_summary
 
 log = logging.getLogger(__name__)
@@ -258,31 +259,28 @@ class ExperimentRunner:
 
     def _materialise(self, scored: DataFrame, row: dict[str, Any]) -> DataFrame:
         """Predictions become a table: the artefact of the run, or a checkpoint."""
-        if not self.save:
-            return pin(scored)
-        path = save_table(scored, f"{self._folder(row)}/predictions")
-        return scored.sparkSession.read.parquet(path)
+        spark = scored.sparkSession
+        folder = self._folder(row) if self.save else f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+        return spark.read.schema(scored.schema).parquet(save_table(scored, f"{folder}/predictions"))
 
     def evaluate(self, results: list[RunResult]) -> None:
         """Metrics, thresholds and alert scores of all runs in three grouped jobs; reports run one by one."""
         if not results:
             return
-        everything = results[0].predictions
-        for r in results[1:]:
-            everything = everything.unionByName(r.predictions)
+        # All runs have one layout: their files are read as one table, not as a union of plans.
+        first = results[0].predictions
+        folders = sorted({f.rsplit("/", 1)[0] for r in results for f in r.predictions.inputFiles()})
+        everything = first.sparkSession.read.schema(first.schema).parquet(*folders)
         run = ["experiment", "model"]
         rows = {(r.row["experiment"], r.row["model"]): r.row for r in results}
         for m in evaluate(everything, by=(*run, "split")).collect():
             found = {f"{m['split']}_{k}": v for k, v in m.asDict().items() if k not in (*run, "split")}
             rows[m["experiment"], m["model"]].update(found)
         method = self.cfg.tuning_config.calibration_method
-        # Runs without validation rows keep the default; one flat CASE over a handful of runs.
-        level = F.when(F.lit(False), F.lit(DEFAULT_THRESHOLD))
-        for b in calibrate(everything.filter("split = 'val'"), method, by=run).collect():
-            mine = (F.col("experiment") == b["experiment"]) & (F.col("model") == b["model"])
-            level = level.when(mine, F.lit(float(b["threshold"])))
-        level = level.otherwise(F.lit(DEFAULT_THRESHOLD))
-        test = everything.filter("split = 'test'")
+        # One threshold per run; runs without validation rows keep the default.
+        levels = calibrate(everything.filter("split = 'val'"), method, by=run).select(*run, F.col("threshold").alias("_level"))
+        test = everything.filter("split = 'test'").join(F.broadcast(levels), run, "left")
+        level = F.coalesce(F.col("_level").cast("double"), F.lit(DEFAULT_THRESHOLD))
         for m in anomaly_metrics(test, level, by=run).collect():
             row = rows[m["experiment"], m["model"]]
             row["threshold"] = m["threshold"]
