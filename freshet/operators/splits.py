@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from freshet.config import SplitConfig, SplitStrategy
 from freshet.operators.climatology import instant
 from freshet.operators.ordering import with_running_total
-from freshet.runtime import pin
+from freshet.runtime import pin, unpin
 
 SPLIT = "split"
 
@@ -66,8 +66,9 @@ class TimeIndex:
 
 
 def _resolve(index: TimeIndex, spans: Sequence[tuple[int, int, int, int]]) -> list[Fold]:
-    """Turn half-open index spans (train lo, hi, val lo, hi) into time bounds."""
+    """Turn half-open index spans (train lo, hi, val lo, hi) into time bounds; the index is done with then."""
     at = index.at(p for a, b, c, d in spans for p in (a, b - 1, c, d - 1))
+    unpin(index.ranked)
     return [
         Fold(i + 1, at[a], at[b - 1], at[c], at[d - 1]) for i, (a, b, c, d) in enumerate(spans)
     ]

@@ -35,7 +35,7 @@ from freshet.operators.scaling import fit_scaler
 from freshet.operators.search import SEARCH_SPACES, search
 from freshet.operators.splits import fixed_split, make_splits, test_rows
 from freshet.operators.targets import _score_futures, features_and_targets
-from freshet.runtime import in_parallel, pin, shared_folder
+from freshet.runtime import in_parallel, pin, shared_folder, unpin
 from freshet.sources.sinks import cache_path, cached, content_key, run_record, save_table, write_json, write_summary
 
 log = logging.getLogger(__name__)
@@ -157,6 +157,8 @@ class ExperimentRunner:
             for r in results:
                 self._store(r, spark)
         summary = summary_frame(spark, [r.row for r in results])
+        if not self.save:
+            unpin(base)  # all predictions are on files of their own
         if self.save:
             write_summary(summary, self.cfg.output_dir)
         return summary

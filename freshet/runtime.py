@@ -116,6 +116,14 @@ def pin(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unpin(df: DataFrame) -> None:
+    """Delete a pinned table whose readers are done; anything else is left alone."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("pinned-"):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_parallel(tasks: Sequence[Callable[[], T]], width: int) -> list[T]:
     """Run driver-side steps that each submit Spark jobs, a few at a time, in order of result."""
     if width <= 1 or len(tasks) <= 1:

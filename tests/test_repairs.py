@@ -160,3 +160,16 @@ def test_keys_reach_the_features(days):
     cfg = FeatureConfig(bands=("tp",), include_rolling=False, include_spatial_coords=False, include_temporal=False)
     df, _ = features.pixel_features(other, 2, cfg, keys) if hasattr(features, "pixel_features") else (other, None)
     assert {"station", "step"} <= set(df.columns)
+
+
+def test_finished_work_leaves_no_pinned_table(spark, days):
+    import glob
+
+    from freshet.operators.splits import purged_folds
+    from freshet.runtime import shared_folder
+
+    before = set(glob.glob(f"{shared_folder(spark)}/pinned-*"))
+    assert purged_folds(days, 2, min_train_size=1)
+    cfg = PipelineConfig(split_config=SplitConfig(train_end="2022-04-01", val_end="2022-05-01"), **CFG)
+    ExperimentRunner(cfg, models=[get_model("DummyMean")]).run(days, clim.climatology(days, "tp"))
+    assert set(glob.glob(f"{shared_folder(spark)}/pinned-*")) == before
