@@ -17,13 +17,13 @@ from functools import partial
 from itertools import product
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.config import FeatureConfig, FuzzyConfig, PipelineConfig, SampleMode, SeriesKeys, SplitStrategy, TARGET_BAND
 from freshet.operators import quality
-from freshet.operators.climatology import instant
+from freshet.operators.climatology import climatology, instant
 from freshet.operators.alerts import DEFAULT_THRESHOLD, AnomalyReport, anomaly_report, calibrate
 from freshet.operators.features import FeatureMeta, FeatureSpec, select_for_lookback
 from freshet.operators.metrics import anomaly_metrics, evaluate
@@ -36,7 +36,8 @@ from freshet.operators.search import SEARCH_SPACES, search
 from freshet.operators.splits import fixed_split, make_splits, test_rows
 from freshet.operators.targets import _score_futures, features_and_targets
 from freshet.runtime import in_parallel, pin, shared_folder, unpin
-from freshet.sources.sinks import cache_path, cached, content_key, run_record, save_table, write_json, write_summary
+from freshet.sources.tiles import pixel_series
+from freshet.sources.sinks import cache_path, cached, content_key, ensure_thresholds, run_record, save_table, write_json, write_summary
 
 log = logging.getLogger(__name__)
 BASE_PARTS = ("p_values", "q_values", "feature_config", "fuzzy_config", "sample_frac", "random_seed")
@@ -163,6 +164,21 @@ class ExperimentRunner:
             write_summary(summary, self.cfg.output_dir)
         return summary
 
+    def run_tiles(self, tiles: DataFrame | None = None, thresholds: DataFrame | None = None) -> DataFrame:
+        """The grid from raster tiles: ``cube_dir`` unless given, with the configured stride and file limit.
+
+        Thresholds come from the tiles' own climatology, kept in ``thresholds_dir`` when artefacts are saved.
+        """
+        spark = tiles.sparkSession if tiles is not None else SparkSession.getActiveSession()
+        tiles = spark.read.parquet(self.cfg.cube_dir) if tiles is None else tiles
+        bands = list(dict.fromkeys([TARGET_BAND, *self.cfg.feature_config.bands]))
+        series = pin(pixel_series(tiles, bands, self.cfg.spatial_stride, self.cfg.max_files))
+        if thresholds is None and self.save:
+            thresholds = ensure_thresholds(series, self.cfg.thresholds_dir, TARGET_BAND, self.keys.entity)
+        summary = self.run(series, climatology(series, TARGET_BAND, self.keys.entity) if thresholds is None else thresholds)
+        unpin(series)
+        return summary
+
     def check_lags(self, whole: DataFrame, meta: FeatureMeta) -> None:
         """Recompute the lags of every series of the unsampled table."""
         if not any(s.kind == "lag" for s in meta.specs):

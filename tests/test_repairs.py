@@ -173,3 +173,23 @@ def test_finished_work_leaves_no_pinned_table(spark, days):
     cfg = PipelineConfig(split_config=SplitConfig(train_end="2022-04-01", val_end="2022-05-01"), **CFG)
     ExperimentRunner(cfg, models=[get_model("DummyMean")]).run(days, clim.climatology(days, "tp"))
     assert set(glob.glob(f"{shared_folder(spark)}/pinned-*")) == before
+
+
+def test_the_grid_from_tiles(spark):
+    from freshet.sources.tiles import TILE_SCHEMA
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for day in range(12):
+        for hour in range(24):
+            values = rng.exponential(1.0, 36).astype(np.float32).tolist()
+            rows.append(dict(
+                path=f"era5_cube_202206{day + 1:02d}.tif", band_idx=hour, band_desc=None, height=6, width=6, crs="EPSG:4326",
+                transform=[0.1, 0.0, 0.0, 0.0, 0.1, 0.0], nodata=-9999.0, values=values,
+            ))
+    names = [f.name for f in spark.createDataFrame([], TILE_SCHEMA).schema.fields]
+    tiles = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], TILE_SCHEMA)
+    cut = SplitConfig(train_end="2022-06-07", val_end="2022-06-09")
+    cfg = PipelineConfig(spatial_stride=3, max_files=11, split_config=cut, **CFG)
+    row = ExperimentRunner(cfg, models=[get_model("DummyMean")]).run_tiles(tiles).first()
+    assert row.train_rows + row.val_rows + row.test_rows == 4 * (11 * 24 - 2)
