@@ -38,7 +38,8 @@ def propagate(links: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> Da
     of all nodes is a few rows.
     """
     shards = len(capacity)
-    sizes = links.groupBy("hub").agg(F.count(F.lit(1)).alias("fellows")).where("fellows > 1")
+    # Written, so that the join reads both sides from plain exchanges and Spark can split a hot hub.
+    sizes = pin(links.groupBy("hub").agg(F.count(F.lit(1)).alias("fellows")).where("fellows > 1"))
     links = pin(links.join(sizes, "hub"))
     strongest = F.max(F.struct("fellows", "hub")).alias("s")
     state = pin(
@@ -70,7 +71,7 @@ def propagate(links: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> Da
             .otherwise(F.slice(F.concat("best", _missing(F.col("best"), shards)), F.lit(1), wide)).alias("targets"),
         )
         # Each node asks its strongest hub; of several targets it takes the one its own hash points at.
-        wish = state.join(hubs, "hub").withColumn(
+        wish = state.join(pin(hubs), "hub").withColumn(
             "target", F.element_at("targets", (F.floor(hash01("node") * F.size("targets")) + 1).cast("int"))
         )
         wish = pin(wish.select("node", "hub", "fellows", "shard", "target"))
