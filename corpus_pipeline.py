@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.llm import decontaminate, language, neardup, packing, pii
-from freshet.llm.common import free_name
-from freshet.runtime import pin, ship
+from freshet.llm.common import free_name, prepare
+from freshet.runtime import pin
 
 #: A text stays if the best language has at least this share of the evidence.
 MIN_LANGUAGE_SHARE = 0.3
@@ -21,7 +21,7 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language that can be told."""
-    ship(spark)
+    prepare(spark)
     return language.keep_known(docs, language.fit(docs), MIN_LANGUAGE_SHARE)
 
 
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat a doc_id are one document; the row whose text sorts first stays. Rows without a doc_id stay.
     """
-    ship(spark)
+    prepare(spark)
     found = neardup.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     turn = free_name(docs, "_turn")
@@ -41,20 +41,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a copy of a benchmark item."""
-    ship(spark)
+    prepare(spark)
     found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the name of its kind."""
-    ship(spark)
+    prepare(spark)
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 

@@ -17,15 +17,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freshet.runtime import pin
+from freshet.runtime import pin, ship, unpin
 
 #: Rows of one rank bucket; the number of buckets follows the input, so a task stays this small.
 BUCKET_ROWS = 5_000
 #: Bytes of text that the vectorised helpers take at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch where the session has not chosen another number: texts are long.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers and hand them texts in small batches, which bounds their memory."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -70,16 +81,19 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = pairs.union(pairs.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written, so that Spark may split the edges of a hot node in the join that follows.
+        least = pin(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = large.where("a <> b").distinct()
         lows = small.groupBy("a").agg(F.min("b").alias("m"))
         hung = small.join(lows, "a")
-        pairs = pin(
+        old, pairs = pairs, pin(
             hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(hung.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct()
         )
-        # Stars are reached when no node is both a child and a parent and the edges no longer change.
+        unpin(old)
+        unpin(least)
+        # Stars are reached when the edges no longer change.
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             break

@@ -100,7 +100,8 @@ def _dealt(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = keyed.where("doc_id is not null").approxQuantile("_key", [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    levels = [i / parts for i in range(1, parts)]
+    marks = keyed.where("doc_id is not null").approxQuantile("_key", levels, 1 / (4 * parts)) if levels else []
     cuts = np.unique(np.array(marks, np.float64))
 
     def bucket(keys: np.ndarray) -> np.ndarray:

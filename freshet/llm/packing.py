@@ -25,7 +25,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept per worker in each of two generations; what falls out is encoded again when met again.
-STORE_WORDS = 400_000
+STORE_WORDS = 250_000
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _stores: dict[str, "WordEncoder"] = {}
