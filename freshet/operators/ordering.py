@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from freshet.runtime import Limits
+from freshet.runtime import Limits, pin
 
 SLICE = "_slice"
 COPY = "_copy"
@@ -283,6 +283,8 @@ def with_running_total(
     keys = list(keys)
     if not keys:
         df, keys, spread = df.withColumn(_ALL, F.lit(0)), [_ALL], True
+    if spread:
+        df = pin(df)  # planning reads it three times: cheaper from files than from its plan
     plan = plan_slices(df, keys, order, least_slices=_LEAST_SLICES if spread else 1)
     if not plan.needed:
         w = Window.partitionBy(*keys).orderBy(order)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.ordering import ordered_view, with_running_total
+from freshet.runtime import pin
 
 #: Side of a block in cells.
 BLOCK = 32
@@ -69,7 +70,9 @@ def build_patches(
     gathered = spread.groupBy("by", "bx", "time").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "v"))).alias("cells"))
     planes = gathered.select("by", "bx", "time", _dense(F.col("cells"), ((y1 - y0 + 1) * w).cast("int")).alias("plane"))
 
-    indexed = planes.join(time_index or dense_time_index(cube), "time")
+    # Written once: the slice plan, the time index and the window all read it.
+    planes = pin(planes)
+    indexed = planes.join(dense_time_index(planes) if time_index is None else time_index, "time")
     view = ordered_view(indexed, ["by", "bx"], ["t_idx"], before=P - 1)
     last = view.window().rowsBetween(-(P - 1), 0)
     stacked = view.df.withColumns(
