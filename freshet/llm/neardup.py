@@ -33,6 +33,8 @@ COORDINATES = 32
 SLACK_SIGMAS = 5.0
 #: Classes of a candidate group that one task compares with each other.
 BLOCK = 256
+#: Blocks whose shingles meet in one part when shared ones are told from single ones.
+PART_BLOCKS = 8
 #: Shingles whose membership is laid out at once when sets are compared.
 _COLUMNS = 16_384
 
@@ -213,17 +215,19 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, word
     keyed = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_key"), "text")
     texts = pin(keyed.join(blocked, ["rep", "text_key"]).dropDuplicates(["rep", "text_key"]).drop("text_key"))
     blocks = texts.groupBy("group", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    many = blocks.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    # Small tables that meet hot groups are written, so that Spark may split the other side of the join.
+    blocks = pin(blocks)
+    parts = F.ceil(F.col("n") / PART_BLOCKS).cast("int")
+    many = pin(blocks.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group", parts.alias("parts")))
     # The centre of a group of several blocks goes to every block of it.
-    centres = centre_of(sized.join(many, "group"))
+    centres = centre_of(sized.join(many.select("group"), "group")).join(many, "group")
     central = texts.select("rep", "text").join(centres, "rep").join(blocks.select("group", "block"), "group")
-    everything = texts.select("rep", "text", "group", "block", F.lit(False).alias("centre")).union(
-        central.select("rep", "text", "group", "block", F.lit(True))
+    everything = texts.select("rep", "text", "group", "block", F.lit(0).alias("parts")).union(
+        central.select("rep", "text", "group", "block", "parts")
     )
     solved = pin(_solve(everything, words, percent))
     links = solved.where("b is not null").select("a", "b")
-    apart = solved.where("extra is not null").select(F.col("a").alias("rep"), "group", "extra", "loose", "size")
-    return links.union(_second_look(texts, blocks, apart, words, percent))
+    return links.union(_second_look(texts, blocks, solved, words, percent))
 
 
 def centre_of(sized: DataFrame) -> DataFrame:
@@ -231,7 +235,7 @@ def centre_of(sized: DataFrame) -> DataFrame:
     posts = sized.select("group", "rep", F.posexplode("signature").alias("coordinate", "value"))
     counts = posts.groupBy("group", "coordinate", "value").agg(F.count(F.lit(1)).alias("n"))
     modes = counts.groupBy("group", "coordinate").agg(F.max(F.struct("n", "value")).alias("m"))
-    mode = modes.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("coordinate", "m.value"))).alias("mode"))
+    mode = pin(modes.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("coordinate", "m.value"))).alias("mode")))
     agree = F.aggregate(
         F.transform("signature", lambda v, i: (F.element_at("mode", i) == v).cast("int")), F.lit(0), lambda a, b: a + b
     )
@@ -239,47 +243,73 @@ def centre_of(sized: DataFrame) -> DataFrame:
     return ranked.select("group", "rep")
 
 
-_SOLVED = "group long, a long, b long, size long, loose boolean, extra array<long>"
+_SOLVED = "group long, a long, b long, size long, part int, shingles array<long>, owners array<long>"
 
 
 def _solve(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links inside blocks and to the centre. Where there is a centre, also one row per class with its
-    shingles outside the centre (``extra``), its set size, and whether it is ``loose``: not joined to the centre."""
+    """Links (a, b) inside blocks and to the centre. Where there is a centre (``parts`` above 0), also
+
+    * the size of every loose class ``a``: one that the links do not join to the centre;
+    * the shingles outside the centre, in ``parts`` hash parts of arrays. A shingle that only one loose class of
+      the block has bears its owner, any other -1: repeats inside the block are combined here.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches, "key"):
-            flags = table["centre"].to_pylist()
+            flags = table["parts"].to_pylist()
             reps, group = table["rep"].to_pylist(), table["group"][0].as_py()
             sets = _texts_as_sets(table["text"].combine_chunks(), words)
             order = [k for k, f in enumerate(flags) if f][:1] + [k for k, f in enumerate(flags) if not f]
             sets, reps = [sets[k] for k in order], [reps[k] for k in order]
             pairs = _links_within(sets, percent)
             roots = _forest(len(sets), pairs)
-            out = [(group, reps[k], reps[r], None, None, None) for k, r in enumerate(roots) if reps[k] != reps[r]]
-            if any(flags):
-                for k in range(1, len(sets)):
-                    extra = np.setdiff1d(sets[k], sets[0], assume_unique=True).view(np.int64)
-                    out.append((group, reps[k], None, len(sets[k]), roots[k] != roots[0], extra.tolist()))
+            out = [(group, reps[k], reps[r], None, None, None, None) for k, r in enumerate(roots) if reps[k] != reps[r]]
+            parts = max(flags)
+            if parts:
+                loose = [k for k in range(1, len(sets)) if roots[k] != roots[0]]
+                out += [(group, reps[k], None, len(sets[k]), None, None, None) for k in loose]
+                extras = [np.setdiff1d(s, sets[0], assume_unique=True) for s in sets[1:]]
+                flat, first, times = np.unique(np.concatenate(extras), return_index=True, return_counts=True)
+                owner = np.repeat(np.arange(1, len(sets)), [len(e) for e in extras])[first]
+                own = np.where((times == 1) & np.isin(owner, loose), np.array(reps)[owner], -1)
+                part = (mix64(flat) % np.uint64(parts)).astype(np.int64)
+                for p in np.unique(part).tolist():
+                    out.append((group, None, None, None, p, flat[part == p].view(np.int64).tolist(), own[part == p].tolist()))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], _SOLVED.replace(" array<long>", "").replace(" long", "").replace(" boolean", "").split(", "))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                names = ["group", "a", "b", "size", "part", "shingles", "owners"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     keyed = rows.withColumn("key", F.xxhash64("group", "block"))
-    return keyed.repartition("key").sortWithinPartitions("key", F.desc("centre"), "rep").mapInArrow(work, _SOLVED)
+    return keyed.repartition("key").sortWithinPartitions("key", F.desc("parts"), "rep").mapInArrow(work, _SOLVED)
+
 
+def _owned(parts: DataFrame) -> DataFrame:
+    """How many shingles each loose class has for itself in its group: (rep, u), in several rows per class."""
 
-def _second_look(texts: DataFrame, blocks: DataFrame, apart: DataFrame, words: int, percent: int) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_key(batches, "key"):
+            shingles = table["shingles"].combine_chunks().flatten().to_numpy()
+            owners = table["owners"].combine_chunks().flatten().to_numpy()
+            _, first, times = np.unique(shingles, return_index=True, return_counts=True)
+            single = owners[first[times == 1]]
+            reps, n = np.unique(single[single != -1], return_counts=True)
+            if len(reps):
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(n.astype(np.int64))], ["rep", "u"])
+
+    keyed = parts.select(F.xxhash64("group", "part").alias("key"), "shingles", "owners")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(work, "rep long, u long")
+
+
+def _second_look(texts: DataFrame, blocks: DataFrame, solved: DataFrame, words: int, percent: int) -> DataFrame:
     """Links of loose classes to members of other blocks of their group.
 
     A shingle outside the centre that no other member has cannot be in an intersection. With u of those, a
     set of size n can match sets of a size m only if 100 (n - u) >= percent (m + u), and m >= percent n / 100.
     """
-    outside = apart.select("group", F.explode("extra").alias("shingle"))
-    single = outside.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("group", "shingle")
-    loose = apart.where("loose").select("rep", "group", "size", F.explode_outer("extra").alias("shingle"))
-    alone = loose.join(single.withColumn("one", F.lit(1)), ["group", "shingle"], "left").groupBy("rep", "group", "size").agg(
-        F.coalesce(F.sum("one"), F.lit(0)).alias("u")
-    )
+    unique = _owned(solved.where("part is not null")).groupBy("rep").agg(F.sum("u").alias("u"))
+    loose = solved.where("size is not null").select(F.col("a").alias("rep"), "group", "size")
+    alone = loose.join(unique, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     p = percent / 100
     most = (F.col("size") - F.col("u")) / p - F.col("u") + 1e-6
     ranges = alone.select("rep", "group", most.alias("highest"), (F.col("size") * p - 1e-6).alias("lowest")).where("highest >= lowest")
