@@ -1,37 +1,44 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, local alignment scores them.
-
-A scan of the corpus keeps the stretches of documents around any n-gram of a test item. How many documents
-hold an n-gram says how rare it is. An item's seeds are its n-grams without the common ones: those among
-its most frequent quarter that are also far more frequent than its rarest. A copy that reaches the
-threshold holds more than a quarter of the n-grams, so leaving those out loses none. Seeds are joined to
-the stretches by Spark, and Smith-Waterman alignment of the words scores copies with changed, missing or
-added words.
+"""Benchmark decontamination: close word pairs propose test items, local alignment scores them.
+
+A first scan of the corpus counts the word pairs of test items (words at a distance of one or two). The second
+looks up each item's rarest pairs and aligns what they propose by Smith-Waterman, which scores copies with
+changed, missing or added words. Both scans work on single texts, so a passage that is everywhere is spread
+like the texts themselves, and nothing is dropped for being common.
+
+No copy is lost before the alignment. Let an item have L words, a copy m matching words and e errors (changed,
+missing or added words), and let it reach the threshold t: 2m - e >= 2tL. Of the m - 1 steps from one match to
+the next at most e / 2 hold two or more errors, so at least tL - 1 steps hold at most one. The two words of
+such a step are at most two apart in the item and in the text: a pair. Of the item's L - 1 places at which a
+pair can begin, at least tL - 1 are thus met, and any choice of places that leaves out s fewer than that many
+meets at least s. Which places are left out (the most frequent ones) changes only the cost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import PLAIN, byte_chunks, column_of, shingle_hashes, word_hashes
-from freshet.runtime import pin
+from freshet.llm.common import PLAIN, byte_chunks, column_of, word_hashes
 
-SEED_WORDS = 4
 #: Items with fewer words prove nothing and are passed over.
 MIN_ITEM_WORDS = 8
 #: Share of an item's best possible score from which a passage counts as a copy.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
-#: An n-gram held by over so many times as many documents as its item's rarest one is common.
-COMMON = 16
-#: Words of test items that one scan looks for; a larger benchmark takes more scans.
+#: Greatest distance of the two words of a pair, in the item and in the text.
+REACH = 2
+#: Places of an item that must be met together (fewer where the threshold promises fewer).
+TOGETHER = 3
+#: Words of test items that one pair of scans looks for; a larger benchmark takes more of them.
 BLOCK_WORDS = 1_000_000
+#: Look-ups that are expanded at once, and alignments that a task remembers.
+EXPANDED, REMEMBERED = 2_000_000, 10_000
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,83 +53,141 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate(offsets)
 
 
+def _least(words: np.ndarray | int, threshold: float) -> np.ndarray:
+    """Matching words that a copy of an item of so many words has at least."""
+    return np.ceil(threshold * np.asarray(words) - 1e-9).astype(np.int64)
+
+
 @dataclass
 class Items:
-    """Test items of one block as hashes; ``grams`` are the sorted hashes of their n-grams."""
+    """Test items of one block. ``words`` are numbers of the vocabulary, ``pairs`` the sorted keys of word pairs.
 
-    ids: list[int]
+    ``places`` are the places in ``words`` where a pair begins, pair by pair; those of pair k are
+    ``places[begins[k]:begins[k + 1]]``.
+    """
+
+    ids: np.ndarray
     words: np.ndarray
     offsets: np.ndarray
     vocabulary: np.ndarray
-    grams: np.ndarray
-    longest: int
+    pairs: np.ndarray
+    begins: np.ndarray
+    places: np.ndarray
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None]) -> "Items":
         words, offsets = words_of(pa.array(texts, pa.string()))
-        grams, _ = shingle_hashes(words, offsets, SEED_WORDS)
-        return cls(ids, words, offsets, np.unique(words), np.unique(grams), int(np.diff(offsets).max(initial=0)))
+        vocabulary, numbers = np.unique(words, return_inverse=True)
+        size = np.diff(offsets)
+        end = np.repeat(np.where(size >= MIN_ITEM_WORDS, offsets[1:], 0), size)
+        keys, places = [], []
+        for apart in range(1, REACH + 1):
+            at = np.flatnonzero(np.arange(len(words)) + apart < end)
+            keys.append(numbers[at] * len(vocabulary) + numbers[at + apart])
+            places.append(at)
+        keys, places = np.concatenate(keys), np.concatenate(places)
+        order = np.argsort(keys, kind="stable")
+        pairs, begins = np.unique(keys[order], return_index=True)
+        return cls(np.array(ids, np.int64), numbers.astype(np.int32), offsets, vocabulary, pairs, np.append(begins, len(keys)), places[order])
 
-    def seeds(self) -> list[tuple[int, int, list[int]]]:
-        """(item, gram as signed number, the item's words as numbers of the vocabulary) for every n-gram."""
-        out = []
-        for k, item in enumerate(self.ids):
-            own = self.words[self.offsets[k] : self.offsets[k + 1]]
-            numbers = np.searchsorted(self.vocabulary, own).tolist()
-            grams, _ = shingle_hashes(own, np.array([0, len(own)]), SEED_WORDS)
-            out += [(item, g, numbers) for g in np.unique(grams).astype(np.int64).tolist()]
-        return out
+    def rarest(self, counts: np.ndarray, threshold: float) -> tuple["Items", np.ndarray]:
+        """The items with the pairs of their rarest places only, and how many places of each are met together."""
+        size = np.diff(self.offsets)
+        promised = np.maximum(_least(size, threshold) - 1, 1)
+        needed = np.minimum(promised, TOGETHER)
+        item = np.repeat(np.arange(len(size)), size)
+        cost = np.zeros(len(self.words))
+        pair = np.repeat(np.arange(len(self.pairs)), np.diff(self.begins))
+        np.add.at(cost, self.places, counts[pair])
+        begin = np.arange(len(self.words)) + 1 < np.repeat(self.offsets[1:], size)
+        order = np.lexsort((cost, ~begin, item))
+        turn = np.empty(len(order), np.int64)
+        turn[order] = np.arange(len(order)) - self.offsets[item]
+        chosen = (turn < (size - 1 - promised + needed)[item])[self.places]
+        held, begins = np.unique(pair[chosen], return_index=True)
+        return replace(self, pairs=self.pairs[held], begins=np.append(begins, chosen.sum()), places=self.places[chosen]), needed
 
+    def numbered(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of the vocabulary for words, -1 for others."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words, at, -1)
 
-def stretches(docs: DataFrame, items: Items) -> DataFrame:
-    """Stretches of documents around n-grams of the items: doc_id, first_word, words, grams.
+    def met(self, numbers: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, position of its first word) for all pairs of the items within one row of the text."""
+        pairs, firsts = [], []
+        for apart in range(1, REACH + 1):
+            a, b = numbers[:-apart], numbers[apart:]
+            first = np.flatnonzero((a >= 0) & (b >= 0) & (row[:-apart] == row[apart:]))
+            key = a[first] * len(self.vocabulary) + b[first]
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            hit = self.pairs[at] == key
+            pairs.append(at[hit])
+            firsts.append(first[hit])
+        return np.concatenate(pairs), np.concatenate(firsts)
 
-    ``words`` are numbers of the items' vocabulary, -1 for others. Hits nearer than the longest item share
-    a stretch, so a passage is never cut.
-    """
+
+def _texts(batch: pa.RecordBatch, known: Items) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a batch with words: (first row, words, offsets, words as numbers of the items' vocabulary)."""
+    column = column_of(batch, "text")
+    for low, _, bounds in byte_chunks(column):
+        words, offsets = words_of(column.slice(low, len(bounds) - 1))
+        if len(words):
+            yield low, words, offsets, known.numbered(words)
+
+
+def pair_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often the texts hold each pair of the items; every task adds up its own counts first."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        reach = known.longest + known.longest // 4 + SEED_WORDS
+        total = np.zeros(len(known.pairs), np.int64)
         for batch in batches:
-            ids, column = column_of(batch, "doc_id").to_pylist(), column_of(batch, "text")
-            for low, _, bounds in byte_chunks(column):
-                words, offsets = words_of(column.slice(low, len(bounds) - 1))
-                if not len(words):
-                    continue
-                at = np.minimum(np.searchsorted(known.vocabulary, words), len(known.vocabulary) - 1)
-                numbers = np.where(known.vocabulary[at] == words, at, -1).astype(np.int32)
-                inside = numbers >= 0
-                runs = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(inside, SEED_WORDS).all(axis=1)) if len(inside) >= SEED_WORDS else np.zeros(0, np.int64)
-                row = np.searchsorted(offsets, runs, "right") - 1
-                whole = runs + SEED_WORDS <= offsets[row + 1]
-                runs, row = runs[whole], row[whole]
-                if not len(runs):
-                    continue
-                quads = words[runs[:, None] + np.arange(SEED_WORDS)].reshape(-1)
-                grams, _ = shingle_hashes(quads, np.arange(0, len(quads) + 1, SEED_WORDS), SEED_WORDS)
-                at = np.minimum(np.searchsorted(known.grams, grams), len(known.grams) - 1)
-                hit = known.grams[at] == grams
-                runs, row, grams = runs[hit], row[hit], grams[hit]
-                if not len(runs):
-                    continue
-                cuts = np.flatnonzero((np.diff(runs) > 2 * reach) | (np.diff(row) > 0)) + 1
-                rows = []
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(runs)]):
-                    r = row[a]
-                    start = max(int(offsets[r]), int(runs[a]) - reach)
-                    stop = min(int(offsets[r + 1]), int(runs[b - 1]) + SEED_WORDS + reach)
-                    own = np.unique(grams[a:b]).astype(np.int64)
-                    rows.append((ids[low + int(r)], start - int(offsets[r]), numbers[start:stop].tolist(), own.tolist()))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "first_word", "words", "grams"]
-                )
+            for _, _, offsets, numbers in _texts(batch, known):
+                pairs, _ = known.met(numbers, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
+                total += np.bincount(pairs, minlength=len(total))
+        some = np.flatnonzero(total)
+        for low in range(0, len(some), 100_000):
+            part = some[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["pair", "n"])
+
+    rows = docs.select("text").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(items.pairs))
+    counts[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    return counts
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        work, "doc_id long, first_word long, words array<int>, grams array<long>"
-    )
+
+def _proposed(known: Items, item: np.ndarray, needed: np.ndarray, span: np.ndarray, offsets: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, start, stop) of the stretches that meet enough places of an item to hold a copy; ``item`` of each place."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    pairs, firsts = known.met(numbers, row)
+    order = np.argsort(firsts, kind="stable")
+    pairs, firsts = pairs[order], firsts[order]
+    count = known.begins[pairs + 1] - known.begins[pairs]
+    upto = np.concatenate(([0], np.cumsum(count)))
+    ends = np.searchsorted(row[firsts], np.arange(len(offsets)))  # hits before each row
+    low = 0
+    while low < len(ends) - 1:
+        high = max(low + 1, int(np.searchsorted(upto[ends], upto[ends[low]] + EXPANDED, "right")) - 1)
+        part = slice(ends[low], ends[high])
+        low, n = high, count[part]
+        if not n.sum():
+            continue
+        ramp = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = known.places[np.repeat(known.begins[pairs[part]], n) + ramp]
+        at, k = np.repeat(firsts[part], n), item[place]
+        order = np.lexsort((at, k, row[at]))
+        at, k, place = at[order], k[order], place[order]
+        new = np.empty(len(at), bool)
+        new[0] = True
+        new[1:] = (np.diff(row[at]) > 0) | (np.diff(k) != 0) | (np.diff(at) > span[k[1:]])
+        group = np.cumsum(new) - 1
+        places = np.bincount(np.unique(group * len(known.words) + place) // len(known.words))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        for g in np.flatnonzero(places >= needed[k[first]]).tolist():
+            own, r = int(k[first[g]]), int(row[at[first[g]]])
+            yield r, own, max(int(offsets[r]), int(at[first[g]] - span[own])), min(int(offsets[r + 1]), int(at[last[g]] + REACH + 1 + span[own]))
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -143,28 +208,44 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
+def copies(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    """Copies of the items in every row: doc_id, item_id, score, start_word, end_word."""
+    shared = docs.sparkSession.sparkContext.broadcast(items.rarest(pair_counts(docs, items), threshold))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, needed = shared.value
+        size = np.diff(known.offsets)
+        item, least = np.repeat(np.arange(len(size)), size), _least(size, threshold)
+        # Words of a copy: the item's and at most 2m - 2tL added ones.
+        span = 3 * size - 2 * least + REACH
+        memory: dict[tuple[int, bytes], tuple[float, int, int]] = {}
         for batch in batches:
-            memory: dict[tuple[int, bytes], tuple[float, int, int]] = {}
-            rows = []
-            columns = (column_of(batch, c).to_pylist() for c in ("doc_id", "first_word", "words", "item_id", "item_words"))
-            for doc, first, words, item, item_words in zip(*columns):
-                passage = np.array(words, np.int32)
-                key = (item, passage.tobytes())
-                if key not in memory:
-                    target = np.array(item_words, np.int32)
-                    score, stop = align(passage, target)
-                    _, back = align(passage[:stop][::-1], target[::-1])
-                    memory[key] = (score / (MATCH * len(target)), stop - back, stop)
-                share, start, stop = memory[key]
-                rows.append((doc, item, share, first + start, first + stop))
+            ids, rows = column_of(batch, "doc_id").to_pylist(), []
+            for low, _, offsets, numbers in _texts(batch, known):
+                numbers = numbers.astype(np.int32)
+                for row, k, start, stop in _proposed(known, item, needed, span, offsets, numbers.astype(np.int64)):
+                    passage, target = numbers[start:stop], known.words[known.offsets[k] : known.offsets[k + 1]]
+                    if np.isin(target, passage).sum() < least[k]:
+                        continue
+                    key = (k, passage.tobytes())
+                    if key not in memory:
+                        if len(memory) >= REMEMBERED:
+                            memory.clear()
+                        score, end = align(passage, target)
+                        share = score / (MATCH * len(target))
+                        memory[key] = (share, end - align(passage[:end][::-1], target[::-1])[1] if share >= threshold else 0, end)
+                    share, begin, end = memory[key]
+                    if share >= threshold:
+                        base = start - int(offsets[row])
+                        rows.append((ids[low + row], int(known.ids[k]), share, base + begin, base + end))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 names = ["doc_id", "item_id", "score", "start_word", "end_word"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return pairs.mapInArrow(work, "doc_id long, item_id long, score double, start_word long, end_word long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        work, "doc_id long, item_id long, score double, start_word long, end_word long"
+    )
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
@@ -186,28 +267,14 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, bl
     ``score`` is the alignment score over the item's best possible one; word offsets count plain words.
     Null and empty texts and items hold nothing, nor do items under MIN_ITEM_WORDS words. Equal texts under
     one item_id count once; several texts under it are several items whose best score counts. Repeated
-    documents give one row. An n-gram that every document holds stays a seed if its item has none rarer.
+    documents give one row. A threshold at which single words are enough is refused.
     """
+    if threshold * MIN_ITEM_WORDS <= 1:
+        raise ValueError(f"a threshold of {threshold} is reached by single words")
     spark = docs.sparkSession
     out = None
     for items in _blocks(benchmark, block_words):
-        held = pin(stretches(docs, items))
-        spread = held.select("doc_id", "first_word", F.explode("grams").alias("gram"))
-        # One row per document and n-gram; counts are combined before they are shuffled.
-        held_by = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        seeds = spark.createDataFrame(items.seeds(), "item_id long, gram long, item_words array<int>")
-        rarity = Window.partitionBy("item_id", "item_words").orderBy("df", "gram")
-        whole = Window.partitionBy("item_id", "item_words")
-        ranked = (
-            seeds.join(held_by, "gram").withColumn("at", F.row_number().over(rarity)).withColumn("of", F.count(F.lit(1)).over(whole))
-            .withColumn("least", F.min("df").over(whole))
-        )
-        rare = ranked.where((F.col("df") <= COMMON * F.col("least")) | (4 * F.col("at") <= 3 * F.col("of")) | (F.col("of") <= 3 * SEED_WORDS))
-        pairs = (
-            held.select("*", F.explode("grams").alias("gram")).join(rare.select("item_id", "gram", "item_words"), "gram")
-            .dropDuplicates(["doc_id", "first_word", "item_id", "item_words"])
-        )
-        found = _scored(pairs.select("doc_id", "first_word", "words", "item_id", "item_words")).where(F.col("score") >= threshold)
+        found = copies(docs, items, threshold)
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")

@@ -128,6 +128,45 @@ def test_alignment_equals_the_plain_recurrence():
         assert decontaminate.align(a, b)[0] == h.max()
 
 
+def plain_scores(text, items):
+    """Smith-Waterman of the whole text with every item, as a share of the item's best score."""
+    own = decontaminate.words_of(pa.array([text]))[0]
+    for k, item in enumerate(items):
+        target = decontaminate.words_of(pa.array([item]))[0]
+        yield k, decontaminate.align(own, target)[0] / (2 * len(target))
+
+
+def test_hot_edited_copies_stay_beside_an_exact_one(spark):
+    rng = random.Random(8)
+    items = [sentence(rng, n, "uvwxyz") for n in (16, 20, 30, 40, 59)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    texts = []
+    for k, item in enumerate(items):
+        words = item.split()
+        hot = " ".join("changed" if i % 5 == 4 else w for i, w in enumerate(words))
+        texts += [(k, f"{sentence(rng, 20)} {hot} {sentence(rng, 20)}") for _ in range(40)] + [(k, f"{sentence(rng, 20)} {item}")]
+    got = decontaminate.find(frame(spark, [(i, t, "aa", "s") for i, (_, t) in enumerate(texts)]), bench).toPandas()
+    assert set(zip(got.doc_id, got.item_id)) == {(i, k) for i, (k, _) in enumerate(texts)}
+
+
+def test_candidates_equal_brute_force_alignment(spark):
+    rng = random.Random(9)
+    items = [sentence(rng, n, "uvwxyz") for n in (8, 9, 12, 16, 24, 40, 59)]
+    texts = []
+    for item in items:
+        words = item.split()
+        for step in (2, 3, 4, 5):  # one changed in so many words, one added after so many
+            texts.append(" ".join("changed" if i % step == step - 1 else w for i, w in enumerate(words)))
+            texts.append(" ".join(w + " added" if i % step == step - 1 else w for i, w in enumerate(words)))
+        texts.append(" added ".join(words))
+        texts += [" ".join(edited(rng, words, share)) for share in (0.2, 0.25, 0.3, 0.35) for _ in range(4)]
+    texts = [f"{sentence(rng, 30)} {t} {sentence(rng, 30)}" for t in texts]
+    want = {(i, k): score for i, t in enumerate(texts) for k, score in plain_scores(t, items) if score >= 0.5}
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = decontaminate.find(frame(spark, [(i, t, "aa", "s") for i, t in enumerate(texts)]), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) > 100
+
+
 # --- 3 secrets -------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
