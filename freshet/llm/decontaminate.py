@@ -11,6 +11,9 @@ the next at most e / 2 hold two or more errors, so at least tL - 1 steps hold at
 such a step are at most two apart in the item and in the text: a pair. Of the item's L - 1 places at which a
 pair can begin, at least tL - 1 are thus met, and any choice of places that leaves out s fewer than that many
 meets at least s. Which places are left out (the most frequent ones) changes only the cost.
+
+Items under MIN_ITEM_WORDS words, where half of the score is a common phrase, are matched whole and exactly.
+In scripts written without blanks every character is a word.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import PLAIN, byte_chunks, column_of, word_hashes
+from freshet.llm.common import PLAIN, byte_chunks, column_of, shingle_hashes, word_hashes
 
-#: Items with fewer words prove nothing and are passed over.
+#: Items with fewer words count as copied only where all their words stand in a row.
 MIN_ITEM_WORDS = 8
 #: Share of an item's best possible score from which a passage counts as a copy.
 THRESHOLD = 0.5
@@ -41,9 +44,21 @@ BLOCK_WORDS = 1_000_000
 EXPANDED, REMEMBERED = 2_000_000, 10_000
 
 
+#: Scripts without blanks between words, for RE2 and for Java.
+_SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+_BLANKLESS = "([" + "".join(rf"\p{{{x}}}" for x in _SCRIPTS) + "])"
+_NOT_BLANKLESS = "[^" + "".join(rf"\p{{Is{x}}}" for x in _SCRIPTS) + "]"
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the plain words (lowered, marks left out) of all texts, and word offsets of the texts."""
+    """Hashes of the plain words (lowered, marks left out) of all texts, and word offsets of the texts.
+
+    A character of a script without blanks is a word, and CJK marks are left out like others.
+    """
     texts = pc.utf8_lower(pc.fill_null(texts, ""))
+    if not pc.all(pc.string_is_ascii(texts)).as_py():
+        texts = pc.replace_substring_regex(texts, r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}]", " ")
+        texts = pc.replace_substring_regex(texts, _BLANKLESS, r" \1 ")
     hashes, offsets, base = [], [np.zeros(1, np.int64)], 0
     for _, data, bounds in byte_chunks(texts, 1 << 60):
         own, own_offsets = word_hashes(data, bounds, PLAIN)
@@ -63,7 +78,8 @@ class Items:
     """Test items of one block. ``words`` are numbers of the vocabulary, ``pairs`` the sorted keys of word pairs.
 
     ``places`` are the places in ``words`` where a pair begins, pair by pair; those of pair k are
-    ``places[begins[k]:begins[k + 1]]``.
+    ``places[begins[k]:begins[k + 1]]``. ``short`` has the short items: by number of words, the sorted hashes
+    of all their words and the items that these belong to.
     """
 
     ids: np.ndarray
@@ -73,6 +89,7 @@ class Items:
     pairs: np.ndarray
     begins: np.ndarray
     places: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None]) -> "Items":
@@ -88,7 +105,15 @@ class Items:
         keys, places = np.concatenate(keys), np.concatenate(places)
         order = np.argsort(keys, kind="stable")
         pairs, begins = np.unique(keys[order], return_index=True)
-        return cls(np.array(ids, np.int64), numbers.astype(np.int32), offsets, vocabulary, pairs, np.append(begins, len(keys)), places[order])
+        short = {}
+        for n in range(1, MIN_ITEM_WORDS):
+            own = np.flatnonzero(size == n)
+            if len(own):
+                at = offsets[own][:, None] + np.arange(n)
+                whole, _ = shingle_hashes(words[at].reshape(-1), np.arange(0, n * len(own) + 1, n), n)
+                turn = np.argsort(whole)
+                short[n] = whole[turn], own[turn]
+        return cls(np.array(ids, np.int64), numbers.astype(np.int32), offsets, vocabulary, pairs, np.append(begins, len(keys)), places[order], short)
 
     def rarest(self, counts: np.ndarray, threshold: float) -> tuple["Items", np.ndarray]:
         """The items with the pairs of their rarest places only, and how many places of each are met together."""
@@ -119,6 +144,8 @@ class Items:
             a, b = numbers[:-apart], numbers[apart:]
             first = np.flatnonzero((a >= 0) & (b >= 0) & (row[:-apart] == row[apart:]))
             key = a[first] * len(self.vocabulary) + b[first]
+            if not len(self.pairs):
+                first, key = first[:0], key[:0]
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             hit = self.pairs[at] == key
             pairs.append(at[hit])
@@ -208,6 +235,23 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _exact(known: Items, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, start, stop) of the first occurrence of each short item in each row."""
+    for n, (whole, own) in known.short.items():
+        grams, upto = shingle_hashes(words, offsets, n)
+        low, high = np.searchsorted(whole, grams, "left"), np.searchsorted(whole, grams, "right")
+        seen = set()
+        for at in np.flatnonzero(high > low).tolist():
+            r = int(np.searchsorted(upto, at, "right")) - 1
+            start = at - int(upto[r])
+            if start + n > offsets[r + 1] - offsets[r]:
+                continue
+            for k in own[low[at] : high[at]].tolist():
+                if (r, k) not in seen:
+                    seen.add((r, k))
+                    yield r, k, start, start + n
+
+
 def copies(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     """Copies of the items in every row: doc_id, item_id, score, start_word, end_word."""
     shared = docs.sparkSession.sparkContext.broadcast(items.rarest(pair_counts(docs, items), threshold))
@@ -221,7 +265,8 @@ def copies(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
         memory: dict[tuple[int, bytes], tuple[float, int, int]] = {}
         for batch in batches:
             ids, rows = column_of(batch, "doc_id").to_pylist(), []
-            for low, _, offsets, numbers in _texts(batch, known):
+            for low, words, offsets, numbers in _texts(batch, known):
+                rows += [(ids[low + row], int(known.ids[k]), 1.0, start, stop) for row, k, start, stop in _exact(known, words, offsets)]
                 numbers = numbers.astype(np.int32)
                 for row, k, start, stop in _proposed(known, item, needed, span, offsets, numbers.astype(np.int64)):
                     passage, target = numbers[start:stop], known.words[known.offsets[k] : known.offsets[k + 1]]
@@ -251,22 +296,21 @@ def copies(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
     """Items by hash blocks of about ``block_words`` words, so what a scan carries is bounded."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").distinct()
-    total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    total = rows.agg(F.sum(F.size(F.split("text", r"\s+")) + F.length(F.regexp_replace("text", _NOT_BLANKLESS, "")))).first()[0] or 0
     blocks = -(-total // block_words)
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         items = Items.of([r.item_id for r in own], [r.text for r in own])
-        long_enough = np.flatnonzero(np.diff(items.offsets) >= MIN_ITEM_WORDS).tolist()
-        if long_enough:
-            yield Items.of([own[k].item_id for k in long_enough], [own[k].text for k in long_enough])
+        if len(items.words):
+            yield items
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Copies of test items in documents: doc_id, item_id, score, start_word, end_word (best one per pair).
 
     ``score`` is the alignment score over the item's best possible one; word offsets count plain words.
-    Null and empty texts and items hold nothing, nor do items under MIN_ITEM_WORDS words. Equal texts under
-    one item_id count once; several texts under it are several items whose best score counts. Repeated
+    Null and empty texts and items hold nothing. An item under MIN_ITEM_WORDS words is found in every text that
+    holds its words in a row, even a single word (score 1, first occurrence). Equal texts under one item_id count once; several texts under it are several items whose best score counts. Repeated
     documents give one row. A threshold at which single words are enough is refused.
     """
     if threshold * MIN_ITEM_WORDS <= 1:

@@ -167,6 +167,24 @@ def test_candidates_equal_brute_force_alignment(spark):
     assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) > 100
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    rng = random.Random(10)
+    chinese = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(20))
+    around = "".join(chr(0x6E00 + rng.randrange(2000)) for _ in range(30))
+    near = "".join("改" if i % 5 == 4 else c for i, c in enumerate(chinese))
+    items = [(0, "what is the capital"), (1, "Zanzibar"), (2, chinese + "。"), (3, "短句子"), (4, "..."), (5, "the capital of")]
+    texts = [
+        "he asked: What is the capital? nobody knew", "what is not the capital", "is the capital what", "to Zanzibar, and back to zanzibar", "zanzibari",
+        f"{around}。{chinese}，{around}", around + near + around, around, f"{around}短句子{around}", "短句", "what is the", "capital",
+    ]
+    got = decontaminate.find(frame(spark, [(i, t, "aa", "s") for i, t in enumerate(texts)]), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {(r.doc_id, r.item_id): (r.score, r.start_word, r.end_word) for r in got.collect()}
+    assert set(rows) == {(0, 0), (3, 1), (5, 2), (6, 2), (8, 3)}
+    assert rows[0, 0] == (1, 2, 6) and rows[3, 1] == (1, 1, 2) and rows[5, 2] == (1, 30, 50) and rows[8, 3] == (1, 30, 33)
+    only_short = decontaminate.find(frame(spark, [(0, texts[0], "aa", "s")]), spark.createDataFrame(items[:2], "item_id long, text string"))
+    assert only_short.count() == 1
+
+
 # --- 3 secrets -------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
