@@ -40,10 +40,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a copy of a benchmark item."""
+    """Drops rows whose text holds a copy of a benchmark item, also rows without a doc_id."""
     prepare(spark)
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate.rows_with_copies(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()
+    names = free_name(docs, "_id"), free_name(docs, "_text")
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(decontaminate.row_key(), names)))
+    same = keyed[names[0]].eqNullSafe(gone["_gone"]) & (keyed[names[1]] == gone["_gone_text"])
+    return keyed.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

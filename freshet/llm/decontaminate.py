@@ -24,7 +24,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import PLAIN, byte_chunks, column_of, shingle_hashes, word_hashes
@@ -235,6 +235,11 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def row_key() -> tuple[Column, Column]:
+    """What tells rows apart, also those that share a doc_id or have none: doc_id and the hash of the text."""
+    return F.col("doc_id").cast("long"), F.xxhash64("text")
+
+
 def _exact(known: Items, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, start, stop) of the first occurrence of each short item in each row."""
     for n, (whole, own) in known.short.items():
@@ -253,7 +258,7 @@ def _exact(known: Items, words: np.ndarray, offsets: np.ndarray) -> Iterator[tup
 
 
 def copies(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    """Copies of the items in every row: doc_id, item_id, score, start_word, end_word."""
+    """Copies of the items in every row: doc_id, text_key (hash of its text), item_id, score, start_word, end_word."""
     shared = docs.sparkSession.sparkContext.broadcast(items.rarest(pair_counts(docs, items), threshold))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +269,9 @@ def copies(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
         span = 3 * size - 2 * least + REACH
         memory: dict[tuple[int, bytes], tuple[float, int, int]] = {}
         for batch in batches:
-            ids, rows = column_of(batch, "doc_id").to_pylist(), []
+            ids, rows = [(r["doc_id"], r["text_key"]) for r in batch.select(["doc_id", "text_key"]).to_pylist()], []
             for low, words, offsets, numbers in _texts(batch, known):
-                rows += [(ids[low + row], int(known.ids[k]), 1.0, start, stop) for row, k, start, stop in _exact(known, words, offsets)]
+                rows += [(*ids[low + row], int(known.ids[k]), 1.0, start, stop) for row, k, start, stop in _exact(known, words, offsets)]
                 numbers = numbers.astype(np.int32)
                 for row, k, start, stop in _proposed(known, item, needed, span, offsets, numbers.astype(np.int64)):
                     passage, target = numbers[start:stop], known.words[known.offsets[k] : known.offsets[k + 1]]
@@ -282,14 +287,14 @@ def copies(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                     share, begin, end = memory[key]
                     if share >= threshold:
                         base = start - int(offsets[row])
-                        rows.append((ids[low + row], int(known.ids[k]), share, base + begin, base + end))
+                        rows.append((*ids[low + row], int(known.ids[k]), share, base + begin, base + end))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                names = ["doc_id", "item_id", "score", "start_word", "end_word"]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                names = ["doc_id", "text_key", "item_id", "score", "start_word", "end_word"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        work, "doc_id long, item_id long, score double, start_word long, end_word long"
+    return docs.select(*(c.alias(n) for c, n in zip(row_key(), ("doc_id", "text_key"))), "text").mapInArrow(
+        work, "doc_id long, text_key long, item_id long, score double, start_word long, end_word long"
     )
 
 
@@ -305,22 +310,27 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
             yield items
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Copies of test items in documents: doc_id, item_id, score, start_word, end_word (best one per pair).
-
-    ``score`` is the alignment score over the item's best possible one; word offsets count plain words.
-    Null and empty texts and items hold nothing. An item under MIN_ITEM_WORDS words is found in every text that
-    holds its words in a row, even a single word (score 1, first occurrence). Equal texts under one item_id count once; several texts under it are several items whose best score counts. Repeated
-    documents give one row. A threshold at which single words are enough is refused.
-    """
+def rows_with_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Copies of test items in every row, as ``copies`` gives them. A threshold at which single words are enough is refused."""
     if threshold * MIN_ITEM_WORDS <= 1:
         raise ValueError(f"a threshold of {threshold} is reached by single words")
-    spark = docs.sparkSession
     out = None
     for items in _blocks(benchmark, block_words):
         found = copies(docs, items, threshold)
         out = found if out is None else out.union(found)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, score double, start_word long, end_word long")
+    return out
+
+
+def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Copies of test items in documents: doc_id, item_id, score, start_word, end_word (best one per pair).
+
+    ``score`` is the alignment score over the item's best possible one; word offsets count plain words.
+    Null and empty texts and items hold nothing. An item under MIN_ITEM_WORDS words is found in every text that
+    holds its words in a row, even a single word (score 1, first occurrence). Equal texts under one item_id count once; several texts under it are several items whose best score counts. Repeated
+    documents give one row; texts that share a doc_id, or have none, are all searched and their best score counts.
+    """
     best = F.max(F.struct("score", "start_word", "end_word")).alias("b")
+    out = rows_with_copies(docs, benchmark, threshold, block_words)
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")

@@ -45,6 +45,15 @@ def test_stages(spark, tmp_path):
     assert set(packed.doc_id.fillna(-1)) == set(ids(kept)) and packed.groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_decontamination_tells_rows_apart(spark, tmp_path):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [(None, f"{item} and more"), (None, "nothing in here"), (None, None), (7, item), (7, "another text"), (8, None)]
+    kept = corpus_pipeline.drop_contaminated(spark, frame(spark, [(d, t, "aa", "s") for d, t in texts]), str(tmp_path))
+    left = {(r.doc_id, r.text) for r in kept.collect()}
+    assert left == {(None, "nothing in here"), (None, None), (7, "another text"), (8, None)}
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = frame(spark, [])
