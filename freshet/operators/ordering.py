@@ -223,16 +223,18 @@ def ordered_view(
     order: Sequence[str],
     before: int = 0,
     after: int = 0,
+    least_slices: int = 1,
 ) -> OrderedView:
     """Prepare ``df`` for windows over ``keys`` ordered by ``order``.
 
-    ``before``/``after``: how many preceding/following rows the caller's frames touch.
+    ``before``/``after``: how many preceding/following rows the caller's frames touch. ``least_slices``:
+    groups above that share of all rows are cut, however few rows there are.
     Rows with a NULL key are dropped, as grouping does in the batch semantics followed here. Rows
     without a time stay and come last in their group.
     """
     keys, order = list(keys), list(order)
     df = df.dropna(subset=keys)
-    plan = plan_slices(df, keys, order[0], max(before, after))
+    plan = plan_slices(df, keys, order[0], max(before, after), least_slices)
     if not plan.needed:
         return OrderedView(df, keys, order, plan)
 
