@@ -35,6 +35,24 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+class Scratch:
+    """The intermediate tables of one call; ``last`` writes the result and deletes all others."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def pin(self, df: DataFrame) -> DataFrame:
+        self.tables.append(pin(df))
+        return self.tables[-1]
+
+    def last(self, df: DataFrame) -> DataFrame:
+        out = pin(df)
+        for table in self.tables:
+            unpin(table)
+        self.tables.clear()
+        return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
