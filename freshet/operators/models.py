@@ -16,13 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
+    DecisionTreeRegressor, GBTRegressor, RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.scores import clip
-from freshet.operators.gramian import bayesian_ridge, moments, partial_least_squares
+from freshet.operators.gramian import Moments, bayesian_ridge, moments, partial_least_squares, ridge, sparse_path
 from freshet.operators.neighbours import MAX_ROWS, Reference, neighbour_column, reference_rows
 from freshet.operators.quantiles import exact_percentiles, percentile_array
 
@@ -87,23 +87,6 @@ def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=_VEC, handleInvalid="error").transform(df)
 
 
-def _label_stats(df: DataFrame, label: str) -> tuple[int, float]:
-    r = df.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
-    return r["n"], float(r["s"] or 0.0)
-
-
-def _fit_penalised(df: DataFrame, features, label, l1: float, l2: float, max_iter: int) -> LinearModel:
-    """Least squares / (2n) + l1·|w| + l2/2·w², with Spark's label scaling of the L2 part undone."""
-    n, spread = _label_stats(df, label)
-    l2 = l2 * spread
-    total = l1 + l2
-    fit = LinearRegression(
-        featuresCol=_VEC, labelCol=label, standardization=False, maxIter=max_iter, tol=1e-10,
-        regParam=total, elasticNetParam=l1 / total if total > 0 else 0.0,
-    ).fit(_assemble(df, features))
-    return LinearModel(tuple(features), tuple(float(w) for w in fit.coefficients), float(fit.intercept))
-
-
 def fit_mean(df, features, label, params, seed):
     return ConstantModel(float(df.agg(F.avg(label)).first()[0]))
 
@@ -112,28 +95,38 @@ def fit_median(df, features, label, params, seed):
     return ConstantModel(float(exact_percentiles(df, [], label, {"m": 0.5}).first()["m"]))
 
 
-def fit_ridge(df, features, label, params, seed):
-    n, _ = _label_stats(df, label)
-    return _fit_penalised(df, features, label, 0.0, params["alpha"] / n, 1000)
+def _linear(features: Sequence[str], solution: tuple[np.ndarray, float], link=None) -> LinearModel:
+    return LinearModel(tuple(features), tuple(map(float, solution[0])), float(solution[1]), link)
+
 
+def solve(name: str, m: Moments, params: Sequence[dict[str, Any]]) -> list[tuple[np.ndarray, float]]:
+    """(weights, intercept) of a linear model for every parameter set, from the moments of its training rows alone."""
+    if name == "Ridge":
+        return [ridge(m, p["alpha"]) for p in params]
+    if name == "BayesianRidge":
+        return [bayesian_ridge(m, **p) for p in params]
+    if name not in ("Lasso", "ElasticNet"):
+        raise KeyError(f"{name} needs more than moments")
+    out: dict[int, tuple[np.ndarray, float]] = {}
+    kinds = {(p.get("l1_ratio", 1.0) if name == "ElasticNet" else 1.0, p["max_iter"]) for p in params}
+    for ratio, sweeps in sorted(kinds):  # one path for each mixture
+        mine = [i for i, p in enumerate(params) if ((p.get("l1_ratio", 1.0) if name == "ElasticNet" else 1.0), p["max_iter"]) == (ratio, sweeps)]
+        out.update(zip(mine, sparse_path(m, [params[i]["alpha"] for i in mine], ratio, sweeps)))
+    return [out[i] for i in range(len(params))]
 
-def fit_lasso(df, features, label, params, seed):
-    return _fit_penalised(df, features, label, params["alpha"], 0.0, params["max_iter"])
 
+def _fit_linear(name: str) -> Callable:
+    def fit(df, features, label, params, seed):
+        return _linear(features, solve(name, moments(df, features, label), [params])[0])
 
-def fit_elastic_net(df, features, label, params, seed):
-    a, r = params["alpha"], params["l1_ratio"]
-    return _fit_penalised(df, features, label, a * r, a * (1 - r), params["max_iter"])
+    return fit
 
 
-def fit_bayesian_ridge(df, features, label, params, seed):
-    w, b = bayesian_ridge(moments(df, features, label), **params)
-    return LinearModel(tuple(features), tuple(map(float, w)), b)
+fit_ridge, fit_lasso, fit_elastic_net, fit_bayesian_ridge = (_fit_linear(n) for n in ("Ridge", "Lasso", "ElasticNet", "BayesianRidge"))
 
 
 def fit_pls(df, features, label, params, seed):
-    w, b = partial_least_squares(moments(df, features, label), params["n_components"])
-    return LinearModel(tuple(features), tuple(map(float, w)), b)
+    return _linear(features, partial_least_squares(moments(df, features, label), params["n_components"]))
 
 
 def _tree_params(params: dict, seed: int) -> dict:

@@ -32,7 +32,6 @@ COPY = "_copy"
 _ALL = "_all"
 _GROUP_ROWS = "_group_rows"
 _SKETCH_CUTS = 4096
-_LEAST_SLICES = 8
 
 
 def bucket_of(x: Column, cuts: Column, n_cuts: int) -> Column:
@@ -278,24 +277,41 @@ def with_running_total(
 ) -> DataFrame:
     """Inclusive running totals per group in ascending ``order``, sliced where needed.
 
-    A table without keys is one group and is always sliced, as is any with ``spread``: one plan at all sizes.
-    ``sums`` maps output names to numeric columns. Ties in ``order`` must be aggregated away
-    beforehand. Slice totals are prefix-summed as a table of at most ``max_slices`` rows.
+    A table without keys is one group and is always cut by ranges, as is any with ``spread``: one plan at all
+    sizes, whose ranges are pinned. ``sums`` maps output names to numeric columns. Ties in ``order`` must be
+    aggregated away beforehand. Slice totals are prefix-summed as a table of a row per slice.
     """
     keys = list(keys)
-    if not keys:
-        df, keys, spread = df.withColumn(_ALL, F.lit(0)), [_ALL], True
-    if spread:
-        df = pin(df)  # planning reads it three times: cheaper from files than from its plan
-    plan = plan_slices(df, keys, order, least_slices=_LEAST_SLICES if spread else 1)
+    if not keys or spread:
+        return _ranged_total(df, keys, order, sums)
+    plan = plan_slices(df, keys, order)
     if not plan.needed:
         w = Window.partitionBy(*keys).orderBy(order)
-        out = df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-        return out.drop(_ALL)
-
+        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
     tagged = plan.tag(df).drop("_starts", "_total")
-    per_slice = tagged.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    w_slice = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return _total_over_slices(tagged, keys, order, sums)
+
+
+def _ranged_total(df: DataFrame, keys: list[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """Running totals of a table that is one group, or few: cut by ranges of (keys, order), whatever its size.
+
+    The dealt rows are written with the number of their range, so numbers hold in every later reading. Ranges
+    that turn out larger than one task should sort are dealt once more, by the size now known.
+    """
+    limit = Limits.of(df.sparkSession).task_rows
+    dealt = pin(df.repartitionByRange(*keys, order).withColumn(SLICE, F.spark_partition_id()))
+    sizes = dealt.groupBy(SLICE).count().agg(F.max("count").alias("largest"), F.sum("count").alias("total")).first()
+    if (sizes["largest"] or 0) > limit:
+        ranges = -(-2 * sizes["total"] // limit)
+        dealt = pin(dealt.drop(SLICE).repartitionByRange(ranges, *keys, order).withColumn(SLICE, F.spark_partition_id()))
+    return _total_over_slices(dealt, keys, order, sums)
+
+
+def _total_over_slices(tagged: DataFrame, keys: list[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """Running totals inside slices plus what the group's earlier slices hold."""
+    per_slice = tagged.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).withColumn(_ALL, F.lit(0))
+    # A row per slice of a group: few, whatever the table's size.
+    w_slice = Window.partitionBy(_ALL, *keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     base = per_slice.select(
         *keys, SLICE, *[F.coalesce(F.sum(n).over(w_slice), F.lit(0)).alias(f"_b_{n}") for n in sums]
     )
@@ -303,4 +319,4 @@ def with_running_total(
     out = tagged.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()]).join(base, [*keys, SLICE])
     for n in sums:
         out = out.withColumn(n, F.col(n) + F.col(f"_b_{n}")).drop(f"_b_{n}")
-    return out.drop(SLICE, _ALL)
+    return out.drop(SLICE)

@@ -1,7 +1,13 @@
-"""Hyper-parameter search: seeded random draws scored on purged temporal folds."""
+"""Hyper-parameter search: seeded random draws scored on purged temporal folds.
+
+Linear models are searched without fitting: one pass gives the moments of every stretch of time between fold
+bounds, each fold's training moments are merged from its stretches, all trials are solved on the driver, and a
+second pass scores the validation rows of all folds by all trials. Other models are fitted per trial and fold.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import logging
 import math
@@ -12,13 +18,17 @@ from dataclasses import dataclass
 from functools import partial
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.scores import clip
+from freshet.operators.gramian import Moments, MomentTree, moment_table
 from freshet.operators.metrics import SCALARS, evaluate, scalar_metrics
-from freshet.operators.models import PRED, fit_model
-from freshet.operators.splits import Fold, instant, purged_folds
+from freshet.operators.models import PRED, fit_model, get_model, solve
+from freshet.operators.ordering import bucket_of
+from freshet.operators.splits import Fold, assign_folds, instant, purged_folds
 from freshet.runtime import in_parallel
 
 log = logging.getLogger(__name__)
@@ -68,6 +78,10 @@ def draw(space: dict[str, tuple], rng: random.Random) -> dict[str, Any]:
     return out
 
 
+#: Models whose every trial follows from moments.
+LINEAR = ("Ridge", "Lasso", "ElasticNet", "BayesianRidge")
+
+
 @dataclass(frozen=True)
 class SearchResult:
     best_params: dict[str, Any]
@@ -85,6 +99,66 @@ def _fold_score(model: str, train: DataFrame, fold: Fold, features, label, param
     return float(table.first()[metric])
 
 
+def fold_moments(train: DataFrame, folds: Sequence[Fold], features: Sequence[str], label: str, time: str = "time") -> dict[int, Moments]:
+    """Moments of each fold's training rows, all from one pass.
+
+    The training bounds of all folds cut time into stretches, so a fold's training rows are a run of stretches,
+    and a tree over the stretches gives any run by a few merges. Folds without a complete training row are absent.
+    """
+    before = lambda f: _moment(f.train_lo) - dt.timedelta(microseconds=1)
+    cuts = sorted({c for f in folds for c in (before(f), _moment(f.train_hi))})
+    stretch = bucket_of(F.col(time), F.array(*[instant(c) for c in cuts]), len(cuts))
+    inside = train.select(time, *features, label).withColumn("_stretch", stretch).where(F.col("_stretch").between(1, len(cuts) - 1))
+    tree = MomentTree(moment_table(inside, features, label, F.col("_stretch")), len(cuts))
+    found = {f.fold: tree.run(cuts.index(before(f)) + 1, cuts.index(_moment(f.train_hi))) for f in folds}
+    return {k: m.split() for k, m in found.items() if m is not None}
+
+
+def _moment(value) -> dt.datetime:
+    return value if isinstance(value, dt.datetime) else dt.datetime(value.year, value.month, value.day)
+
+
+def score_trials(
+    train: DataFrame, folds: Sequence[Fold], features: Sequence[str], label: str, time: str, metric: str, weights: dict[int, tuple[np.ndarray, np.ndarray]],
+) -> DataFrame:
+    """(fold, trial, value): the metric of every trial on the validation rows of every fold, in one pass.
+
+    ``weights`` holds per fold the matrix (trials × features) and the intercepts.
+    """
+    held = assign_folds(train.select(time, *features, label), folds, time).where("role = 'val'")
+
+    @F.pandas_udf("array<double>")
+    def predict(fold: pd.Series, columns: pd.DataFrame) -> pd.Series:
+        x, out = columns.to_numpy(dtype=float), [None] * len(fold)
+        for f in fold.unique():
+            at = np.flatnonzero(fold.to_numpy() == f)
+            w, b = weights[int(f)]
+            for i, row in zip(at, np.clip(x[at] @ w.T + b, 0.0, 1.0)):
+                out[i] = row
+        return pd.Series(out)
+
+    mine = held.where(F.col("fold").isin(sorted(weights)))
+    scored = mine.select("fold", F.col(label).alias("_y"), predict("fold", F.struct(*[F.col(c).cast("double") for c in features])).alias("_p"))
+    each = scored.select("fold", "_y", F.posexplode("_p").alias("trial", PRED))
+    by = ("fold", "trial")
+    table = scalar_metrics(each, "_y", PRED, names=(metric,), by=by) if metric in SCALARS else evaluate(each, "_y", PRED, by=by)
+    return table.select("fold", "trial", F.col(metric).cast("double").alias("value"))
+
+
+def _linear_trials(model, train, folds, features, label, metric, time, draws: list[dict[str, Any]]) -> list[tuple[int, int, float]]:
+    """(trial, fold, value) of all draws on all folds in two passes."""
+    params = [{**get_model(model).params, **d} for d in draws]
+    known = fold_moments(train, folds, features, label, time)
+    if not known:
+        raise ValueError("no fold has complete training rows")
+    weights = {}
+    for fold, m in known.items():
+        solved = solve(model, m, params)
+        weights[fold] = np.array([w for w, _ in solved]), np.array([b for _, b in solved])
+    table = score_trials(train, folds, features, label, time, metric, weights)
+    return [(r["trial"], r["fold"], r["value"]) for r in table.collect()]
+
+
 def search(
     model: str,
     train: DataFrame,
@@ -124,12 +198,20 @@ def search(
             log.warning("trial %s failed: %s", params, exc)
             return worst
 
-    for trial in range(n_trials):
-        if timeout is not None and rows and clock.monotonic() - started > timeout:
-            break
-        params = draw(space, rng)
-        for fold, value in zip(folds, in_parallel([partial(attempt, f, params) for f in folds], len(folds))):
-            rows.append((trial, json.dumps(params), fold.fold, value))
+    if model in LINEAR:
+        draws = [draw(space, rng) for _ in range(n_trials)]
+        values = {(t, f): v for t, f, v in _linear_trials(model, train, folds, features, label, metric, time, draws)}
+        for trial, params in enumerate(draws):
+            for fold in folds:
+                value = values.get((trial, fold.fold))
+                rows.append((trial, json.dumps(params), fold.fold, worst if value is None else value))
+    else:
+        for trial in range(n_trials):
+            if timeout is not None and rows and clock.monotonic() - started > timeout:
+                break
+            params = draw(space, rng)
+            for fold, value in zip(folds, in_parallel([partial(attempt, f, params) for f in folds], len(folds))):
+                rows.append((trial, json.dumps(params), fold.fold, value))
     trials = train.sparkSession.createDataFrame(rows, "trial int, params string, fold int, value double")
     mean = trials.groupBy("trial", "params").agg(F.avg("value").alias("score"))
     order = F.asc("score") if direction == "minimize" else F.desc("score")

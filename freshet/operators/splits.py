@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from freshet.config import SplitConfig, SplitStrategy
 from freshet.operators.climatology import instant
 from freshet.operators.ordering import with_running_total
-from freshet.runtime import pin, unpin
+from freshet.runtime import keep, temporary, unpin
 
 SPLIT = "split"
 
@@ -54,8 +54,9 @@ class TimeIndex:
 
     def __init__(self, values: DataFrame, column: str = "time"):
         self.column = column
-        ranked = with_running_total(values.withColumn("_one", F.lit(1)), [], column, {"_pos": "_one"})
-        self.ranked = pin(ranked.select("_pos", column))
+        with temporary(values.sparkSession):
+            ranked = with_running_total(values.withColumn("_one", F.lit(1)), [], column, {"_pos": "_one"})
+            self.ranked = keep(ranked.select("_pos", column))
         self.n = self.ranked.count()
 
     def at(self, positions: Iterable[int]) -> dict[int, Any]:

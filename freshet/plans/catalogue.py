@@ -5,9 +5,12 @@ Both sides round doubles to six digits, since sums may differ in their last bits
 
 from __future__ import annotations
 
+import functools
 import math
+import random
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +21,13 @@ from freshet.functions.calendar import cyclical
 from freshet.functions.losses import loss
 from freshet.functions.naming import band_name, band_time, file_time
 from freshet.operators import alerts, climatology as clim, features as feat, metrics, quality, scaling, splits, targets
-from freshet.operators.models import fit_model, score
+from freshet.operators.models import fit_model, score, solve
 from freshet.operators.neighbours import knn_predict
 from freshet.operators.patches import build_patches
 from freshet.operators.sampling import hash_sample
+from freshet.operators.search import SEARCH_SPACES, draw, fold_moments, score_trials
 from freshet.plans import series as src
-from freshet.runtime import pin
+from freshet.runtime import keep, pin, temporary
 from freshet.sources import tiles
 from freshet.sources.sinks import append_summary
 
@@ -32,9 +36,21 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _owning(fn: Query) -> Query:
+    """The query with an owner for its intermediate tables: where it wrote any, its result is written and they are deleted."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with temporary(spark) as made:
+            out = fn(spark, sf_dir)
+            return keep(out) if made else out
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = _owning(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -1253,6 +1269,39 @@ def knn(spark, sf):
     return tidy(out)
 
 
+SEARCH_TRIALS = 30
+_DRAWS = random.Random(42)
+SEARCH_ALPHAS = [draw(SEARCH_SPACES["Ridge"], _DRAWS)["alpha"] for _ in range(SEARCH_TRIALS)]
+SEARCH_SQL = (
+    f"WITH {CHECK_CTE}, r AS (SELECT time, lag_0_tp AS a, lag_1_tp AS b, y FROM k WHERE split = 'train'), "
+    "x AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i FROM (SELECT DISTINCT time FROM r)), "
+    "f AS (SELECT CAST(g.k AS INT) AS fold, g.k * fs AS te, g.k * fs + 5 AS vs, least(g.k * fs + 5 + fs, n) AS ve "
+    "FROM (SELECT count(*) AS n, greatest(1, count(*) // 4) AS fs FROM x), generate_series(1, 3) g(k)), "
+    "fw AS (SELECT fold, i < te AS train, r.* FROM r JOIN x ON x.time = r.time JOIN f ON i < te OR i >= vs AND i < ve), "
+    "m AS (SELECT fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM fw WHERE train GROUP BY 1), "
+    "s AS (SELECT fold, any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my, sum((a - ma) ** 2) AS aa, sum((b - mb) ** 2) AS bb, "
+    "sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS ry FROM fw JOIN m USING (fold) WHERE train GROUP BY 1), "
+    "t(trial, alpha) AS (VALUES " + ", ".join(f"({i}, {a!r})" for i, a in enumerate(SEARCH_ALPHAS)) + "), "
+    "c AS (SELECT fold, trial, ma, mb, my, ((bb + alpha) * ay - ab * ry) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wa, "
+    "((aa + alpha) * ry - ab * ay) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wb FROM s, t) "
+    f"SELECT CAST(trial AS INT) AS trial, fold, {rnd('sqrt(avg((y - least(greatest(my + wa * (a - ma) + wb * (b - mb), 0), 1)) ** 2))', 'rmse')} "
+    "FROM fw JOIN c USING (fold) WHERE NOT train GROUP BY 1, 2"
+)
+
+
+@query("search_ridge", SEARCH_SQL)
+def search_ridge(spark, sf):
+    """Every trial of a ridge search on every purged fold of the training rows, in two passes over them."""
+    df, _ = model_table(spark, sf)
+    train = pin(df.filter("split = 'train'").select("time", *TWO, "target_q1"))
+    folds = splits.purged_folds(train, 3, gap=5)
+    known = fold_moments(train, folds, TWO, "target_q1")
+    solved = {k: solve("Ridge", m, [{"alpha": a} for a in SEARCH_ALPHAS]) for k, m in known.items()}
+    weights = {k: (np.array([w for w, _ in s]), np.array([b for _, b in s])) for k, s in solved.items()}
+    out = score_trials(train, folds, TWO, "target_q1", "time", "rmse", weights)
+    return tidy(out.select("trial", "fold", F.col("value").alias("rmse")))
+
+
 @query("experiment_grid")
 def experiment_grid(spark, sf):
     """The whole job on the event series: base table, checks, scaling, fits, calibration, report."""

@@ -12,8 +12,10 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from dataclasses import dataclass
 from typing import TypeVar
 
@@ -112,16 +114,52 @@ def pin(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
+    owners = _owners.get()
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lists of paths written inside nested ``temporary`` blocks, innermost last.
+_owners: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Owns the tables pinned inside, however deep: they are deleted at the end, even after a failure.
+
+    What must outlive the block is handed out by ``keep``. Yields the paths written so far.
+    """
+    made: list[str] = []
+    token = _owners.set((*_owners.get(), made))
+    try:
+        yield made
+    finally:
+        _owners.reset(token)
+        for path in made:
+            _delete(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Pin a table for the surrounding block of the innermost ``temporary``, or for good if there is none."""
+    token = _owners.set(_owners.get()[:-1])
+    try:
+        return pin(df)
+    finally:
+        _owners.reset(token)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unpin(df: DataFrame) -> None:
     """Delete a pinned table whose readers are done; anything else is left alone."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.rsplit("/", 1)[-1].startswith("pinned-"):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def in_parallel(tasks: Sequence[Callable[[], T]], width: int) -> list[T]:
@@ -130,4 +168,5 @@ def in_parallel(tasks: Sequence[Callable[[], T]], width: int) -> list[T]:
         return [t() for t in tasks]
     carry = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(min(width, len(tasks))) as pool:
-        return [f.result() for f in [pool.submit(carry(t)) for t in tasks]]
+        # A copy of the context each, so that what the steps pin has the caller's owner.
+        return [f.result() for f in [pool.submit(copy_context().run, carry(t)) for t in tasks]]
