@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.calendar import season
@@ -14,6 +14,7 @@ from freshet.functions.scores import clip, intensity_band, is_event, residual
 from freshet.operators.metrics import _beside, anomaly_metrics, judged, metric_columns, score_steps
 from freshet.operators.ordering import bucket_of
 from freshet.operators.quantiles import exact_percentiles
+from freshet.runtime import keep, pin, temporary
 
 METHODS = ("f1", "youden", "pr_auc")
 DEFAULT_THRESHOLD = 0.5
@@ -123,18 +124,18 @@ def classify(df: DataFrame, threshold: float, y_pred: str = "y_pred", out: str =
 
 
 def confusion_matrix(
-    df: DataFrame, threshold: float, y_true: str = "y_true", y_pred: str = "y_pred", cutoff: float = 0.5
+    df: DataFrame, threshold: float | Column, y_true: str = "y_true", y_pred: str = "y_pred", cutoff: float = 0.5, by: Sequence[str] = ()
 ) -> DataFrame:
     names = ("tn", "fp", "fn", "tp")
-    counts = judged(df, y_true, y_pred, threshold, cutoff).agg(*metric_columns(names))
-    return counts.select(*[F.col(n).cast("long").alias(n) for n in names])
+    counts = judged(df, y_true, y_pred, threshold, cutoff).groupBy(*by).agg(*metric_columns(names))
+    return counts.select(*by, *[F.col(n).cast("long").alias(n) for n in names])
 
 
-def by_intensity(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """Errors per band of true intensity; bands without rows do not appear."""
+def by_intensity(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", by: Sequence[str] = ()) -> DataFrame:
+    """Errors per band of true intensity (and group); bands without rows do not appear."""
     p = clip(y_pred)
     err = F.col(y_true).cast("double") - p
-    return df.groupBy(intensity_band(y_true).alias("band")).agg(
+    return df.groupBy(*by, intensity_band(y_true).alias("band")).agg(
         F.count(F.lit(1)).alias("count"),
         F.avg(p).alias("mean_pred"),
         F.avg(F.abs(err)).alias("mae"),
@@ -144,32 +145,35 @@ def by_intensity(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred")
 
 
 def by_season(
-    df: DataFrame, threshold: float, y_true: str = "y_true", y_pred: str = "y_pred",
-    time: str = "time", cutoff: float = 0.5,
+    df: DataFrame, threshold: float | Column, y_true: str = "y_true", y_pred: str = "y_pred",
+    time: str = "time", cutoff: float = 0.5, by: Sequence[str] = (),
 ) -> DataFrame:
     rows = judged(df, y_true, y_pred, threshold, cutoff)
-    return rows.groupBy(season(time).alias("season")).agg(
+    return rows.groupBy(*by, season(time).alias("season")).agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("_e").alias("anomaly_rate"),
         *metric_columns(("precision", "recall", "f1")),
     )
 
 
-def residual_profile(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """Mean, population deviation, bias-corrected skewness and kurtosis, exact quantiles."""
-    r = df.withColumn("_p", clip(y_pred)).select(residual(y_true, "_p").alias("r"))
-    n = F.count("r").cast("double")
-    g1 = F.skewness("r") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-    g2 = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.kurtosis("r") + 6)
-    flat = F.stddev_pop("r") == 0
-    moments = r.agg(
-        F.avg("r").alias("mean"),
-        F.stddev_pop("r").alias("std"),
-        F.when(n >= 3, F.when(flat, 0.0).otherwise(g1)).alias("skewness"),
-        F.when(n >= 4, F.when(flat, 0.0).otherwise(g2)).alias("kurtosis"),
-    )
-    levels = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
-    return _beside(moments, exact_percentiles(r, [], "r", levels), ())
+def residual_profile(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", by: Sequence[str] = ()) -> DataFrame:
+    """Mean, population deviation, bias-corrected skewness and kurtosis, exact quantiles; one row (per group)."""
+    spark = df.sparkSession
+    with temporary(spark):
+        # One small column: moments and quantiles read it from files instead of computing it again.
+        r = pin(df.withColumn("_p", clip(y_pred)).select(*by, residual(y_true, "_p").alias("r")))
+        n = F.count("r").cast("double")
+        g1 = F.skewness("r") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
+        g2 = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.kurtosis("r") + 6)
+        flat = F.stddev_pop("r") == 0
+        moments = r.groupBy(*by).agg(
+            F.avg("r").alias("mean"),
+            F.stddev_pop("r").alias("std"),
+            F.when(n >= 3, F.when(flat, 0.0).otherwise(g1)).alias("skewness"),
+            F.when(n >= 4, F.when(flat, 0.0).otherwise(g2)).alias("kurtosis"),
+        )
+        levels = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+        return keep(_beside(moments, exact_percentiles(r, list(by), "r", levels), by))
 
 
 @dataclass(frozen=True)
@@ -194,6 +198,44 @@ class AnomalyReport:
         return out
 
 
+def grouped_reports(
+    df: DataFrame, by: Sequence[str], threshold: Column, y_true: str = "y_true", y_pred: str = "y_pred", time: str | None = "time", cutoff: float = 0.5,
+) -> AnomalyReport:
+    """The parts of all groups' reports at once: each part is one frame, its rows led by the group's columns.
+
+    ``threshold`` is a column of ``df``, the same for all rows of a group. The number of jobs does not depend on
+    the number of groups.
+    """
+    return AnomalyReport(
+        overall=anomaly_metrics(df, threshold, y_true, y_pred, cutoff, by),
+        confusion=confusion_matrix(df, threshold, y_true, y_pred, cutoff, by),
+        intensity=by_intensity(df, y_true, y_pred, by),
+        seasons=by_season(df, threshold, y_true, y_pred, time, cutoff, by) if time else None,
+        residuals=residual_profile(df, y_true, y_pred, by),
+    )
+
+
+def report_documents(report: AnomalyReport, by: Sequence[str]) -> dict[tuple, dict]:
+    """Grouped reports as one document per group; a few rows per group come to the driver."""
+    out: dict[tuple, dict] = {}
+
+    def rows(part: DataFrame):
+        for r in part.collect():
+            whole = r.asDict()
+            yield out.setdefault(tuple(whole.pop(c) for c in by), {}), whole
+
+    for name, part in (("overall", report.overall), ("confusion_matrix", report.confusion), ("residuals", report.residuals)):
+        for document, row in rows(part):
+            document[name] = row
+    for name, part, key in (("by_intensity", report.intensity, "band"), ("by_season", report.seasons, "season")):
+        if part is not None:
+            for document in out.values():
+                document[name] = {}
+            for document, row in rows(part):
+                document[name][row.pop(key)] = row
+    return out
+
+
 def _rest(row, key: str) -> dict:
     return {k: v for k, v in row.asDict().items() if k != key}
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.config import FeatureConfig, FuzzyConfig, PipelineConfig, SampleMode, TargetMode
+from freshet.config import FeatureConfig, FuzzyConfig, PipelineConfig, SampleMode, SplitConfig, SplitStrategy, TargetMode
 from freshet.functions import scores
 from freshet.functions.calendar import cyclical
 from freshet.functions.losses import loss
@@ -26,6 +26,7 @@ from freshet.operators.neighbours import knn_predict
 from freshet.operators.patches import build_patches
 from freshet.operators.sampling import hash_sample
 from freshet.operators.search import SEARCH_SPACES, draw, fold_moments, score_trials
+from freshet.operators.walkforward import walk_forward
 from freshet.plans import series as src
 from freshet.runtime import keep, pin, temporary
 from freshet.sources import tiles
@@ -805,6 +806,50 @@ def residual_profile(spark, sf):
     return tidy(alerts.residual_profile(daily_predictions(spark, sf)))
 
 
+def _long_sql(table: str, part: str, names: Sequence[str], key: str = "''") -> str:
+    return " UNION ALL ".join(f"SELECT run, '{part}' AS part, {key} AS key, '{n}' AS name, {rnd(n, 'value')} FROM {table}" for n in names)
+
+
+_REPORT_PARTS = {
+    "confusion": ("tn", "fp", "fn", "tp"), "overall": ("precision", "recall", "f1", "fpr", "roc_auc"), "intensity": ("count", "mae", "bias"),
+    "seasons": ("count", "anomaly_rate", "f1"), "residuals": ("mean", "std", "skewness", "kurtosis", *[n for n, _ in _QS]),
+}
+REPORT_GRID_SQL = (
+    f"WITH {PL}, g2 AS (SELECT pixel_id % 4 AS run, p.*, CAST(y_true > 0.5 AS INT) AS e, CAST(y_pred > 0.3 + 0.05 * (pixel_id % 4) AS INT) AS h FROM p), "
+    f"c AS (SELECT run, {COUNTS} FROM g2 GROUP BY 1), "
+    "s AS (SELECT run, y_pred, sum(e) AS pos, sum(1 - e) AS neg FROM g2 GROUP BY 1, 2), "
+    "u AS (SELECT *, sum(pos) OVER (PARTITION BY run ORDER BY y_pred DESC) AS ctp, sum(pos) OVER (PARTITION BY run) AS pp, sum(neg) OVER (PARTITION BY run) AS nn FROM s), "
+    "auc AS (SELECT run, sum(neg * (ctp - pos + pos / 2)) / (max(pp) * max(nn)) AS roc_auc FROM u GROUP BY 1), "
+    "o AS (SELECT c.run, roc_auc, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, "
+    "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, fp / greatest(fp + tn, 1.0) AS fpr FROM c JOIN auc USING (run)), "
+    "i AS (SELECT run, CASE WHEN y_true <= 0 THEN 'below_p90' WHEN y_true <= 0.5 THEN 'p90_to_p95' WHEN y_true < 1 THEN 'p95_to_p100' ELSE 'above_p100' END AS band, "
+    "count(*) AS count, avg(abs(y_true - y_pred)) AS mae, avg(y_true - y_pred) AS bias FROM g2 GROUP BY 1, 2), "
+    "k AS (SELECT CASE WHEN month(time) IN (12, 1, 2) THEN 'DJF_wet' WHEN month(time) IN (3, 4, 5) THEN 'MAM_trans' WHEN month(time) IN (6, 7, 8) THEN 'JJA_dry' ELSE 'SON_trans' END AS season, g2.* FROM g2), "
+    f"z AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM (SELECT run, season, count(*) AS count, avg(e) AS anomaly_rate, {COUNTS} FROM k GROUP BY 1, 2)), "
+    "r AS (SELECT run, avg(y_true - y_pred) AS mean, stddev_pop(y_true - y_pred) AS std, skewness(y_true - y_pred) AS skewness, kurtosis(y_true - y_pred) AS kurtosis, "
+    + ", ".join(f"quantile_cont(y_true - y_pred, {q}) AS {n}" for n, q in _QS) + " FROM g2 GROUP BY 1) "
+    + " UNION ALL ".join([
+        _long_sql("c", "confusion", _REPORT_PARTS["confusion"]), _long_sql("o", "overall", _REPORT_PARTS["overall"]), _long_sql("i", "intensity", _REPORT_PARTS["intensity"], "band"),
+        _long_sql("z", "seasons", _REPORT_PARTS["seasons"], "season"), _long_sql("r", "residuals", _REPORT_PARTS["residuals"]),
+    ])
+)
+
+
+@query("report_grid", REPORT_GRID_SQL)
+def report_grid(spark, sf):
+    """The reports of four runs with thresholds of their own, each part from one grouped job; one row per number."""
+    runs = pin(daily_predictions(spark, sf).withColumn("run", F.col("pixel_id") % 4))
+    report = alerts.grouped_reports(runs, ["run"], F.lit(0.3) + 0.05 * F.col("run"))
+    frames = {"confusion": report.confusion, "overall": report.overall, "intensity": report.intensity, "seasons": report.seasons, "residuals": report.residuals}
+    keys = {"intensity": F.col("band"), "seasons": F.col("season")}
+
+    def long(part: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in _REPORT_PARTS[part]]))
+        return frames[part].select("run", F.lit(part).alias("part"), keys.get(part, F.lit("")).alias("key"), each.alias("v")).select("run", "part", "key", "v.*")
+
+    return tidy(functools.reduce(DataFrame.union, [long(part) for part in _REPORT_PARTS]))
+
+
 # --- Checks -------------------------------------------------------------------------------
 
 
@@ -1302,6 +1347,36 @@ def search_ridge(spark, sf):
     return tidy(out.select("trial", "fold", F.col("value").alias("rmse")))
 
 
+WALK_ALPHAS = (0.1, 10.0)
+WALK_SQL = (
+    f"WITH {CHECK_CTE}, x AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i FROM (SELECT DISTINCT time FROM k)), "
+    "c AS (SELECT count(*) AS n, greatest(count(*) // 3, 1) AS tw FROM x WHERE time <= TIMESTAMP '2024-01-25'), "
+    "f AS (SELECT CAST(g.s // 5 + 1 AS INT) AS fold, CASE WHEN {growing} THEN 0 ELSE g.s END AS a, g.s + tw AS b FROM c, generate_series(0, n - tw - 40, 5) g(s)), "
+    "fw AS (SELECT fold, i < b AS train, lag_0_tp AS a, lag_1_tp AS b, y FROM k JOIN x ON x.time = k.time JOIN f ON i >= f.a AND i < f.b + 40), "
+    "m AS (SELECT fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM fw WHERE train GROUP BY 1), "
+    "s AS (SELECT fold, any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my, sum((a - ma) ** 2) AS aa, sum((b - mb) ** 2) AS bb, "
+    "sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS ry FROM fw JOIN m USING (fold) WHERE train GROUP BY 1), "
+    "t(trial, alpha) AS (VALUES " + ", ".join(f"({i}, {a!r})" for i, a in enumerate(WALK_ALPHAS)) + "), "
+    "w2 AS (SELECT fold, trial, ma, mb, my, ((bb + alpha) * ay - ab * ry) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wa, "
+    "((aa + alpha) * ry - ab * ay) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wb FROM s, t), "
+    "p AS (SELECT fold, trial, y, least(greatest(my + wa * (a - ma) + wb * (b - mb), 0), 1) AS p FROM fw JOIN w2 USING (fold) WHERE NOT train) "
+    f"SELECT fold, CAST(trial AS INT) AS trial, count(*) AS n, {rnd('sqrt(avg((y - p) ** 2))', 'rmse')}, {rnd('avg(abs(y - p))', 'mae')} FROM p GROUP BY 1, 2"
+)
+
+
+def _walk(strategy: SplitStrategy) -> Query:
+    def run(spark, sf):
+        df, _ = model_table(spark, sf)
+        cfg = SplitConfig(strategy=strategy, train_end="2024-01-20", val_end="2024-01-25", window_val_size=40, step_size=5)
+        return tidy(walk_forward(pin(df.select("time", *TWO, "target_q1")), TWO, "target_q1", cfg, WALK_ALPHAS, ("rmse", "mae")))
+
+    return run
+
+
+query("walk_forward_grid", WALK_SQL.replace("{growing}", "FALSE"))(_walk(SplitStrategy.ROLLING))
+query("walk_forward_expanding", WALK_SQL.replace("{growing}", "TRUE"))(_walk(SplitStrategy.EXPANDING))
+
+
 @query("experiment_grid")
 def experiment_grid(spark, sf):
     """The whole job on the event series: base table, checks, scaling, fits, calibration, report."""

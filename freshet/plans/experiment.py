@@ -10,7 +10,6 @@ import hashlib
 import json
 import logging
 import time as clock
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import partial
@@ -24,9 +23,9 @@ from pyspark.sql import types as T
 from freshet.config import FeatureConfig, FuzzyConfig, PipelineConfig, SampleMode, SeriesKeys, SplitStrategy, TARGET_BAND
 from freshet.operators import quality
 from freshet.operators.climatology import climatology, instant
-from freshet.operators.alerts import DEFAULT_THRESHOLD, AnomalyReport, anomaly_report, calibrate
+from freshet.operators.alerts import DEFAULT_THRESHOLD, calibrate, grouped_reports, report_documents
 from freshet.operators.features import FeatureMeta, FeatureSpec, select_for_lookback
-from freshet.operators.metrics import anomaly_metrics, evaluate
+from freshet.operators.metrics import evaluate
 from freshet.operators.models import ModelEntry, SparkModel, fit_model, model_registry, score
 from freshet.operators.ordering import ordered_view
 from freshet.operators.neighbours import MAX_ROWS
@@ -35,12 +34,14 @@ from freshet.operators.scaling import fit_scaler
 from freshet.operators.search import SEARCH_SPACES, search
 from freshet.operators.splits import fixed_split, make_splits, test_rows
 from freshet.operators.targets import _score_futures, features_and_targets
-from freshet.runtime import in_parallel, pin, shared_folder, unpin
+from freshet.runtime import in_parallel, pin, scratch_folder, temporary, unpin
 from freshet.sources.tiles import pixel_series
-from freshet.sources.sinks import cache_path, cached, content_key, ensure_thresholds, run_record, save_table, write_json, write_summary
+from freshet.sources.sinks import cache_path, cached, content_key, ensure_thresholds, overwrite_partitions, run_record, write_json, write_summary
 
 log = logging.getLogger(__name__)
 BASE_PARTS = ("p_values", "q_values", "feature_config", "fuzzy_config", "sample_frac", "random_seed")
+#: What tells runs apart; predictions are partitioned by it. Fold 0 is the only one of a fixed split.
+RUN = ("experiment", "model", "fold")
 ALERT_COLUMNS = ("precision", "recall", "f1", "pr_auc", "fpr")
 
 
@@ -116,12 +117,12 @@ class RunResult:
     predictions: DataFrame | None = None
     model: Any = None
     features: list[str] = field(default_factory=list)
-    time: str = "time"
+    #: Anomaly report of the test rows at the calibrated threshold.
+    report: dict[str, Any] | None = None
 
-    def report(self) -> AnomalyReport:
-        """Anomaly report of the test rows at the calibrated threshold."""
-        mine = self.predictions.filter("split = 'test'")
-        return anomaly_report(mine, self.row["threshold"], time=self.time)
+    @property
+    def key(self) -> tuple:
+        return tuple(self.row[c] for c in RUN)
 
 
 @dataclass
@@ -137,9 +138,15 @@ class ExperimentRunner:
     save: bool = False
     parallel: int = 3
     overrides: dict[str, dict[str, Any]] = field(default_factory=dict)
+    _scratch: str | None = field(default=None, repr=False)
 
     def run(self, series: DataFrame, thresholds: DataFrame) -> DataFrame:
         """Summary with one row per (P, Q, model)."""
+        spark = series.sparkSession
+        with temporary(spark):
+            return self._run(series, thresholds)
+
+    def _run(self, series: DataFrame, thresholds: DataFrame) -> DataFrame:
         spark = series.sparkSession
         out_dir = self.cfg.output_dir if self.save else None
         verify = None if self.skip_checks else self.check_lags
@@ -158,8 +165,6 @@ class ExperimentRunner:
             for r in results:
                 self._store(r, spark)
         summary = summary_frame(spark, [r.row for r in results])
-        if not self.save:
-            unpin(base)  # all predictions are on files of their own
         if self.save:
             write_summary(summary, self.cfg.output_dir)
         return summary
@@ -195,7 +200,20 @@ class ExperimentRunner:
         block = [self.cfg.split_config.spatial_block_col] if self.cfg.split_config.spatial_block_col else []
         df = base.select(*dict.fromkeys([*ids, *block, *features, target])).dropna(subset=[*features, target])
         # The base table is on files: every job reads its own columns, nothing is held in memory.
-        df = self._split(df)
+        results: list[RunResult] = []
+        for number, labelled in self._splits(df):
+            try:
+                results += self._run_fold(labelled, specs, target, P, Q, number)
+            except Exception as exc:  # noqa: BLE001 - a fold that cannot be fitted does not stop the others
+                if number == 0:
+                    raise
+                log.warning("P%d_Q%d, fold %d failed: %s", P, Q, number, exc)
+                results.append(RunResult({"experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "fold": number, "error": str(exc)}))
+        return results
+
+    def _run_fold(self, df: DataFrame, specs: list[FeatureSpec], target: str, P: int, Q: int, fold: int) -> list[RunResult]:
+        """All models on one labelling of the rows."""
+        features = [s.name for s in specs]
         counts = {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
         if any(not counts.get(s) for s in ("train", "val", "test")):
             raise ValueError(f"P{P}_Q{Q}: an empty split in {counts}")
@@ -207,41 +225,43 @@ class ExperimentRunner:
         fitted = fit_scaler(df.filter("split = 'train'"), features, self.scaler)
         return in_parallel(
             [
-                partial(self._fit_model, entry, df, fitted, specs, target, P, Q, counts)
+                partial(self._fit_model, entry, df, fitted, specs, target, P, Q, fold, counts)
                 for entry in self.models or model_registry(self.families)
             ],
             self.parallel,
         )
 
-    def _split(self, df: DataFrame) -> DataFrame:
-        """Rows labelled train, val, test as the split configuration asks.
+    def _splits(self, df: DataFrame) -> list[tuple[int, DataFrame]]:
+        """(fold, rows labelled train, val, test) as the split configuration asks; a fixed split is fold 0.
 
-        Walk-forward strategies fit on their last fold and test on the rows after the test cut; with a block
+        Walk-forward strategies give one labelling per fold, all tested on the rows after the test cut; with a block
         column, rows of the blocks whose hash falls in the last fifth are the test rows of either strategy.
         """
         cfg, time = self.cfg.split_config, self.keys.time
         if cfg.strategy == SplitStrategy.FIXED:
-            out = fixed_split(df, cfg, time)
+            labelled = [(0, fixed_split(df, cfg, time))]
         else:
             folds = make_splits(df, cfg, time)
             if not folds:
                 raise ValueError("the walk-forward split has no fold; check the window sizes")
-            last, t = folds[-1], F.col(time)
-            label = F.when(t.between(instant(last.train_lo), instant(last.train_hi)), "train")
-            label = label.when(t.between(instant(last.val_lo), instant(last.val_hi)), "val")
-            out = df.withColumn("split", label.when(test_rows(cfg, time), "test"))
+            labelled, t = [], F.col(time)
+            for f in folds:
+                label = F.when(t.between(instant(f.train_lo), instant(f.train_hi)), "train")
+                label = label.when(t.between(instant(f.val_lo), instant(f.val_hi)), "val")
+                labelled.append((f.fold, df.withColumn("split", label.when(test_rows(cfg, time), "test"))))
         if cfg.spatial_block_col:
             block = F.pmod(F.xxhash64(cfg.spatial_block_col), F.lit(5)) == 4
             inside = F.when(F.col("split") != "test", F.col("split"))
-            out = out.withColumn("split", F.when(block, F.when(F.col("split") == "test", "test")).otherwise(inside))
-        return out
+            own = F.when(block, F.when(F.col("split") == "test", "test")).otherwise(inside)
+            labelled = [(number, rows.withColumn("split", own)) for number, rows in labelled]
+        return labelled
 
-    def _fit_model(self, entry, df, fitted, specs: list[FeatureSpec], target, P, Q, counts) -> RunResult:
+    def _fit_model(self, entry, df, fitted, specs: list[FeatureSpec], target, P, Q, fold, counts) -> RunResult:
         """Tune, fit and score one model; its predictions are materialised here, failures included."""
         started = clock.monotonic()
         features = [s.name for s in specs]
         row: dict[str, Any] = {
-            "experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "model": entry.name, "family": entry.family,
+            "experiment": f"exp_P{P}_Q{Q}", "P": P, "Q": Q, "model": entry.name, "fold": fold, "family": entry.family,
             "input_type": entry.input_type, "n_features": len(features), "tuned": False,
             **{f"{s}_rows": counts[s] for s in ("train", "val", "test")},
         }
@@ -254,10 +274,9 @@ class ExperimentRunner:
             model = fit_model(entry, train, features, target, self.cfg.random_seed, **params)
             ids = [self.keys.time, self.keys.entity, *self.keys.tie]
             scored = score(model, data.filter("split != 'train'")).select(
-                *ids, "split", F.lit(row["experiment"]).alias("experiment"), F.lit(entry.name).alias("model"), F.col(target).cast("double").alias("y_true"), "y_pred"
+                *ids, "split", F.col(target).cast("double").alias("y_true"), "y_pred"
             )
-            scored = self._materialise(scored, row)
-            result = RunResult(row, scored, model, features, self.keys.time)
+            result = RunResult(row, self._materialise(scored, row), model, features)
         except Exception as exc:  # noqa: BLE001 - recorded as an error row
             log.warning("model %s failed: %s", entry.name, exc)
             result = RunResult({**row, "error": str(exc)})
@@ -276,36 +295,50 @@ class ExperimentRunner:
         return found
 
     def _materialise(self, scored: DataFrame, row: dict[str, Any]) -> DataFrame:
-        """Predictions become a table: the artefact of the run, or a checkpoint."""
-        spark = scored.sparkSession
-        folder = self._folder(row) if self.save else f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-        return spark.read.schema(scored.schema).parquet(save_table(scored, f"{folder}/predictions"))
+        """The run's partition of the one table of predictions, replaced if it was there; read back pruned to it."""
+        mine = scored.select("*", *[F.lit(row[c]).alias(c) for c in RUN])
+        overwrite_partitions(mine, self._predictions(scored.sparkSession), RUN)
+        return self.predictions(mine.sparkSession, mine.schema).filter(" and ".join(f"{c} = {row[c]!r}" for c in RUN))
+
+    def _predictions(self, spark: SparkSession) -> str:
+        if self.save:
+            return f"{self.cfg.output_dir}/predictions.parquet"
+        if self._scratch is None:
+            self._scratch = scratch_folder(spark)
+        return self._scratch
+
+    def predictions(self, spark: SparkSession, schema: T.StructType | None = None) -> DataFrame:
+        """All runs' predictions as one table, partitioned by what tells runs apart."""
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(self._predictions(spark))
 
     def evaluate(self, results: list[RunResult]) -> None:
-        """Metrics, thresholds and alert scores of all runs in three grouped jobs; reports run one by one."""
+        """Metrics, thresholds, alert scores and reports of all runs; the number of jobs does not depend on the runs."""
         if not results:
             return
-        # All runs have one layout: their files are read as one table, not as a union of plans.
-        first = results[0].predictions
-        folders = sorted({f.rsplit("/", 1)[0] for r in results for f in r.predictions.inputFiles()})
-        everything = first.sparkSession.read.schema(first.schema).parquet(*folders)
-        run = ["experiment", "model"]
-        rows = {(r.row["experiment"], r.row["model"]): r.row for r in results}
+        spark, run = results[0].predictions.sparkSession, list(RUN)
+        here = spark.createDataFrame([r.key for r in results], "experiment string, model string, fold int")
+        # Of a table that earlier runs have written to as well, only these partitions are read.
+        everything = self.predictions(spark, results[0].predictions.schema).join(F.broadcast(here), run, "left_semi")
+        of = {r.key: r for r in results}
         for m in evaluate(everything, by=(*run, "split")).collect():
             found = {f"{m['split']}_{k}": v for k, v in m.asDict().items() if k not in (*run, "split")}
-            rows[m["experiment"], m["model"]].update(found)
+            of[tuple(m[c] for c in run)].row.update(found)
         method = self.cfg.tuning_config.calibration_method
         # One threshold per run; runs without validation rows keep the default.
         levels = calibrate(everything.filter("split = 'val'"), method, by=run).select(*run, F.col("threshold").alias("_level"))
-        test = everything.filter("split = 'test'").join(F.broadcast(levels), run, "left")
+        # Read by several jobs from here on; a row per run.
+        test = everything.filter("split = 'test'").join(F.broadcast(pin(levels)), run, "left")
         level = F.coalesce(F.col("_level").cast("double"), F.lit(DEFAULT_THRESHOLD))
-        for m in anomaly_metrics(test, level, by=run).collect():
-            row = rows[m["experiment"], m["model"]]
-            row["threshold"] = m["threshold"]
-            row.update({f"anomaly_{c}": m[c] for c in ALERT_COLUMNS})
+        for key, report in report_documents(grouped_reports(test, run, level, time=self.keys.time), run).items():
+            result, overall = of[key], report["overall"]
+            result.report = report
+            result.row["threshold"] = overall["threshold"]
+            result.row.update({f"anomaly_{c}": overall[c] for c in ALERT_COLUMNS})
 
     def _folder(self, row: dict[str, Any]) -> str:
-        return f"{self.cfg.output_dir}/{row['experiment']}/{row['model']}"
+        fold = f"/fold_{row['fold']}" if row["fold"] else ""
+        return f"{self.cfg.output_dir}/{row['experiment']}/{row['model']}{fold}"
 
     def _store(self, result: RunResult, spark) -> None:
         """Report, fitted model and run record beside the predictions."""
@@ -313,8 +346,8 @@ class ExperimentRunner:
         if "model" not in row:
             return
         folder = self._folder(row)
-        if result.predictions is not None:
-            write_json(spark, result.report().to_dict(), f"{folder}/anomaly_report")
+        if result.report is not None:
+            write_json(spark, result.report, f"{folder}/anomaly_report")
         if isinstance(result.model, SparkModel):
             result.model.save(f"{folder}/model")
         record = run_record(self.cfg, row["P"], row["Q"], row["model"], result.features, row, spark)

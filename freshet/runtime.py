@@ -106,6 +106,19 @@ def ship(spark: SparkSession) -> None:
     _shipped["to"] = context.applicationId
 
 
+#: Lists of paths written inside nested ``temporary`` blocks, innermost last.
+_owners: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, owned by the innermost ``temporary`` block."""
+    path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
+    owners = _owners.get()
+    if owners:
+        owners[-1].append(path)
+    return path
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from its files.
 
@@ -113,18 +126,11 @@ def pin(df: DataFrame) -> DataFrame:
     checkpoint the table is computed once, keeps column pruning and has true size statistics.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
-    owners = _owners.get()
-    if owners:
-        owners[-1].append(path)
+    path = scratch_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Lists of paths written inside nested ``temporary`` blocks, innermost last.
-_owners: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
-
-
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[list[str]]:
     """Owns the tables pinned inside, however deep: they are deleted at the end, even after a failure.

@@ -27,6 +27,11 @@ def save_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tup
     return path
 
 
+def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Write the partitions that ``df`` has rows for; the others in the table at ``path`` stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def cache_path(output_dir: str, name: str, cfg: PipelineConfig, *parts: str) -> str:
     """Location keyed by the configuration that determines the contents."""
     return f"{output_dir}/cache/{name}-{cfg.content_hash(*parts)[:16]}.parquet"

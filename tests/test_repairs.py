@@ -121,7 +121,9 @@ CFG = dict(
 def test_the_runner_follows_walk_forward_splits(days, strategy):
     cut = SplitConfig(strategy=strategy, train_end="2022-05-01", val_end="2022-06-30")
     runner = ExperimentRunner(PipelineConfig(split_config=cut, **CFG), models=[get_model("DummyMean")])
-    row = runner.run(days, clim.climatology(days, "tp")).first()
+    rows = runner.run(days, clim.climatology(days, "tp")).collect()
+    row = max(rows, key=lambda r: r.fold)
+    assert [r.fold for r in rows] == list(range(1, len(rows) + 1)) and len(rows) > 2
     n = 181  # days up to the test cut
     spans = {"train_rows": n // 3, "val_rows": n // 6}
     start = range(0, n - n // 3 - n // 6 + 1, n // 6)[-1]

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.config import FeatureConfig, PipelineConfig, SplitConfig, TuningConfig
+from freshet.config import FeatureConfig, PipelineConfig, SplitConfig, SplitStrategy, TuningConfig
 from freshet.operators import climatology as clim
 from freshet.operators.models import ModelEntry, get_model
 from freshet.operators.quality import CheckFailed
@@ -114,12 +114,38 @@ def test_grid_with_artefacts(spark, pixels, tmp_path):
     assert ok["train_rows"] + ok["val_rows"] + ok["test_rows"] == 9 * (50 - 5 - 1) and ok["tuned"]
     assert 0 <= ok["test_brier"] <= 1 and 0 < ok["threshold"] < 1 and ok["error"] is None
     folder = tmp_path / "out" / "exp_P3_Q1" / "DecisionTree"
-    assert all((folder / n).exists() for n in ("predictions.parquet", "anomaly_report", "metadata", "model"))
+    assert all((folder / n).exists() for n in ("anomaly_report", "metadata", "model"))
     report = json.loads(spark.read.text(str(folder / "anomaly_report")).first().value)
     assert sum(report["confusion_matrix"].values()) == ok["test_rows"]
     assert (tmp_path / "out" / "summary_results.csv").exists()
 
 
+def test_predictions_are_one_table_and_a_rerun_replaces_its_own_part(spark, pixels, tmp_path):
+    cfg = PipelineConfig(p_values=(3,), q_values=(1,), feature_config=FEATURES, split_config=SPLIT, output_dir=str(tmp_path / "out"))
+    thresholds = clim.climatology(pixels, "tp")
+
+    def run(*models, **overrides):
+        runner = ExperimentRunner(cfg, models=[get_model(m) for m in models], save=True, overrides=overrides)
+        summary = runner.run(pixels, thresholds)
+        rows = runner.predictions(spark)
+        return summary.collect(), {m: rows.filter(F.col("model") == m).agg(F.count("*"), F.sum("y_pred")).first() for m in ("DummyMean", "Ridge")}
+
+    _, first = run("DummyMean", "Ridge")
+    again, second = run("Ridge", Ridge={"alpha": 1000.0})
+    assert [r.model for r in again] == ["Ridge"] and again[0].val_rows + again[0].test_rows == first["Ridge"][0] == second["Ridge"][0]
+    assert first["DummyMean"] == second["DummyMean"] and first["Ridge"][1] != second["Ridge"][1]
+    pruned = ExperimentRunner(cfg, save=True).predictions(spark).filter("model = 'Ridge'")
+    assert "PartitionFilters: [isnotnull(model" in pruned._jdf.queryExecution().explainString(pruned._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_every_fold_of_a_walk_is_evaluated(pixels):
+    cut = SplitConfig(strategy=SplitStrategy.ROLLING, train_end="2022-01-02", val_end="2022-01-02T12:00:00", window_train_size=12, window_val_size=6, step_size=6)
+    cfg = PipelineConfig(p_values=(3,), q_values=(1,), feature_config=FEATURES, split_config=cut)
+    rows = ExperimentRunner(cfg, models=[get_model("DummyMean"), get_model("Ridge")]).run(pixels, clim.climatology(pixels, "tp")).collect()
+    assert {(r.model, r.fold) for r in rows} == {(m, k) for m in ("DummyMean", "Ridge") for k in range(1, len(rows) // 2 + 1)} and len(rows) >= 6
+    assert all(r.train_rows == 36 and r.val_rows == 18 and r.val_rmse > 0 and 0 < r.threshold < 1 for r in rows)
+
+
 def test_damaged_lags_stop_the_run(pixels):
     cfg = PipelineConfig(p_values=(3,), q_values=(1,), feature_config=FEATURES)
     base, meta = base_table(pixels, clim.climatology(pixels, "tp"), cfg)
