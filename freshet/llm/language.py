@@ -185,13 +185,33 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     )
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, min_score: float) -> DataFrame:
-    """The rows and columns of ``docs`` whose text has a language with at least ``min_score``.
+#: Codes longer than this many times what nearly all labelled texts of the language need are not that language.
+#: A text of few bytes may exceed that by a fixed number of bits.
+RATE_QUANTILE, RATE_RATIO, RATE_SLACK_BITS = 0.999, 2.0, 64.0
 
-    Null texts and texts without letters go. Without anything learned, every text with letters stays.
+
+def rate_limits(docs: DataFrame, model: LanguageModel) -> dict[str, float]:
+    """Greatest bits per byte that passes for each language, from all labelled rows: a histogram in thousandths of a bit."""
+    rows = identify(learnable(docs), model).where("bits_per_byte is not null")
+    steps = rows.groupBy("lang_pred", F.floor(F.col("bits_per_byte") * 1000).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    limits = {}
+    for name in model.names:
+        own = sorted((r["step"], r["n"]) for r in steps if r["lang_pred"] == name)
+        total = np.cumsum([n for _, n in own])
+        if len(total):
+            limits[name] = RATE_RATIO * (own[int(np.searchsorted(total, RATE_QUANTILE * total[-1]))][0] + 1) / 1000
+    return limits
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.0, limits: dict[str, float] | None = None) -> DataFrame:
+    """The rows and columns of ``docs`` whose text is written in a learned language.
+
+    The language is that of the shortest code; the text is of it if its share is at least ``min_score`` and its code
+    does not exceed the language's limit. Null texts and texts without letters go. Without anything learned, every text with letters stays.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     flag = free_name(docs, "_letters")
+    most = np.array([(limits or {}).get(n, np.inf) for n in model.names])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained = shared.value
@@ -200,6 +220,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, min_score: float) -> DataF
             if trained.trees and keep.any():
                 bits, sizes = trained.bits(column_of(batch, "text"))
                 keep &= shares(bits, sizes).max(axis=1) >= min_score
+                keep &= bits.min(axis=1) <= most[bits.argmin(axis=1)] * sizes + RATE_SLACK_BITS
             index = batch.schema.get_field_index(flag)
             kept = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(

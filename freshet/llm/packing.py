@@ -118,13 +118,16 @@ class WordEncoder:
 def _lowered(texts: pa.Array) -> pa.Array:
     """Lowered as far as the vocabulary itself would for sure: whole Latin-1 texts, else only A-Z.
 
-    Texts that may hold a special token's name stay as they are.
+    Texts that may hold a special token's name stay as they are, and so do texts with combining marks: the
+    vocabulary composes before it lowers, and some marks compose with small letters only.
     """
     texts = pc.fill_null(texts, "")
     _, data, offsets = next(byte_chunks(texts, 1 << 60))
     beyond = np.concatenate(([0], np.cumsum(data >= 0xC4)))
     beyond = pa.array(np.diff(beyond[offsets]) > 0)
-    named = pc.match_substring(texts, "<|")
+    # U+0300 to U+037F begin with these bytes and nothing else does; no other mark composes with A-Z.
+    marks = np.concatenate(([0], np.cumsum((data == 0xCC) | (data == 0xCD))))
+    named = pc.or_(pc.match_substring(texts, "<|"), pa.array(np.diff(marks[offsets]) > 0))
     out = pc.if_else(beyond, pc.ascii_lower(texts), pc.utf8_lower(texts)) if pc.any(beyond).as_py() else pc.utf8_lower(texts)
     return pc.if_else(named, texts, out) if pc.any(named).as_py() else out
 

@@ -37,12 +37,13 @@ cut AS (SELECT *, regexp_extract_all(t, '{_ASSIGN}') AS m0, string_split_regex(t
 base AS (SELECT doc_id, owner, list_sort(list_concat({_spans_sql(0, _ASSIGN, "regexp_extract({m}, '" + _ASSIGN.replace("{", "{{").replace("}", "}}") + "', 2)", secrets.SHORTEST_VALUE)},
   list_concat({_spans_sql(1, _ACCESS, "{m}")}, {_spans_sql(2, _HEX, "{m}")}))) AS b FROM cut),
 each AS (SELECT doc_id, owner, unnest(b) AS x FROM base),
-owners AS (SELECT x.v AS v, count(DISTINCT owner) AS n FROM each GROUP BY 1),
-judged AS (SELECT e.doc_id, e.x, o.n, o.n = 1 AND length(e.x.v) >= {secrets.LIVE_LENGTH}
+owners AS (SELECT v, count(DISTINCT owner) >= {secrets.COPIED_OWNERS} OR sum(repositories) >= {secrets.COPIED_REPOSITORIES} AS copied, count(DISTINCT owner) AS n
+  FROM (SELECT x.v AS v, owner, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS repositories FROM each GROUP BY 1, 2) GROUP BY 1),
+judged AS (SELECT e.doc_id, e.x, o.copied, o.n = 1 AND NOT o.copied AND length(e.x.v) >= {secrets.LIVE_LENGTH}
     AND len(list_distinct(string_split(e.x.v, ''))) >= {secrets.LIVE_DIFFERENT} AND NOT regexp_matches(e.x.v, '(?i){_PLACEHOLDER}') AS live
   FROM each e JOIN owners o ON o.v = e.x.v),
 extra AS (SELECT doc_id, coalesce(list(DISTINCT struct_pack(s := x.e - length(x.v), k := 3, e := x.e)) FILTER (WHERE live), []) AS live,
-  count(DISTINCT x.v) FILTER (WHERE n >= {secrets.COPIED_OWNERS}) AS n_copied FROM judged GROUP BY 1),
+  count(DISTINCT x.v) FILTER (WHERE copied) AS n_copied FROM judged GROUP BY 1),
 slim AS (SELECT doc_id, list_transform(b, lambda x: struct_pack(s := x.s, k := x.k, e := x.e)) AS b FROM base)
 SELECT s.doc_id, len(list_filter(b, lambda x: x.k = 0))::BIGINT AS n_assign, len(list_filter(b, lambda x: x.k = 1))::BIGINT AS n_access,
   len(list_filter(b, lambda x: x.k = 2))::BIGINT AS n_hex, sha256({_NAMED.format("b")}) AS base_sha256,
@@ -62,20 +63,20 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM reac
 SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)""",
     "op5_line_hash_dedup": rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-cut AS (SELECT doc_id, regexp_extract_all(t, '[^.!?\n]+[.!?]*') AS m, string_split_regex(t, '[^.!?\n]+[.!?]*') AS g FROM d),
-piece AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS raw, unnest(g[1:len(m)]) AS gap FROM cut),
-placed AS (SELECT doc_id, i, raw, sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM piece),
-unit AS (SELECT doc_id, i, stop, stop - length(regexp_replace(raw, '^\s+', '')) AS start,
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, substr(md5(coalesce(text, '')), 1, 16) AS key FROM documents),
+cut AS (SELECT doc_id, key, regexp_extract_all(t, '[^.!?\n]+[.!?]*') AS m, string_split_regex(t, '[^.!?\n]+[.!?]*') AS g FROM d),
+piece AS (SELECT doc_id, key, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS raw, unnest(g[1:len(m)]) AS gap FROM cut),
+placed AS (SELECT doc_id, key, i, raw, sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id, key ORDER BY i) AS stop FROM piece),
+unit AS (SELECT doc_id, key, i, stop, stop - length(regexp_replace(raw, '^\s+', '')) AS start,
   list_filter(string_split_regex(rtrim(lower(raw), '.!? '), '\s+'), lambda x: x <> '') AS w FROM placed),
-u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, start, stop, len(w) AS words, array_to_string(w, ' ') AS norm
+u AS (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS n, start, stop, len(w) AS words, array_to_string(w, ' ') AS norm
   FROM unit WHERE len(w) >= {repeats.MIN_UNIT_WORDS}),
-ranked AS (SELECT *, first_value(doc_id) OVER f AS first_doc_id, first_value(start) OVER f AS first_start FROM u
-  WINDOW f AS (PARTITION BY norm ORDER BY doc_id, start)),
-later AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY doc_id ORDER BY start) = 1 THEN 0 ELSE 1 END AS fresh FROM ranked
-  WHERE (doc_id, start) > (first_doc_id, first_start)),
-run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS r FROM later),
-sized AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, r) AS run_words, min(start) OVER (PARTITION BY doc_id, r) AS run_start FROM run)
+ranked AS (SELECT *, first_value(doc_id) OVER f AS first_doc_id, first_value(key) OVER f AS first_key, first_value(start) OVER f AS first_start FROM u
+  WINDOW f AS (PARTITION BY norm ORDER BY doc_id, key, start)),
+later AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY doc_id, key ORDER BY start) = 1 THEN 0 ELSE 1 END AS fresh FROM ranked
+  WHERE (doc_id, key, start) > (first_doc_id, first_key, first_start)),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, key ORDER BY start) AS r FROM later),
+sized AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, key, r) AS run_words, min(start) OVER (PARTITION BY doc_id, key, r) AS run_start FROM run)
 SELECT doc_id, start::INT AS start, stop::INT AS "end", words::INT AS words, first_doc_id, first_start::INT AS first_start,
   run_start::INT AS run_start, run_words::BIGINT AS run_words
 FROM sized WHERE run_words >= {repeats.MIN_RUN_WORDS}""",

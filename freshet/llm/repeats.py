@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.common import column_of
@@ -41,48 +41,58 @@ def units_of(text: str) -> list[tuple[int, int, int, int, bytes]]:
     return out
 
 
+def text_key() -> Column:
+    """With doc_id, what tells documents apart: rows may share a doc_id, or have none, and differ in their texts."""
+    return F.unhex(F.substring(F.md5(F.encode("text", "UTF-8")), 1, 16))
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """All units of all texts: doc_id, unit, start, end, words, digest. Null and empty texts have none."""
+    """All units of all texts: doc_id, text_key, unit, start, end, words, digest. Null and empty texts have none."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        names = ["doc_id", "unit", "start", "end", "words", "digest"]
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        names = ["doc_id", "text_key", "unit", "start", "end", "words", "digest"]
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(column_of(batch, "doc_id").to_pylist(), column_of(batch, "text").to_pylist()):
+            for doc, key, text in zip(*(column_of(batch, c).to_pylist() for c in ("doc_id", "text_key", "text"))):
                 if text:
-                    rows += [(doc, *u) for u in units_of(text)]
+                    rows += [(doc, key, *u) for u in units_of(text)]
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        work, "doc_id long, unit int, start int, end int, words int, digest binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(
+        work, "doc_id long, text_key binary, unit int, start int, end int, words int, digest binary"
     )
 
 
 def find(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
     """Units to remove: doc_id, start, end, words, first_doc_id, first_start, run_start, run_words.
 
-    Occurrences are ranked by (doc_id, start); the first of each digest stays. Rows that repeat a doc_id with
-    the same text are one document. A null doc_id ranks before all. Empty tables give an empty result.
+    Occurrences are ranked by (doc_id, hash of the text, start); the first of each digest stays. Rows that repeat
+    a doc_id with the same text are one document, different texts under one doc_id, or without one, are documents
+    of their own. A null doc_id ranks before all. Empty tables give an empty result.
     Digests are grouped with map-side minima and joined back, so a unit that is everywhere is no hot group.
     """
+    return _found(docs, min_run_words).drop("text_key")
+
+
+def _found(docs: DataFrame, min_run_words: int) -> DataFrame:
     all_units = pin(units(docs))
-    rank = F.struct("doc_id", "start")
+    rank = F.struct("doc_id", "text_key", "start")
     firsts = all_units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("not (first <=> last)").drop("last")
-    later = all_units.join(firsts, "digest").where(F.struct("doc_id", "start") > F.col("first")).dropDuplicates(["doc_id", "start", "digest"])
-    in_doc = Window.partitionBy("doc_id").orderBy("start")
+    later = all_units.join(firsts, "digest").where(rank > F.col("first")).dropDuplicates(["doc_id", "text_key", "start", "digest"])
+    in_doc = Window.partitionBy("doc_id", "text_key").orderBy("start")
     broken = F.coalesce((F.col("unit") - F.lag("unit").over(in_doc) > 1).cast("int"), F.lit(1))
     runs = later.withColumn("_new", broken).withColumn("_run", F.sum("_new").over(in_doc))
-    run = Window.partitionBy("doc_id", "_run")
+    run = Window.partitionBy("doc_id", "text_key", "_run")
     return (
         runs.withColumn("run_words", F.sum("words").over(run)).withColumn("run_start", F.min("start").over(run))
         .where(F.col("run_words") >= min_run_words)
         .select(
-            "doc_id", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
+            "doc_id", "text_key", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
             "run_start", F.col("run_words").cast("long").alias("run_words"),
         )
     )
@@ -90,7 +100,9 @@ def find(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
 
 def remove(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
     """Texts without the repeated units: doc_id, text, and the removed [start, end) pairs of the original."""
-    cuts = find(docs, min_run_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    cuts = _found(docs, min_run_words).groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")
+    )
 
     def keep(text, cut):
         state = F.aggregate(
@@ -101,7 +113,8 @@ def remove(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
         )
         return F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
 
-    joined = docs.select("doc_id", "text").join(cuts, "doc_id", "left")
+    keyed = docs.select("doc_id", "text", text_key().alias("_own"))
+    joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["_doc"]) & (keyed["_own"] == cuts["_key"]), "left")
     return joined.select(
         "doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(keep(F.col("text"), F.col("cuts"))).alias("text"), "cuts"
     )

@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, all in column expressions.
 
 Candidates come from three patterns. A candidate's hash is counted over the distinct repositories and
-owners that hold it: what many owners hold is a copied example, what one owner holds and looks random is
-taken for a live credential.
+owners that hold it: what several owners or many repositories hold is a copied example, what one owner holds
+in few repositories and looks random is taken for a live credential.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 SHORTEST_VALUE = 6
 
-#: A value held by at least so many owners is a copied example.
-COPIED_OWNERS = 3
+#: A value held by at least so many owners, or in so many repositories of whatever owners, is a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 10
 #: A live-looking value has at least so many characters, and so many different ones.
 LIVE_LENGTH, LIVE_DIFFERENT = 12, 6
 _PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|xxxx|your[_-]"
@@ -104,10 +104,10 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     spread = found.where(F.size("spans") > 0).select("doc_id", "text_key", F.explode("spans").alias("s"))
     judged = spread.withColumn("hash", F.sha2(value, 256)).join(ownership(found), "hash")
     looks_live = (F.length(value) >= LIVE_LENGTH) & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_DIFFERENT) & ~value.rlike(_PLACEHOLDER)
-    copied = F.col("owners") >= COPIED_OWNERS
+    copied = (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES)
     live = F.struct((F.col("s.end") - F.length(value)).alias("start"), F.lit(3).alias("kind"), F.col("s.end").alias("end"))
     extra = judged.groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.when(looks_live & (F.col("owners") == 1), live)).alias("live"),
+        F.collect_set(F.when(looks_live & (F.col("owners") == 1) & ~copied, live)).alias("live"),
         F.size(F.collect_set(F.when(copied, F.col("hash")))).cast("long").alias("n_copied"),
     )
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))

@@ -222,6 +222,15 @@ def test_secrets(spark, docs, rows, nothing):
     assert secrets.scan(docs).count() == len(rows) and secrets.scan(nothing).count() == 0
 
 
+def test_ownership_reads_repositories_and_owners(spark):
+    values = {"lone": "aZ9kLm3nOp4q", "hot": "bZ9kLm3nOp4q", "two": "cZ9kLm3nOp4q", "many": "dZ9kLm3nOp4q", "few": "eZ9kLm3nOp4q"}
+    rows = [(1, "lone", "x"), *[(100 + k, "hot", "x") for k in range(50)], *[(200 + k, "two", f"o{k % 2}") for k in range(20)],
+            *[(300 + k, "many", f"o{k}") for k in range(3)], *[(400 + k, "few", f"o{k}") for k in range(2)]]
+    got = secrets.scan(frame(spark, [(d, f"secret={values[v]}", None, o) for d, v, o in rows])).toPandas().set_index("doc_id")
+    state = {v: {(got.n_live[d], got.n_copied[d]) for d, u, _ in rows if u == v} for v in values}
+    assert state == {"lone": {(1, 0)}, "hot": {(0, 1)}, "two": {(0, 1)}, "many": {(0, 1)}, "few": {(0, 0)}}
+
+
 # --- 4 near duplicates -----------------------------------------------------------------------
 
 
@@ -279,14 +288,15 @@ def test_thresholds_leave_room():
 
 def plain_repeats(rows, least):
     seen, out = {}, set()
+    key = lambda t: hashlib.md5(t.encode()).digest()[:8]
     docs = sorted({(d, t) for d, t, *_ in rows if t}, key=lambda x: (-1 if x[0] is None else x[0], x[1]))
     for d, t in docs:
         for _, s, _, _, digest in repeats.units_of(t):
-            seen.setdefault(digest, []).append((-1 if d is None else d, s))
+            seen.setdefault(digest, []).append((-1 if d is None else d, key(t), s))
     for d, t in docs:
         run = []
         for u in [*repeats.units_of(t), None]:
-            later = u and (-1 if d is None else d, u[1]) > min(seen[u[4]])
+            later = u and (-1 if d is None else d, key(t), u[1]) > min(seen[u[4]])
             if later:
                 run.append(u)
             else:
@@ -313,6 +323,18 @@ def test_repeats(spark, docs, rows, nothing):
     assert repeats.find(nothing).count() == 0
 
 
+def test_repeats_tell_texts_of_one_doc_id_apart(spark):
+    rng = random.Random(14)
+    passage = ". ".join(sentence(rng, 9).capitalize() for _ in range(7)) + "."
+    own = [sentence(rng, 80) for _ in range(4)]
+    rows = [(1, f"{own[0]}.\n{passage}"), (2, own[1]), (2, f"{own[2]}.\n{passage}"), (None, f"{own[3]}.\n{passage}"), (None, None), (3, "")]
+    cut = repeats.remove(frame(spark, [(d, t, None, None) for d, t in rows])).collect()
+    left = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in cut)
+    assert len(left) == 6 and (2, own[1]) in left
+    assert sum(passage in t for _, t in left) == 1 and (-1, f"{own[3]}.\n{passage}") in left  # no id ranks first
+    assert all(any(t.startswith(o) for _, t in left) for o in own)
+
+
 # --- 6 quality -------------------------------------------------------------------------------
 
 
@@ -499,6 +521,20 @@ def test_odd_words_are_coded_like_whole_texts():
         assert ids[at[k] : at[k + 1]].tolist() == encode.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_combining_marks_are_coded_like_whole_texts():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encode = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(12)
+    marks = [*map(chr, range(0x300, 0x370)), "\u0591", "\u1ab0", "\u1dc0", "\u20d0", "\u3099", "\ufe20"]
+    texts = ["T\u0308 H\u0331 W\u030a Y\u030a J\u030c"] + [
+        "".join(rng.choice("ABTHWYJKaeiozé \u0130Ā") + "".join(rng.choice(marks) for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 12)))
+        for _ in range(4000)
+    ]
+    ids, at = encode(pa.array(texts))
+    for k, whole in enumerate(encode.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == whole.ids, ascii(texts[k])
+
+
 def test_reduction_never_costs_bins():
     rng = random.Random(6)
     for _ in range(150):
