@@ -6,37 +6,44 @@ return the columns of documents. Null texts and texts without letters leave in t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import decontaminate, language, neardup, packing, pii
-from freshet.llm.common import free_name, prepare
+from freshet.llm.common import free_name, prepare, spread_rank
 from freshet.runtime import pin
 
-#: A text stays if the best language has at least this share of the evidence.
-MIN_LANGUAGE_SHARE = 0.3
 #: Near duplicates: words of a shingle, and percent of common shingles.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language that can be told."""
+    """Drops documents that no learned language codes about as shortly as its own labelled texts."""
     prepare(spark)
-    return language.keep_known(docs, language.fit(docs), MIN_LANGUAGE_SHARE)
+    model = language.fit(docs)
+    return language.keep_known(docs, model, limits=language.rate_limits(docs, model))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of every group of near duplicates.
 
-    Rows that repeat a doc_id are one document; the row whose text sorts first stays. Rows without a doc_id stay.
+    Equal rows are one document. Different texts under one doc_id are documents of their own: they are compared
+    under numbers above all ids, and stay unless an alike text with a real or lower number does. Rows without a
+    doc_id stay.
     """
     prepare(spark)
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    turn = free_name(docs, "_turn")
-    stays = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    stays = stays.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return stays.where(F.col(turn) == 1).select(*docs.columns).union(docs.where("doc_id is null"))
+    number = free_name(docs, "_number")
+    known = docs.where("doc_id is not null")
+    shared = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    single = known.join(shared, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").cast("long").alias(number))
+    # Few rows at most: those that share their doc_id. Equal texts of one doc_id leave one row.
+    several = pin(known.join(shared, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    above = docs.agg(F.max("doc_id")).first()[0]
+    several = spread_rank(several, [], ["doc_id", "text"], number).withColumn(number, F.col(number) + 1 + (above or 0))
+    rows = single.union(several.select(*single.columns))
+    found = neardup.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(number)).distinct()
+    return rows.join(gone, number, "left_anti").select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
