@@ -34,7 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     prepare(spark)
     number = free_name(docs, "_number")
     known = docs.where("doc_id is not null")
-    shared = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    # Written, so that its true size decides the join: usually it is empty and no text moves.
+    shared = pin(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"))
     single = known.join(shared, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").cast("long").alias(number))
     # Few rows at most: those that share their doc_id. Equal texts of one doc_id leave one row.
     several = pin(known.join(shared, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
