@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.ordering import ordered_view, with_running_total
-from freshet.runtime import pin
+from freshet.runtime import pin, temporary
+from freshet.sources.sinks import save_table
 
 #: Side of a block in cells.
 BLOCK = 32
@@ -107,6 +108,29 @@ def build_patches(
     return full.select("time", F.explode(patches).alias("p")).select("time", "p.cy", "p.cx", "p.patch").filter(F.col("patch").isNotNull())
 
 
+def number_patches(patches: DataFrame) -> DataFrame:
+    """The same patches with ``sample``, a dense number from 0 in the order of (time, cy, cx).
+
+    Rows are dealt to ranges of that order; counts of the ranges give each its first number.
+    """
+    at = F.struct("time", "cy", "cx")
+    numbered = with_running_total(patches.select("*", at.alias("_at"), F.lit(1).alias("_one")), [], "_at", {"_n": "_one"})
+    return numbered.select((F.col("_n") - 1).cast("long").alias("sample"), *patches.columns)
+
+
+def write_patches(patches: DataFrame, folder: str) -> tuple[str, str]:
+    """Store numbered patches and, beside them, the index of what each number stands for; returns both paths.
+
+    The patch table is laid out by ``sample``, so a range of numbers reads few files; the index is small and has no
+    patch in it.
+    """
+    with temporary(patches.sparkSession):
+        numbered = number_patches(patches)
+        data = save_table(numbered.repartitionByRange("sample").sortWithinPartitions("sample").drop("time", "cy", "cx"), f"{folder}/patches")
+        index = save_table(numbered.drop("patch"), f"{folder}/patch_index")
+    return data, index
+
+
 def _dense(cells: Column, expected: Column) -> Column:
     """Values by position; positions without a cell are NULL. Whole planes, the usual case, need no filling."""
     kind = "array<array<float>>"

@@ -23,7 +23,7 @@ from freshet.functions.naming import band_name, band_time, file_time
 from freshet.operators import alerts, climatology as clim, features as feat, metrics, quality, scaling, splits, targets
 from freshet.operators.models import fit_model, score, solve
 from freshet.operators.neighbours import knn_predict
-from freshet.operators.patches import build_patches
+from freshet.operators.patches import build_patches, number_patches
 from freshet.operators.sampling import hash_sample
 from freshet.operators.search import SEARCH_SPACES, draw, fold_moments, score_trials
 from freshet.operators.walkforward import walk_forward
@@ -1217,6 +1217,21 @@ def patch_tensor(spark, sf):
     return build_patches(cube, 2, 1, BANDS, 8, 8).withColumn("patch", F.array_join(text, ","))
 
 
+PATCH_INDEX_SQL = PATCH_SQL[: PATCH_SQL.index("ctr AS")] + (
+    "ctr AS (SELECT time, y AS cy, x AS cx, i FROM ci WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 AND i >= 3), "
+    "full_cells AS (SELECT ctr.time, cy, cx, count(*) AS n FROM ctr JOIN ci ON ci.i BETWEEN ctr.i - 2 AND ctr.i "
+    "AND ci.y BETWEEN cy - 2 AND cy + 2 AND ci.x BETWEEN cx - 2 AND cx + 2 GROUP BY 1, 2, 3) "
+    "SELECT row_number() OVER (ORDER BY time, cy, cx) - 1 AS sample, time, cy, cx FROM full_cells WHERE n = 75"
+)
+
+
+@query("patch_index", PATCH_INDEX_SQL)
+def patch_index(spark, sf):
+    """The numbers of three-step 5×5 patches and what they stand for."""
+    cube = tiles.cube_rows(src.vector_tiles(spark, sf), BANDS)
+    return number_patches(build_patches(cube, 3, 2, BANDS, 8, 8)).drop("patch")
+
+
 # --- Models -------------------------------------------------------------------------------
 
 
