@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.scores import clip
+from freshet.operators.convex import insensitive, minimise
 from freshet.operators.gramian import Moments, bayesian_ridge, moments, partial_least_squares, ridge, sparse_path
 from freshet.operators.neighbours import MAX_ROWS, Reference, neighbour_column, reference_rows
 from freshet.operators.quantiles import exact_percentiles, percentile_array
@@ -125,6 +126,13 @@ def _fit_linear(name: str) -> Callable:
 fit_ridge, fit_lasso, fit_elastic_net, fit_bayesian_ridge = (_fit_linear(n) for n in ("Ridge", "Lasso", "ElasticNet", "BayesianRidge"))
 
 
+def fit_linear_svr(df, features, label, params, seed):
+    """Support vector regression without a kernel; the intercept is penalised like a weight."""
+    spread = float(df.agg(F.stddev_pop(label)).first()[0] or 0.0) or 1.0
+    stages = [insensitive(params["epsilon"], spread * 10.0**-k) for k in range(1, 6)]
+    return _linear(features, minimise(df, features, label, stages, params["C"], params["max_iter"]))
+
+
 def fit_pls(df, features, label, params, seed):
     return _linear(features, partial_least_squares(moments(df, features, label), params["n_components"]))
 
@@ -222,6 +230,7 @@ REGISTRY: tuple[ModelEntry, ...] = (
         {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8}, needs_scaling=False,
     ),
     ModelEntry("KNN", "N", fit_knn, {"n_neighbors": 10, "weights": "distance"}),
+    ModelEntry("LinearSVR", "S", fit_linear_svr, {"C": 1.0, "epsilon": 0.0, "max_iter": 5000}),
     ModelEntry("TransformedTarget_Ridge", "C", fit_transformed_ridge, {"alpha": 1.0, "n_quantiles": 1000}),
     ModelEntry("PLSRegression", "CD", fit_pls, {"n_components": 5}),
 )

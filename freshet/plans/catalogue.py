@@ -1272,6 +1272,7 @@ query("elastic_net")(_model_query("ElasticNet", alpha=0.001))
 query("bayes_ridge")(_model_query("BayesianRidge"))
 query("pls")(_model_query("PLSRegression"))
 query("transformed_target")(_model_query("TransformedTarget_Ridge"))
+query("linear_svr")(_model_query("LinearSVR"))
 query("tree")(_model_query("DecisionTree"))
 query("forest")(_model_query("RandomForest", n_estimators=20, max_depth=8))
 query("gbt")(_model_query("GradientBoosting", n_estimators=10, max_depth=4))
