@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.scores import clip
 from freshet.operators.convex import insensitive, minimise
+from freshet.operators.extratree import fit_extra_tree
 from freshet.operators.gramian import Moments, bayesian_ridge, moments, partial_least_squares, ridge, sparse_path
 from freshet.operators.neighbours import MAX_ROWS, Reference, neighbour_column, reference_rows
 from freshet.operators.quantiles import exact_percentiles, percentile_array
@@ -126,6 +127,10 @@ def _fit_linear(name: str) -> Callable:
 fit_ridge, fit_lasso, fit_elastic_net, fit_bayesian_ridge = (_fit_linear(n) for n in ("Ridge", "Lasso", "ElasticNet", "BayesianRidge"))
 
 
+def fit_random_cuts(df, features, label, params, seed):
+    return fit_extra_tree(df, features, label, params["max_depth"], params.get("min_samples_split", 2), seed)
+
+
 def fit_linear_svr(df, features, label, params, seed):
     """Support vector regression without a kernel; the intercept is penalised like a weight."""
     spread = float(df.agg(F.stddev_pop(label)).first()[0] or 0.0) or 1.0
@@ -224,6 +229,7 @@ REGISTRY: tuple[ModelEntry, ...] = (
     ModelEntry("ElasticNet", "L", fit_elastic_net, {"alpha": 0.01, "l1_ratio": 0.5, "max_iter": 5000}),
     ModelEntry("BayesianRidge", "L", fit_bayesian_ridge),
     ModelEntry("DecisionTree", "T", fit_tree, {"max_depth": 12}, needs_scaling=False),
+    ModelEntry("ExtraTree", "T", fit_random_cuts, {"max_depth": 12}, needs_scaling=False),
     ModelEntry("RandomForest", "E", fit_forest, {"n_estimators": 300, "max_depth": 16, "min_samples_leaf": 5}, needs_scaling=False),
     ModelEntry(
         "GradientBoosting", "E", fit_gbt,

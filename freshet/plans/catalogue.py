@@ -21,6 +21,7 @@ from freshet.functions.calendar import cyclical
 from freshet.functions.losses import loss
 from freshet.functions.naming import band_name, band_time, file_time
 from freshet.operators import alerts, climatology as clim, features as feat, metrics, quality, scaling, splits, targets
+from freshet.operators.extratree import draw as extra_draw
 from freshet.operators.models import fit_model, score, solve
 from freshet.operators.neighbours import knn_predict
 from freshet.operators.patches import build_patches, number_patches
@@ -1272,6 +1273,7 @@ query("elastic_net")(_model_query("ElasticNet", alpha=0.001))
 query("bayes_ridge")(_model_query("BayesianRidge"))
 query("pls")(_model_query("PLSRegression"))
 query("transformed_target")(_model_query("TransformedTarget_Ridge"))
+query("extra_tree")(_model_query("ExtraTree"))
 query("linear_svr")(_model_query("LinearSVR"))
 query("tree")(_model_query("DecisionTree"))
 query("forest")(_model_query("RandomForest", n_estimators=20, max_depth=8))
@@ -1306,6 +1308,15 @@ query(
 query("ridge_closed_form", _fit_sql("a * ay / (aa + 50.0)", 6))(_model_query("Ridge", ONE, alpha=50.0))
 query("lasso_closed_form", _fit_sql(_shrunk(0.0005, 0.0), 4))(_model_query("Lasso", ONE, 4, alpha=0.0005))
 query("elastic_net_closed_form", _fit_sql(_shrunk(0.0005, 0.0005), 4))(_model_query("ElasticNet", ONE, 4, alpha=0.001))
+query(
+    "extra_tree_stump",
+    f"{FIT_SQL}, g AS (SELECT min(a) + {extra_draw(42, 0, 0)!r} * (max(a) - min(a)) AS ca, min(b) + {extra_draw(42, 0, 1)!r} * (max(b) - min(b)) AS cb FROM z WHERE split = 'train'), "
+    "h AS (SELECT avg(y) FILTER (WHERE a <= ca) AS al, avg(y) FILTER (WHERE a > ca) AS ar, avg(y) FILTER (WHERE b <= cb) AS bl, avg(y) FILTER (WHERE b > cb) AS br, "
+    "count(*) FILTER (WHERE a <= ca) AS na, count(*) FILTER (WHERE b <= cb) AS nb, count(*) AS nn FROM z, g WHERE split = 'train') "
+    f"SELECT pixel_id, time, event_id, {rnd('y', 'target_q1')}, "
+    f"{rnd('CASE WHEN na * al ** 2 + (nn - na) * ar ** 2 >= nb * bl ** 2 + (nn - nb) * br ** 2 THEN CASE WHEN a <= ca THEN al ELSE ar END ELSE CASE WHEN b <= cb THEN bl ELSE br END END', 'y_pred')} "
+    "FROM z, g, h WHERE split = 'test'",
+)(_model_query("ExtraTree", TWO, max_depth=1))
 query("pls_closed_form", _fit_sql("(a * ay + b * bb) * (ay * ay + bb * bb) / (ay * ay * aa + 2 * ay * bb * ab + bb * bb * b2)", 6))(
     _model_query("PLSRegression", TWO, n_components=1)
 )
