@@ -4,16 +4,20 @@
    one class and go on as one row.
 2. Each class is posted under its (coordinate, value) pairs. Pairs that nobody else has are skipped, a
    class with fewer shared coordinates than a match needs is skipped whole, and of the others only the
-   rarest K - t + 1 are posted: two signatures that agree in t of K coordinates share one of those.
-3. Members of a posting list hang on its least member, so a list of n gives n - 1 edges. The components of
-   these edges are the *candidate groups*: any two classes that may match are in one group.
+   rarest K - t + 2 are posted: two signatures that agree in t of K coordinates share two of those.
+3. Pairs of classes of one list are kept if their signatures agree in t coordinates or more, counted on eight
+   bits a coordinate. First every member meets the least member of its list; the pairs kept join classes to
+   parts. A list with one part only is settled. Otherwise the members outside the list's largest part meet all
+   others. Where more than ``CROSS`` are outside, the list is posted anew under each two of a class's such lists;
+   what is still above that hangs on its least member unseen. The kept pairs join classes to *candidate groups*.
 4. Groups are cut into blocks of ``BLOCK`` classes, sorted by set size. Inside a block all sets are compared
    exactly. A block also meets the *centre* of its group, the class that shares the most coordinates.
 5. Links join classes to components. What a centre leaves apart may still match members of other blocks:
    such a class counts how many of its shingles no other member has. That bounds the sizes it can match,
    and it is sent only to the blocks with such sizes, where it is compared exactly.
 
-Step 5 loses no link. The signature only proposes; every link is confirmed on full sets.
+Steps 2 and 3 lose no pair that agrees in t coordinates, step 5 loses no link. The signature only proposes; every
+link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.common import byte_chunks, column_of, connected_components, constants, hash01, mix64, shingle_hashes, word_hashes
-from freshet.runtime import pin
+from freshet.runtime import keep, pin, temporary
 
 COORDINATES = 32
 #: Standard deviations by which the match threshold lies below the expected number of agreeing coordinates.
 SLACK_SIGMAS = 5.0
+#: Members outside the largest part of a posting list that meet all its members.
+CROSS = 64
 #: Classes of a candidate group that one task compares with each other.
 BLOCK = 256
 #: Blocks whose shingles meet in one part when shared ones are told from single ones.
@@ -54,8 +60,8 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def signatures(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, a hash of the text, n_shingles, digest (two numbers), signature of every document."""
-    factors = constants(coordinates, 11)
+    """doc_id, a hash of the text, n_shingles, digest (two numbers), signature and its low bytes of every document."""
+    factors, width = constants(coordinates, 11), -(-coordinates // 8)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = constants(2, 12)
@@ -72,31 +78,81 @@ def signatures(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> D
                         rows[k] = (mix64(own)[:, None] * factors >> np.uint64(33)).min(axis=0).astype(np.int32)
             flat = pa.array(rows.reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * coordinates, coordinates), pa.int32()), flat)
+            low_bytes = np.zeros((n, width * 8), np.uint8)
+            low_bytes[:, :coordinates] = rows
+            ends = pa.array(np.arange(0, (n + 1) * width, width), pa.int32())
+            sketches = pa.ListArray.from_arrays(ends, pa.array(low_bytes.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [column_of(batch, "doc_id"), column_of(batch, "text_key"), pa.array(sizes), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), lists],
-                ["doc_id", "text_key", "n_shingles", "low", "high", "signature"],
+                [column_of(batch, "doc_id"), column_of(batch, "text_key"), pa.array(sizes), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), lists, sketches],
+                ["doc_id", "text_key", "n_shingles", "low", "high", "signature", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        work, "doc_id long, text_key long, n_shingles long, low long, high long, signature array<int>"
+        work, "doc_id long, text_key long, n_shingles long, low long, high long, signature array<int>, sketch array<long>"
     )
 
 
+def agreeing(a: Column, b: Column, coordinates: int = COORDINATES) -> Column:
+    """Coordinates in which two sketches have equal bytes."""
+    total = F.lit(0)
+    for i in range(-(-coordinates // 8)):
+        x = F.get(a, i).bitwiseXOR(F.get(b, i))
+        for shift in (4, 2, 1):  # the lowest bit of every byte tells whether any bit of it differs
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.lit(min(8, coordinates - 8 * i)) - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def candidate_edges(classes: DataFrame, percent: int, coordinates: int = COORDINATES) -> DataFrame:
-    """Edges (a, b) of posting lists: ``classes (rep, signature)``; b is the least rep of the list of a."""
+    """Edges (a, b) of reps between ``classes (rep, low, signature, sketch)``, told apart by ``low``, that agree in as many coordinates as a match needs.
+
+    Every such pair is an edge or joined by a path of edges. Only lists that stay hot when two are combined
+    give edges that were not counted.
+    """
     least = match_threshold(percent, coordinates)
-    posts = classes.select("rep", F.posexplode("signature").alias("coordinate", "value"))
-    lists = posts.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("head")).where("df > 1")
-    shared = posts.join(lists, ["coordinate", "value"])
+    posts = classes.select("low", F.posexplode("signature").alias("coordinate", "value"))
+    posts = posts.select("low", F.xxhash64("coordinate", "value").alias("key"))
+    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # A coordinate nobody shares is rarer than any other, so it takes a place of the prefix.
-    own = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "coordinate", "value", "head"))).alias("lists"))
-    kept = F.size("lists") - F.lit(least - 1)
-    return (
-        own.where(F.size("lists") >= least)
-        .select("rep", F.explode(F.slice("lists", F.lit(1), kept)).alias("l"))
-        .select(F.col("rep").alias("a"), F.col("l.head").alias("b"))
-        .where("a <> b").distinct()
+    own = posts.join(lists, "key").groupBy("low").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("lists"))
+    kept = F.size("lists") - F.lit(max(least - 2, 0))
+    prefixes = own.where(F.size("lists") >= least).select("low", F.slice("lists", F.lit(1), kept)["key"].alias("keys"))
+    posted = pin(prefixes.join(classes.select("low", "rep", "sketch"), "low")).select("rep", "sketch", F.explode("keys").alias("key"))
+    heads = posted.groupBy("key").agg(F.min(F.struct("rep", "sketch")).alias("head"))
+    stars = posted.join(heads, "key").where(F.col("rep") != F.col("head.rep"))
+    stars = stars.where(agreeing(F.col("sketch"), F.col("head.sketch"), coordinates) >= least)
+    stars = pin(stars.select(F.col("rep").alias("a"), F.col("head.rep").alias("b")).distinct())
+    parts = connected_components(stars).select(F.col("node").alias("rep"), F.col("component").alias("of"))
+    posted = posted.join(parts, "rep", "left").select("rep", "sketch", F.coalesce("of", "rep").alias("part"), "key")
+    pairs, hot = _across(pin(posted), least, coordinates)
+    edges = stars.union(pairs)
+    if hot is not None and least > 1:
+        keys = hot.groupBy("rep", "sketch", "part").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
+        pairs, hot = _across(pin(keys.select("rep", "sketch", "part", F.explode(twos).alias("key"))), least, coordinates)
+        edges = edges.union(pairs)
+    if hot is not None:
+        unseen = hot.join(hot.groupBy("key").agg(F.min("rep").alias("b")), "key").where("rep <> b")
+        edges = edges.union(unseen.select(F.col("rep").alias("a"), "b"))
+    return edges.distinct()
+
+
+def _across(posted: DataFrame, least: int, coordinates: int) -> tuple[DataFrame, DataFrame | None]:
+    """Counted pairs (a, b) between the parts of each list, and the posts of lists with too many members outside the
+    largest part, if there are any. ``posted (rep, sketch, part, key)`` is a written table."""
+    by_part = posted.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = by_part.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", "n").alias("major"))
+    mixed = pin(sizes.select("key", "major", (F.col("n") - F.col("most")).alias("outside")).where("outside > 0"))
+    members = posted.join(mixed.where(F.col("outside") <= CROSS), "key")
+    minor = members.where("part <> major").select("key", *(F.col(c).alias(f"my_{c}") for c in ("rep", "sketch", "part")))
+    pairs = (
+        minor.join(members, "key")
+        .where("my_part <> part and (part = major or my_rep < rep)")
+        .where(agreeing(F.col("my_sketch"), F.col("sketch"), coordinates) >= least)
+        .select(F.col("my_rep").alias("a"), F.col("rep").alias("b")).distinct()
     )
+    crowded = mixed.where(F.col("outside") > CROSS).select("key")
+    return pin(pairs), None if crowded.isEmpty() else posted.join(crowded, "key")
 
 
 def _links_within(sets: list[np.ndarray], percent: int, others: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
@@ -180,16 +236,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, coordina
     shingle; one without words (or null) has none and is linked with nothing, so it is its own component.
     component_id is the smallest doc_id reachable, ``kept`` says whether it is the document's own. Rows that
     share a doc_id are one node and stay separate rows. A null doc_id is linked with nothing, its component
-    is null and it is kept. An empty table gives an empty result.
+    is null and it is kept. An empty table gives an empty result. Only the table of the result stays behind.
     """
+    with temporary(docs.sparkSession):
+        return keep(_near_duplicates(docs, words, percent, coordinates))
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, coordinates: int) -> DataFrame:
     signed = pin(signatures(docs, words, coordinates))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = pin(
-        full.groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "text_key", "signature")).alias("m"))
-        .select("low", "high", "n_shingles", F.col("m.doc_id").alias("rep"), "m.text_key", "m.signature")
+        full.groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "text_key", "signature", "sketch")).alias("m"))
+        .select("low", "high", "n_shingles", F.col("m.doc_id").alias("rep"), "m.text_key", "m.signature", "m.sketch")
     )
     # A doc_id with several texts may stand for several classes; they are linked by it in any case.
-    edges = pin(candidate_edges(classes.select("rep", "signature"), percent, coordinates))
+    edges = pin(candidate_edges(classes.select("rep", "low", "signature", "sketch"), percent, coordinates))
     groups = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("group"))
     links = confirmed_links(docs, classes, pin(groups), words, percent)
     members = full.join(classes.select("low", "high", "n_shingles", "rep"), ["low", "high", "n_shingles"])

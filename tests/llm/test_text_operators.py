@@ -256,9 +256,10 @@ def plain_components(rows, n, percent):
     return texts, {d: find(d) for d in texts}
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_near_duplicates(spark, docs, rows, nothing, monkeypatch, block):
+@pytest.mark.parametrize("block, cross", [(256, 64), (3, 1)])
+def test_near_duplicates(spark, docs, rows, nothing, monkeypatch, block, cross):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CROSS", cross)
     rng = random.Random(8)
     base = sentence(rng, 120).split()
     family = []
@@ -279,6 +280,36 @@ def test_near_duplicates(spark, docs, rows, nothing, monkeypatch, block):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("cross", [64, 4])
+def test_candidates_of_stock_paragraphs_agree(spark, monkeypatch, cross):
+    monkeypatch.setattr(neardup, "CROSS", cross)
+    rng = random.Random(21)
+    stock = [sentence(rng, 60) for _ in range(60)]
+    texts = [" ".join(rng.sample(stock, 5)) for _ in range(300)]
+    for k in range(40):  # copies of one text that are close to each other, and of others
+        words = texts[0 if k < 30 else k].split()
+        words[rng.randrange(len(words))] = f"w{k}"
+        texts.append(" ".join(words))
+    signed = neardup.signatures(frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]), 3).withColumnRenamed("doc_id", "rep")
+    marks = np.array(signed.orderBy("rep").toPandas().signature.tolist())
+    found = {(r.a, r.b) for r in neardup.candidate_edges(signed, 85).collect()}
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    agree = (marks[:, None, :] == marks[None, :, :]).sum(axis=2)
+    least = neardup.match_threshold(85)
+    pairs = [(a, b) for a, b in zip(*np.nonzero(agree >= least)) if a < b]
+    assert len(pairs) > 400 and all(find(a) == find(b) for a, b in pairs)
+    low = ((marks & 255)[:, None, :] == (marks & 255)[None, :, :]).sum(axis=2)
+    assert all(low[a, b] >= least for a, b in found) or cross < 64
+
+
 def test_thresholds_leave_room():
     assert neardup.match_threshold(85) == 17 and neardup.match_threshold(80) == 14
 
