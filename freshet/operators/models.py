@@ -25,6 +25,7 @@ from freshet.functions.scores import clip
 from freshet.operators.convex import insensitive, minimise
 from freshet.operators.extratree import fit_extra_tree
 from freshet.operators.gramian import Moments, bayesian_ridge, moments, partial_least_squares, ridge, sparse_path
+from freshet.operators.neighbour_index import NeighbourIndex, build_index, indexed_predictions
 from freshet.operators.neighbours import MAX_ROWS, Reference, neighbour_column, reference_rows
 from freshet.operators.quantiles import exact_percentiles, percentile_array
 
@@ -85,6 +86,19 @@ class NeighbourModel:
         return df.withColumn(out, value)
 
 
+@dataclass(frozen=True)
+class IndexedNeighbourModel:
+    """Lazy learner over any number of labelled rows."""
+
+    index: NeighbourIndex | None
+    features: tuple[str, ...]
+    k: int
+    weights: str
+
+    def predict(self, df: DataFrame, out: str = PRED) -> DataFrame:
+        return indexed_predictions(self.index, df, self.features, self.k, self.weights, out)
+
+
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=_VEC, handleInvalid="error").transform(df)
 
@@ -175,8 +189,14 @@ def fit_gbt(df, features, label, params, seed):
 
 
 def fit_knn(df, features, label, params, seed):
-    """``row_id`` names the unique columns that order equal distances; by default all columns order them."""
+    """``row_id`` names the unique columns that order equal distances; by default all columns order them.
+
+    Up to ``max_rows`` labelled rows go to every task; more are indexed, all of them. Either way the neighbours are exact.
+    """
     ids = params.get("row_id")
+    if df.count() > params.get("max_rows", MAX_ROWS):
+        index = build_index(df, features, ids or df.columns, label, params["n_neighbors"], params.get("p", 2))
+        return IndexedNeighbourModel(index, tuple(features), params["n_neighbors"], params["weights"])
     known = reference_rows(df, features, ids or df.columns, label, params.get("max_rows", MAX_ROWS), unique=bool(ids))
     return NeighbourModel(known, tuple(features), params["n_neighbors"], params["weights"], params.get("p", 2))
 

@@ -1,15 +1,14 @@
-"""k-nearest-neighbour regression against a bounded set of labelled rows.
+"""k-nearest-neighbour regression over labelled rows of any number.
 
-Exact neighbours over two unbounded tables are quadratic work, so the labelled side of a fit is bounded
-by a documented parameter: up to ``max_rows`` rows, chosen by a hash of their id when there are more. That
-set is broadcast once (its size is checked by construction) and every query row is compared with all of
-it, block by block, in the task that holds the row: no shuffle, no ids on the query side, work linear in
-the queries. With at most ``max_rows`` labelled rows the neighbours are exact.
+Up to ``max_rows`` labelled rows are broadcast once (the size is checked by a count) and every query row is compared
+with all of them, block by block, in the task that holds the row: no shuffle, no ids on the query side. More are
+indexed, every row, and the index is searched exactly (``neighbour_index``). ``reference_rows`` and ``nearest`` alone
+bound the labelled side by a hash of the id, as their parameter says.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators.finder import finder
+from freshet.operators.neighbour_index import build_index, indexed_predictions
+
 MAX_ROWS = 100_000
 BLOCK_ROWS = 4096
 
@@ -53,44 +55,6 @@ def reference_rows(
     return Reference(ids, table[[f"_f{i}" for i in range(len(features))]].to_numpy(float), table["_y"].to_numpy(float))
 
 
-def _finder(k: int, p: int, block_rows: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Positions and distances of the k nearest rows; equal distances go to the lower position.
-
-    Nested, so that it travels by value to workers that lack this package.
-    """
-
-    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(a), len(b)))
-        for j in range(a.shape[1]):
-            gap = a[:, j, None] - b[None, :, j]
-            out += np.abs(gap) if p == 1 else gap * gap
-        return out if p == 1 else np.sqrt(out, out=out)
-
-    def find(queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        best = np.zeros((len(queries), 0), int), np.zeros((len(queries), 0))
-        for low in range(0, len(vectors), block_rows):
-            d = distances(queries, vectors[low : low + block_rows])
-            if best[0].shape[1] == k and k < d.shape[1]:
-                near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                level = np.take_along_axis(d, near, 1).max(axis=1)
-                worse = level > best[1][:, -1]
-                # Where the k-th here is tied, the partition may have left out a lower position.
-                tied = (d <= level[:, None]).sum(axis=1) > k
-                full = tied & ~worse if worse.any() else tied
-            else:
-                near, full = None, np.ones(len(d), bool)
-            if near is None or full.any():
-                whole = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = whole if near is None else np.where(full[:, None], whole, near)
-            both_at = np.concatenate([best[0], near + low], axis=1)
-            both_d = np.concatenate([best[1], np.take_along_axis(d, near, 1)], axis=1)
-            order = np.lexsort((both_at, both_d), axis=1)[:, :k]
-            best = np.take_along_axis(both_at, order, 1), np.take_along_axis(both_d, order, 1)
-        return best
-
-    return find
-
-
 def nearest(
     train: DataFrame, queries: DataFrame, features: Sequence[str], train_id: str, query_id: str,
     label: str, k: int = 10, p: int = 2, max_rows: int = MAX_ROWS, block_rows: int = BLOCK_ROWS,
@@ -100,7 +64,7 @@ def nearest(
     Equal distances are ordered by the training id.
     """
     known = queries.sparkSession.sparkContext.broadcast(reference_rows(train, features, train_id, label, max_rows))
-    find = _finder(k, p, block_rows)
+    find = finder(k, p, block_rows)
     names = (query_id, train_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +90,7 @@ def neighbour_column(
     """Prediction as a column of the features; an exact match outweighs everything else. No id is needed."""
     if weights not in ("distance", "uniform"):
         raise ValueError(f"unknown weights {weights!r}")
-    shared, find = spark.sparkContext.broadcast(known), _finder(k, p, block_rows)
+    shared, find = spark.sparkContext.broadcast(known), finder(k, p, block_rows)
 
     @F.pandas_udf("double")
     def predict(columns: pd.DataFrame) -> pd.Series:
@@ -150,7 +114,10 @@ def knn_predict(
     train: DataFrame, queries: DataFrame, features: Sequence[str], train_id: str, query_id: str,
     label: str, k: int = 10, weights: str = "distance", p: int = 2, max_rows: int = MAX_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``(query_id, y_pred)``."""
+    """``(query_id, y_pred)``, exact at every size: beyond ``max_rows`` labelled rows an index over all of them is searched."""
+    if train.count() > max_rows:
+        index = build_index(train, features, train_id, label, k, p)
+        return indexed_predictions(index, queries, features, k, weights, "y_pred").select(query_id, "y_pred")
     known = reference_rows(train, features, train_id, label, max_rows)
     value = neighbour_column(queries.sparkSession, known, features, k, weights, p, block_rows)
     return queries.select(query_id, value.alias("y_pred"))

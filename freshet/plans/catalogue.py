@@ -23,6 +23,7 @@ from freshet.functions.naming import band_name, band_time, file_time
 from freshet.operators import alerts, climatology as clim, features as feat, metrics, quality, scaling, splits, targets
 from freshet.operators.extratree import draw as extra_draw
 from freshet.operators.models import fit_model, score, solve
+from freshet.operators.neighbour_index import build_index, indexed_predictions
 from freshet.operators.neighbours import knn_predict
 from freshet.operators.patches import build_patches, number_patches
 from freshet.operators.sampling import hash_sample
@@ -1322,6 +1323,16 @@ query("pls_closed_form", _fit_sql("(a * ay + b * bb) * (ay * ay + bb * bb) / (ay
 )
 
 
+KNN_FEATURES = ["lag_0_tp", "lag_1_tp", "lag_0_t2m"]
+
+
+def _knn_rows(spark, sf):
+    e = src.event_series(spark, sf)
+    cfg = FeatureConfig(bands=BANDS, include_rolling=False, include_spatial_coords=False, include_temporal=False)
+    df, _ = targets.features_and_targets(e, 2, cfg, (1,), clim.climatology(e, "tp"), keys=src.EVENT_KEYS)
+    return pin(splits.fixed_split(df.dropna(subset=["target_q1"]), src.EVENT_SPLIT))
+
+
 @query(
     "knn",
     f"WITH {E}, {thr('e')}, w AS (SELECT {E_IDS}, tp AS a, lag(tp) OVER ({KE}) AS b, t2m AS c, lead(tp) OVER ({KE}) AS nx FROM e), "
@@ -1331,16 +1342,26 @@ query("pls_closed_form", _fit_sql("(a * ay + b * bb) * (ay * ay + bb * bb) / (ay
     f"SELECT qid AS event_id, {rnd('coalesce(avg(y) FILTER (WHERE dist = 0), sum(y / nullif(dist, 0)) / sum(1 / nullif(dist, 0)))', 'y_pred')} FROM n GROUP BY 1",
 )
 def knn(spark, sf):
-    e = src.event_series(spark, sf)
-    cfg = FeatureConfig(bands=BANDS, include_rolling=False, include_spatial_coords=False, include_temporal=False)
-    df, _ = targets.features_and_targets(e, 2, cfg, (1,), clim.climatology(e, "tp"), keys=src.EVENT_KEYS)
-    df = pin(splits.fixed_split(df.dropna(subset=["target_q1"]), src.EVENT_SPLIT))
-    out = knn_predict(
-        df.filter("split = 'train'"), df.filter("split = 'test'"), ["lag_0_tp", "lag_1_tp", "lag_0_t2m"], "event_id", "event_id", "target_q1"
-    )
+    df = _knn_rows(spark, sf)
+    out = knn_predict(df.filter("split = 'train'"), df.filter("split = 'test'"), KNN_FEATURES, "event_id", "event_id", "target_q1")
     return tidy(out)
 
 
+@query(
+    "knn_index",
+    f"WITH {E}, {thr('e')}, w AS (SELECT {E_IDS}, tp AS a, lag(tp) OVER ({KE}) AS b, t2m AS c, lead(tp) OVER ({KE}) AS nx FROM e), "
+    f"k AS (SELECT w.*, {sql_sigmoid('nx')} AS y, {EVENT_SPLIT_SQL} AS split FROM w LEFT JOIN thr USING (pixel_id) WHERE nx IS NOT NULL AND b IS NOT NULL), "
+    "d AS (SELECT q.event_id AS qid, t.event_id AS tid, t.y, abs(q.a - t.a) + abs(q.b - t.b) + abs(q.c - t.c) AS dist FROM k q, k t WHERE q.split = 'test' AND t.split = 'train'), "
+    "n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, tid) <= 5) "
+    f"SELECT qid AS event_id, {rnd('coalesce(avg(y) FILTER (WHERE dist = 0), sum(y / nullif(dist, 0)) / sum(1 / nullif(dist, 0)))', 'y_pred')} FROM n GROUP BY 1",
+)
+def knn_index(spark, sf):
+    df = _knn_rows(spark, sf)
+    index = build_index(df.filter("split = 'train'"), KNN_FEATURES, "event_id", "target_q1", 5, p=1)
+    out = indexed_predictions(index, df.filter("split = 'test'"), KNN_FEATURES, 5, "distance", "y_pred")
+    return tidy(out.select("event_id", "y_pred"))
+
+
 SEARCH_TRIALS = 30
 _DRAWS = random.Random(42)
 SEARCH_ALPHAS = [draw(SEARCH_SPACES["Ridge"], _DRAWS)["alpha"] for _ in range(SEARCH_TRIALS)]

@@ -28,7 +28,6 @@ from freshet.operators.features import FeatureMeta, FeatureSpec, select_for_look
 from freshet.operators.metrics import evaluate
 from freshet.operators.models import ModelEntry, SparkModel, fit_model, model_registry, score
 from freshet.operators.ordering import ordered_view
-from freshet.operators.neighbours import MAX_ROWS
 from freshet.operators.sampling import hash_sample
 from freshet.operators.scaling import fit_scaler
 from freshet.operators.search import SEARCH_SPACES, search
@@ -269,7 +268,7 @@ class ExperimentRunner:
             data = fitted.transform(df) if entry.needs_scaling else df
             train = data.filter("split = 'train'")
             if entry.name == "KNN":
-                row["labelled_rows"] = min(counts["train"], entry.params.get("max_rows", MAX_ROWS))
+                row["labelled_rows"] = counts["train"]
             params = {**self.overrides.get(entry.name, {}), **self._tuned(entry, train, features, target, row)}
             model = fit_model(entry, train, features, target, self.cfg.random_seed, **params)
             ids = [self.keys.time, self.keys.entity, *self.keys.tie]
