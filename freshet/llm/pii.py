@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +103,15 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     if text.count(":") >= 7:
         loose += [(IP, *m.span(), False) for m in _WIDE_IP.finditer(text)]
     if loose:
-        taken = sorted((s, e) for _, s, e, _ in base)
+        # A loose span overlaps some base span if one of those that start before its end ends after its start.
+        spans = sorted((s, e) for _, s, e, _ in base)
+        starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+        free = 0
         for kind, s, e, _ in sorted(loose, key=lambda c: (c[1], -c[2], c[0])):
-            if not any(a < e and s < b for a, b in taken):
+            before = bisect_left(starts, e)
+            if s >= free and not (before and ends[before - 1] > s):
                 base.append((kind, s, e, False))
-                taken.append((s, e))
+                free = e
     return base
 
 

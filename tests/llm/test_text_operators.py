@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -657,3 +658,20 @@ def test_expectation_maximisation_finds_the_reliable_labeler():
     patterns, n = np.unique(cast, axis=0, return_counts=True)
     reliability, prior, chance = pii.expectation_maximisation(np.zeros(len(patterns), int), patterns, n.astype(float))
     assert abs(reliability[0, 2, 1] - 0.95) < 0.05 and abs(prior[0] - 0.4) < 0.05
+
+
+def test_pii_candidates_of_a_text_with_very_many():
+    rng = np.random.default_rng(8)
+    pieces = ["4000 1234 5678 9011", "a.b(at)c.org", "x@y.org", "(030) 1234567", "+49 30 1234567", "0x", "10.1.2.3", "1:2:3:4:5:6:7:8", "4111 1111 1111 1111 ", " and "]
+    text = " ".join(rng.choice(pieces, 300).tolist())
+    found = pii.candidates(text)
+    base = [c for c in found if c[3]]
+    added = [c for c in found if not c[3]]
+    assert base and added
+    taken = [(s, e) for _, s, e, _ in base]
+    for _, s, e, _ in sorted(added, key=lambda c: c[1]):  # none overlaps a base span or another
+        assert not any(a < e and s < b for a, b in taken)
+        taken.append((s, e))
+    begun = time.process_time()
+    assert len(pii.candidates("4000 1234 5678 9011; " * 40_000)) >= 40_000
+    assert time.process_time() - begun < 20
