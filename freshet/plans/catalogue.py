@@ -270,6 +270,34 @@ def region_feature_table(spark, sf):
     return tidy(feat.build_features(d, 3, cfg, SampleMode.REGION, src.DAY_KEYS, "region_id")[0])
 
 
+_KR = "PARTITION BY region_id ORDER BY time"
+_REGION_SPECS = [*feat.lag_specs(REGION_COLS, 3), *feat.rolling_specs(REGION_COLS, (3,), ("mean", "std"))]
+_REGION_WHOLE = " AND ".join(f"{s.name} IS NOT NULL" for s in _REGION_SPECS)
+
+
+@query(
+    "region_base_table",
+    f"WITH {L}, {R}, thr AS (SELECT region_id, quantile_cont(tp_mean, 0.9) AS p90, quantile_cont(tp_mean, 0.95) AS p95, max(tp_mean) AS p100 FROM r GROUP BY 1), "
+    f"w AS (SELECT region_id, time, {', '.join(f'{e} AS {n}' for n, e in sql_features(_REGION_SPECS, _KR).items())}, "
+    f"lead(tp_mean) OVER ({_KR}) AS f1, lead(tp_mean, 3) OVER ({_KR}) AS f3 FROM r), "
+    f"t AS (SELECT region_id, time, {', '.join(s.name for s in _REGION_SPECS)}, {sql_sigmoid('f1')} AS target_q1, {sql_sigmoid('f3')} AS target_q3 "
+    f"FROM w LEFT JOIN thr USING (region_id) WHERE {_REGION_WHOLE}) "
+    f"SELECT region_id, time, {rnds('lag_0_tp_mean', 'lag_2_tp_max', 'target_q1', 'target_q3')} FROM t",
+)
+def region_base_table(spark, sf):
+    from freshet.plans.experiment import base_table, region_run
+
+    d = src.with_region(spark, sf, src.daily_series(spark, sf))
+    cfg = PipelineConfig(
+        p_values=(3,), q_values=(1, 3), sample_mode=SampleMode.REGION,
+        feature_config=FeatureConfig(bands=BANDS, rolling_windows=(3,), rolling_stats=("mean", "std")),
+    )
+    run = region_run(d, cfg, "region_id", src.DAY_KEYS)
+    series = pin(run.series)
+    base, _ = base_table(series, clim.climatology(series, run.band, "region_id"), run.cfg, run.keys, run.band)
+    return tidy(base.select("region_id", "time", "lag_0_tp_mean", "lag_2_tp_max", "target_q1", "target_q3"))
+
+
 @query(
     "feature_select_for_p",
     sql_table([E], "e", E_IDS, sql_features([*feat.lag_specs(BANDS, 3), *feat.rolling_specs(BANDS, (3,), ("mean", "std"))], KE)

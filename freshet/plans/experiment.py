@@ -11,7 +11,7 @@ import json
 import logging
 import time as clock
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial
 from itertools import product
 from typing import Any
@@ -24,7 +24,7 @@ from freshet.config import FeatureConfig, FuzzyConfig, PipelineConfig, SampleMod
 from freshet.operators import quality
 from freshet.operators.climatology import climatology, instant
 from freshet.operators.alerts import DEFAULT_THRESHOLD, calibrate, grouped_reports, report_documents
-from freshet.operators.features import FeatureMeta, FeatureSpec, select_for_lookback
+from freshet.operators.features import FeatureMeta, FeatureSpec, present_bands, region_aggregate, select_for_lookback
 from freshet.operators.metrics import evaluate
 from freshet.operators.models import ModelEntry, SparkModel, fit_model, model_registry, score
 from freshet.operators.ordering import ordered_view
@@ -44,6 +44,38 @@ RUN = ("experiment", "model", "fold")
 ALERT_COLUMNS = ("precision", "recall", "f1", "pr_auc", "fpr")
 
 
+@dataclass(frozen=True)
+class RegionRun:
+    """A run of region samples, restated as a run of one series per region."""
+
+    series: DataFrame
+    cfg: PipelineConfig
+    keys: SeriesKeys
+    band: str
+
+
+def region_run(
+    series: DataFrame, cfg: PipelineConfig, region_col: str, keys: SeriesKeys = SeriesKeys(), band: str = TARGET_BAND, stat: str = "mean",
+) -> RegionRun:
+    """Statistics of the bands per (region, time) are the bands of the new series; ``{band}_{stat}`` is forecast.
+
+    Rows without a region or time are left out. A region row has no pixel position, so that and the calendar are
+    no features. Thresholds are those of the regions: ``climatology(run.series, run.band, region_col)``.
+    """
+    if region_col not in series.columns:
+        raise ValueError(f"no region column {region_col!r} among {series.columns}")
+    features = cfg.feature_config
+    stats = tuple(dict.fromkeys([*features.region_stats, stat]))
+    bands = list(dict.fromkeys([band, *present_bands(series, features)]))
+    own = replace(
+        features, bands=tuple(f"{b}_{s}" for b in bands for s in stats), include_spatial_coords=False, include_temporal=False
+    )
+    return RegionRun(
+        region_aggregate(series, bands, region_col, keys.time, stats), replace(cfg, sample_mode=SampleMode.PIXEL, feature_config=own),
+        SeriesKeys(entity=region_col, time=keys.time), f"{band}_{stat}",
+    )
+
+
 def base_table(
     series: DataFrame, thresholds: DataFrame, cfg: PipelineConfig, keys: SeriesKeys = SeriesKeys(),
     band: str = TARGET_BAND, output_dir: str | None = None, verify: Callable[[DataFrame, FeatureMeta], None] | None = None,
@@ -54,7 +86,7 @@ def base_table(
     ``verify`` sees the whole table, before any sampling.
     """
     if cfg.sample_mode != SampleMode.PIXEL:
-        raise ValueError(f"the grid builds pixel features; build {cfg.sample_mode.value} tables with their own operators")
+        raise ValueError(f"rows of a {cfg.sample_mode.value} run: restate it by region_run, or build patches with their own operators")
     df, meta = features_and_targets(
         series, max(cfg.p_values), cfg.feature_config, cfg.q_values, thresholds, cfg.fuzzy_config, band, keys
     )
@@ -137,19 +169,32 @@ class ExperimentRunner:
     save: bool = False
     parallel: int = 3
     overrides: dict[str, dict[str, Any]] = field(default_factory=dict)
+    band: str = TARGET_BAND
+    region_col: str | None = None
+    region_stat: str = "mean"
     _scratch: str | None = field(default=None, repr=False)
 
-    def run(self, series: DataFrame, thresholds: DataFrame) -> DataFrame:
-        """Summary with one row per (P, Q, model)."""
+    def run(self, series: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+        """Summary with one row per (P, Q, model). In region mode ``region_col`` names the series that are forecast.
+
+        Thresholds are one row per series, or per region in region mode; by default the climatology of what is forecast.
+        """
         spark = series.sparkSession
         with temporary(spark):
-            return self._run(series, thresholds)
+            if self.cfg.sample_mode != SampleMode.REGION:
+                known = climatology(series, self.band, self.keys.entity) if thresholds is None else thresholds
+                return self._run(series, known)
+            if self.region_col is None:
+                raise ValueError("region mode needs region_col")
+            of = region_run(series, self.cfg, self.region_col, self.keys, self.band, self.region_stat)
+            regions = pin(of.series)
+            return replace(self, cfg=of.cfg, keys=of.keys, band=of.band).run(regions, thresholds)
 
     def _run(self, series: DataFrame, thresholds: DataFrame) -> DataFrame:
         spark = series.sparkSession
         out_dir = self.cfg.output_dir if self.save else None
         verify = None if self.skip_checks else self.check_lags
-        base, meta = base_table(series, thresholds, self.cfg, self.keys, output_dir=out_dir, verify=verify)
+        base, meta = base_table(series, thresholds, self.cfg, self.keys, self.band, out_dir, verify)
         if not self.save:
             base = pin(base)
         results: list[RunResult] = []
@@ -177,9 +222,9 @@ class ExperimentRunner:
         tiles = spark.read.parquet(self.cfg.cube_dir) if tiles is None else tiles
         bands = list(dict.fromkeys([TARGET_BAND, *self.cfg.feature_config.bands]))
         series = pin(pixel_series(tiles, bands, self.cfg.spatial_stride, self.cfg.max_files))
-        if thresholds is None and self.save:
+        if thresholds is None and self.save and self.cfg.sample_mode == SampleMode.PIXEL:
             thresholds = ensure_thresholds(series, self.cfg.thresholds_dir, TARGET_BAND, self.keys.entity)
-        summary = self.run(series, climatology(series, TARGET_BAND, self.keys.entity) if thresholds is None else thresholds)
+        summary = self.run(series, thresholds)
         unpin(series)
         return summary
 

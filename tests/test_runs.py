@@ -6,12 +6,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.config import FeatureConfig, PipelineConfig, SplitConfig, SplitStrategy, TuningConfig
+from freshet.config import FeatureConfig, PipelineConfig, SampleMode, SplitConfig, SplitStrategy, TuningConfig
 from freshet.operators import climatology as clim
 from freshet.operators.models import ModelEntry, get_model
 from freshet.operators.quality import CheckFailed
 from freshet.operators.sampling import exact_sample, hash_sample, sample_entities
-from freshet.plans.experiment import ExperimentRunner, base_table, grid_coverage
+from freshet.plans.experiment import ExperimentRunner, base_table, grid_coverage, region_run
 from freshet.plans.legacy import feature_target_table, grid_search
 from freshet.runtime import pin, shared_folder
 from freshet.sources import sinks
@@ -171,3 +171,33 @@ def test_legacy(spark, pixels, tmp_path):
     assert [r.experiment for r in out] == ["exp_P2_Q1", "exp_P2_Q3"] and all(0 <= r.brier_score <= 1 and r.best_iter >= 1 for r in out)
     assert (tmp_path / "exp_P2_Q1" / "test_set.parquet").exists()
     assert grid_search(base, (2,), (1,), SplitConfig(train_end="2030-01-01", val_end="2031-01-01")).count() == 0
+
+
+def test_region_samples_run_the_grid(spark, pixels, tmp_path):
+    more = pixels.union(pixels.select(*[(F.col(c) + 100).alias(c) if c == "pixel_id" else (F.col(c) * 2).alias(c) if c == "tp" else F.col(c) for c in pixels.columns]))
+    zones = more.withColumn("zone", F.when(F.col("pixel_id") < 100, "low").when(F.col("pixel_id") < 102, "high"))
+    cfg = PipelineConfig(p_values=(2, 3), q_values=(1,), feature_config=FEATURES, split_config=SPLIT, sample_mode=SampleMode.REGION, output_dir=str(tmp_path))
+    with pytest.raises(ValueError, match="region"):
+        base_table(zones, clim.climatology(zones, "tp"), cfg)
+    with pytest.raises(ValueError, match="region_col"):
+        ExperimentRunner(cfg).run(zones)
+    with pytest.raises(ValueError, match="nowhere"):
+        region_run(zones, cfg, "nowhere")
+    of = region_run(zones, cfg, "zone")
+    base, meta = base_table(of.series, clim.climatology(of.series, of.band, "zone"), of.cfg, of.keys, of.band)
+    plain = zones.dropna(subset=["zone"]).groupBy("zone", "time").agg(F.avg("tp").alias("m"), F.max("tp").alias("x")).toPandas().sort_values(["zone", "time"])
+    for lag in (0, 2):
+        for c in "mx":
+            plain[f"{c}{lag}"] = plain.groupby("zone")[c].shift(lag)
+    plain["ahead"] = plain.groupby("zone")["m"].shift(-1)
+    got = base.toPandas().merge(plain, on=["zone", "time"])
+    assert len(got) == base.count() and "lag_2_tp_max" in meta.names and meta.bands == of.cfg.feature_config.bands
+    assert (got.lag_0_tp_mean - got.m0).abs().max() < 1e-9 and (got.lag_2_tp_max - got.x2).abs().max() < 1e-9
+    level = plain.groupby("zone")["m"].quantile(0.9).to_dict()
+    below = got[got.ahead <= got.zone.map(level)]
+    assert len(below) > 60 and (below.target_q1 == 0).all() and got[got.ahead.isna()].target_q1.isna().all()
+    rows = ExperimentRunner(cfg, models=[get_model("DummyMean"), get_model("Ridge")], region_col="zone", save=True).run(zones).collect()
+    assert {(r.P, r.model) for r in rows} == {(p, m) for p in (2, 3) for m in ("DummyMean", "Ridge")}
+    assert all(r.train_rows and r.val_rmse is not None for r in rows), rows
+    saved = ExperimentRunner(cfg, save=True).predictions(spark)
+    assert {r.zone for r in saved.select("zone").distinct().collect()} == {"low", "high"}
