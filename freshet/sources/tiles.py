@@ -53,12 +53,22 @@ def list_directory(spark: SparkSession, folder: str, max_files: int | None = Non
 
 
 def file_metadata(tiles: DataFrame) -> DataFrame:
-    """One row per file: grid description and number of bands."""
+    """One row per file: grid description and number of bands.
+
+    Where the bands of a file disagree, the least value stands for them, whatever the order of rows; see ``mixed_files``.
+    """
     return tiles.groupBy("path").agg(
-        *[F.first(c).alias(c) for c in META_COLUMNS], F.count(F.lit(1)).alias("count")
+        *[F.min(c).alias(c) for c in META_COLUMNS], F.count(F.lit(1)).alias("count")
     )
 
 
+def mixed_files(tiles: DataFrame) -> DataFrame:
+    """``(path, issue)`` for every grid column in which the bands of one file differ."""
+    mixed = [(c, ~F.min(c).eqNullSafe(F.max(c)) | ~F.count(c).isin(0, F.count(F.lit(1)))) for c in META_COLUMNS]
+    found = tiles.groupBy("path").agg(F.array_compact(F.array(*[F.when(m, F.lit(f"{c} between bands")) for c, m in mixed])).alias("issues"))
+    return found.select("path", F.explode("issues").alias("issue"))
+
+
 def _literal(value) -> Column:
     return F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
 
@@ -84,7 +94,7 @@ def alignment_issues(meta: DataFrame, columns: Sequence[str] = META_COLUMNS, ref
 
 def validate_alignment(tiles: DataFrame) -> None:
     """Raise with every kind of mismatch, its number of files and one of them; a clean table passes silently."""
-    bad = alignment_issues(file_metadata(tiles))
+    bad = alignment_issues(file_metadata(tiles)).union(mixed_files(tiles))
     rows = bad.groupBy("issue").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("example")).collect()
     if rows:
         raise AlignmentError("; ".join(f"{r['issue']} differs in {r['n']} files, e.g. {r['example']}" for r in rows))

@@ -103,6 +103,20 @@ def test_nan_nodata_agrees_with_itself(spark):
     tiles.validate_alignment(df)
 
 
+def test_bands_of_one_file_that_disagree(spark):
+    ones = np.ones((1, 2))
+    rows = [tile("a_20220101.tif", 0, "", ones, crs="EPSG:2"), tile("a_20220101.tif", 1, "", ones, crs="EPSG:1"),
+            tile("b_20220102.tif", 0, "", ones, nodata=None), tile("b_20220102.tif", 1, "", ones), tile("c_20220103.tif", 0, "", ones, nodata=None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, TILE_SCHEMA)
+        assert [r.crs for r in tiles.file_metadata(df).orderBy("path").collect()] == ["EPSG:1", "EPSG:4326", "EPSG:4326"]
+        got = {(r.path, r.issue) for r in tiles.mixed_files(df).collect()}
+        assert got == {("a_20220101.tif", "crs between bands"), ("b_20220102.tif", "nodata between bands")}
+        with pytest.raises(tiles.AlignmentError, match="crs between bands differs in 1 files"):
+            tiles.validate_alignment(df)
+    assert tiles.mixed_files(df.limit(0)).count() == 0
+
+
 def test_threshold_grids(files):
     layer = files.filter("band_idx = 0 and path like '%0102%'")
     got = rows_of(tiles.percentile_grids({"p90": layer, "p95": layer, "p100": layer}, 2), "pixel_id")
