@@ -191,3 +191,18 @@ def test_failing_trials_rank_last(table):
     out = search("DecisionTree", df, COLS, "y", "rmse", n_trials=4, n_folds=2, space=space, seed=2)
     scores = {r.params: r.score for r in out.trials.collect()}
     assert out.best_params == {"max_depth": 3} and scores['{"max_depth": -1}'] == float("inf")
+
+
+@pytest.mark.parametrize("name, more", [("GradientBoosting", {"n_estimators": 2, "max_depth": 2, "validation_col": "held"}), ("DecisionTree", {"max_depth": 2})])
+def test_trees_keep_bounded_partitions(spark, monkeypatch, name, more):
+    """Every level of a tree reads whole partitions of its rows, however few files the table lies in."""
+    from freshet.operators import models
+
+    monkeypatch.setattr(models, "TREE_CELLS", 44 * 22, raising=False)  # 44 rows of two features
+    of = {"GradientBoosting": models.GBTRegressor, "DecisionTree": models.DecisionTreeRegressor}[name]
+    seen, fit = [], of.fit
+    monkeypatch.setattr(of, "fit", lambda self, df: seen.append([len(p) for p in df.rdd.glom().collect()]) or fit(self, df))
+    df = spark.range(1000, numPartitions=1).selectExpr("id % 7 as a", "cast(0 as long) as b", "(id % 7) / 7.0 as y", "id % 5 = 0 as held", "id")
+    model = fit_model(name, df, ["a", "b"], "y", **more)
+    assert sum(seen[0]) == 1000 and max(seen[0]) <= 44 + 1
+    assert model.predict(df).where("y_pred is null").count() == 0
