@@ -6,10 +6,14 @@ shorter one is the new turn's span. If the shorter output is not the beginning o
 template rewrote its history, which is reported. Inside a span, two probe texts in place of the turn's own
 show where its text begins and ends.
 
-A turn is rendered behind at most ``CONTEXT_TURNS`` earlier ones. Conversations up to that length are
-compared prefix by prefix in full. In longer ones, each turn is rendered behind the full context and behind
-half of it; a template whose added text differs between the two looks further back and is reported too.
-So work and memory per turn are bounded, however long a conversation is.
+A turn is rendered behind its whole past, prefix by prefix, so a template may look back as far as it likes.
+That takes a conversation in one task (the template itself asks for all its turns) and work that grows with the
+square of its length. A template can say that it needs less: its ``reach`` is the number of earlier turns that
+what a turn adds may depend on (0 where turns are simply joined, as here). Then a turn is rendered behind that
+many, ``CONTEXT_TURNS`` at least, which adds the same text; work and memory per turn are bounded, and the
+slices of a long conversation can be worked on apart. Either way turns behind ``CONTEXT_TURNS`` others are
+also rendered behind few, and a template whose added text differs there is reported: with a ``reach`` as one
+that breaks it, without one the turn is placed all the same.
 
 Order of turns and nulls: see ``conversations``. A null conv_id is a conversation of its own. An empty
 table gives no rows. Very long texts are held one context at a time. Further columns are not read.
@@ -21,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -41,6 +46,8 @@ _MARKED = re.compile(r"\\(.)", re.S)
 class MarkedTemplate:
     """Turns between control strings; what looks like one inside a role or text gets a backslash, reversibly."""
 
+    #: ``render`` joins what each turn gives alone.
+    reach: ClassVar[int] = 0
     start: str = "<|im_start|>"
     end: str = "<|im_end|>"
 
@@ -66,7 +73,7 @@ class Located:
     """One turn's added text: ``piece``, its own text at [begin, end), and how the template behaved.
 
     ``status``: ``added``; ``rewritten``: an earlier output changed; ``distant``: the addition depends on
-    turns beyond half the context; ``opaque``: the text cannot be told from its surroundings.
+    turns further back than ``near``; ``opaque``: the text cannot be told from its surroundings.
     """
 
     piece: str
@@ -85,10 +92,12 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
-def locate(render, history: list[tuple[str, str]], before: str, turn: tuple[str, str], cut: bool) -> tuple[Located, str]:
+def locate(
+    render, history: list[tuple[str, str]], before: str, turn: tuple[str, str], far: bool, near: int = CONTEXT_TURNS // 2
+) -> tuple[Located, str]:
     """Where a turn lies behind ``history``, whose output is ``before``; also the output with the turn.
 
-    ``cut`` says that history is not the whole past.
+    ``far`` asks whether the last ``near`` turns alone would have given the same.
     """
     after = render([*history, turn])
     same = len(before) if after.startswith(before) else common_prefix(before, after)
@@ -100,10 +109,9 @@ def locate(render, history: list[tuple[str, str]], before: str, turn: tuple[str,
     fits = fits and (tail == 0 or one[-tail:] == piece[-tail:])
     if status == "added" and not fits:
         status = "opaque"
-    if status == "added" and cut:
-        near = history[-(CONTEXT_TURNS // 2) :]
-        short = render(near)
-        if render([*near, turn]) != short + piece:
+    if status == "added" and far:
+        last = history[-near:]
+        if render([*last, turn]) != render(last) + piece:
             status = "distant"
     begin, end = (head, len(piece) - tail) if fits else (len(piece), len(piece))
     return Located(piece, begin, end, status), after
@@ -145,23 +153,39 @@ def _filled(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.Recor
 class _Chats:
     """Conversations dealt to tasks in order, and the slices of those too large for one."""
 
-    def __init__(self, conversations: DataFrame):
+    def __init__(self, conversations: DataFrame, template):
+        #: Turns that what a turn adds may depend on; None: any number.
+        self.reach = getattr(template, "reach", None)
         prepare(conversations.sparkSession)
         rows = conversations.select(
             F.col("conv_id").isNull().alias("_no_id"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("_conv"),
             order_number().alias("_turn"), turn_key().alias("_key"),
             F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         )
-        view = ordered_view(rows, ["_no_id", "_conv"], ["_turn", "_key"], before=CONTEXT_TURNS, least_slices=SLICES)
-        #: Bounded: at most so many groups are above the share.
-        self.cut = {(r[0], r[1]) for r in view.plan.rows if r[-2]}
-        df = view.df if view.plan.needed else view.df.select("*", F.lit(0).alias(SLICE), F.lit(False).alias("_copy"))
+        #: Conversations in slices; bounded: at most so many groups are above the share.
+        self.cut, df = set(), rows
+        if self.reach is not None:
+            view = ordered_view(rows, ["_no_id", "_conv"], ["_turn", "_key"], before=self.context, least_slices=SLICES)
+            self.cut, df = {(r[0], r[1]) for r in view.plan.rows if r[-2]}, view.df
+        if SLICE not in df.columns:
+            df = df.select("*", F.lit(0).alias(SLICE), F.lit(False).alias("_copy"))
         keys = ["_no_id", "_conv", SLICE]
         self.turns = df.repartition(*keys).sortWithinPartitions(*keys, F.desc("_copy"), "_turn", "_key")
 
+    @property
+    def context(self) -> int | None:
+        """Turns that a turn is rendered behind; None: all."""
+        return None if self.reach is None else max(self.reach, CONTEXT_TURNS)
+
+    @property
+    def placed(self) -> tuple[str, ...]:
+        """Statuses of turns whose place is sure."""
+        return ("added", "distant") if self.reach is None else ("added",)
+
 
 def _spans(chats: _Chats, template) -> DataFrame:
     """One row per turn, in the order of its task; ``start`` counts from the beginning of the slice."""
+    context, placed, near = chats.context, chats.placed, max(chats.reach or 0, CONTEXT_TURNS // 2)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         group, history, before, whole, start, number = None, [], "", True, 0, 0
@@ -175,16 +199,16 @@ def _spans(chats: _Chats, template) -> DataFrame:
                 if not copy:
                     if history and before is None:
                         before = template.render(history)
-                    found, after = locate(template.render, history, before, turn, not whole or len(history) == CONTEXT_TURNS)
+                    found, after = locate(template.render, history, before, turn, not whole or len(history) >= CONTEXT_TURNS, near)
                     head, body, tail = found.piece[: found.begin], found.piece[found.begin : found.end], found.piece[found.end :]
                     yield (
                         no_id, conv, part, number, role, start, start + found.begin, start + found.end,
-                        role == "assistant" and found.status == "added", found.status, head, body, tail,
+                        role == "assistant" and found.status in placed, found.status, head, body, tail,
                     )
                     start, number = start + len(found.piece), number + 1
                 history.append(turn)
-                if copy or len(history) > CONTEXT_TURNS:
-                    history, before = history[-CONTEXT_TURNS:], None
+                if copy or context is not None and len(history) > context:
+                    history, before = history[-context:], None
                 else:
                     before = after
 
@@ -200,9 +224,10 @@ def render_conversations(conversations: DataFrame, template=MarkedTemplate()) ->
     status.
 
     Joining ``formatted`` by ``number`` gives the conversation's text, unless some turn has the status
-    ``rewritten``: then outputs do not grow by appending and spans of that conversation don't hold.
+    ``rewritten``: then outputs do not grow by appending and spans of that conversation don't hold. ``template``: anything with
+    ``render``; without a ``reach`` every turn is rendered behind all earlier ones.
     """
-    chats = _Chats(conversations)
+    chats = _Chats(conversations, template)
     spans = _spans(chats, template)
     if chats.cut:
         spans = pin(spans)
@@ -223,12 +248,12 @@ def render_conversations(conversations: DataFrame, template=MarkedTemplate()) ->
 def format_digests(conversations: DataFrame, template=MarkedTemplate()) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_unplaced, read back from the formatted text.
 
-    Roles and texts are taken from the located spans and unescaped. ``n_unplaced`` counts turns that are not
-    simply added. A conversation lies in one task and needs no second shuffle, unless it holds a large share of
+    Roles and texts are taken from the located spans and unescaped. ``n_unplaced`` counts turns whose
+    place is not sure. A conversation lies in one task and needs no second shuffle, unless it holds a large share of
     all turns: then its slices hand on their bytes in pieces of a megabyte, hashed one after another.
     """
-    chats = _Chats(conversations)
-    cut = chats.cut
+    chats = _Chats(conversations, template)
+    cut, placed = chats.cut, chats.placed
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         group, state = None, None
@@ -255,7 +280,7 @@ def format_digests(conversations: DataFrame, template=MarkedTemplate()) -> DataF
                 state[0] += 1
                 state[1] += len(text) if loss else 0
                 state[2] += len(head) + len(body) + len(tail)
-                state[3] += status != "added"
+                state[3] += status not in placed
                 if now[:2] in cut:
                     state[6].append(said)
                     state[7].append(learnt)

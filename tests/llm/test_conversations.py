@@ -152,6 +152,27 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert statuses(Silent())[0] == ["opaque"] * 3
 
 
+def test_templates_may_look_back_to_the_first_turn(spark):
+    class Late:
+        """Another mark from the twentieth turn on, and the first text in front of every fifth."""
+
+        def render(self, turns):
+            return "".join(f"{'>' if i >= 20 else '-'}{turns[0][1] if i % 5 == 0 else ''} {r}: {t}\n" for i, (r, t) in enumerate(turns))
+
+    class Near(chat.MarkedTemplate):
+        """Says that it needs no earlier turn, and does."""
+
+        def render(self, turns):
+            return "".join(f"{turns[max(0, i - 12)][1]} {r}: {t}\n" for i, (r, t) in enumerate(turns))
+
+    said = [("user", "assistant")[t % 2] for t in range(40)]
+    rows = table(spark, [(3, t, r, f"t{t}") for t, r in enumerate(said)])
+    got = chat.render_conversations(rows, Late()).orderBy("number").collect()
+    assert "".join(r["formatted"] for r in got) == Late().render([(r, f"t{t}") for t, r in enumerate(said)])
+    assert {r["status"] for r in got} <= {"added", "distant"} and [r["loss"] for r in got] == [r == "assistant" for r in said]
+    assert not [r for r in chat.render_conversations(rows, Near()).collect() if r["status"] == "distant" and r["loss"]]
+
+
 def test_no_conversations(spark):
     empty = table(spark, [])
     assert chat.format_digests(empty).count() == chat.render_conversations(empty).count() == 0
