@@ -427,6 +427,21 @@ def test_kneser_ney_equals_the_recursion(spark):
         assert np.isclose(2.0 ** -float(cost[code]), p(g, 0), rtol=1e-4)
 
 
+def test_characters_of_one_class_count_apart(spark):
+    rng = random.Random(5)
+    words = ["слово", "дело", "είναι", "日本語", "學生"]
+    good = [(" ".join(rng.choice(words) for _ in range(40)),) for _ in range(60)]
+    model = quality.fit(spark.createDataFrame(good, "text string"))
+    share = np.bincount(quality._symbol_table(), np.exp2(-model.own().astype(float)), quality.SYMBOLS)
+    assert np.allclose(share[1:], 1, atol=1e-4)
+    # The same letters per word, but others.
+    other = good[0][0].translate({ord(c): 0x4E00 + rng.randrange(20_000) for c in "".join(words)})
+    texts = spark.createDataFrame([(0, good[0][0]), (1, other)], "doc_id long, text string")
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(texts, model).collect()}
+    assert got[1] > 100 * got[0]
+    assert quality.symbols(["ア\u3000、😀"])[0].tolist() == [63, 29, 64, 64]
+
+
 # --- 7 language ------------------------------------------------------------------------------
 
 
