@@ -95,3 +95,23 @@ def test_model_over_more_rows_than_a_task_gets(spark):
     large = fit_model("KNN", df, COLS, "y", n_neighbors=4, row_id=["id"], max_rows=50)
     a, b = (m.predict(df.drop("y")).orderBy("id").toPandas() for m in (small, large))
     assert np.allclose(a.y_pred, b.y_pred, atol=1e-12)
+
+
+def test_later_visits_hand_on_no_row_beyond_the_distance_reached(spark, monkeypatch):
+    """What is sorted grows with the neighbours, not with the blocks that a query meets; many tasks share it."""
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(0, 1, (900, 3)), rng.normal(0, 1, (50, 3))
+    index = ni.build_index(rows(spark, x), COLS, "id", "y", 5, lists=6, block_rows=30)
+    seen, visit = [], ni._visit
+    monkeypatch.setattr(ni, "_visit", lambda *a: seen.append(visit(*a)) or seen[-1])
+    monkeypatch.setattr(ni, "TASK_CANDIDATES", 10, raising=False)
+    got = ni.search(index, rows(spark, q).select(ni.vector(COLS).alias("v")))
+    assert got.rdd.getNumPartitions() > 25
+    nearest = {tuple(map(float, v)): r[-1][1] for v, r in zip(q, brute(x, q, 5, 2))}
+    first = {}
+    for r in seen[0].collect():
+        first.setdefault(tuple(r.v), []).append(r.dist)
+    reached = {v: sorted(d)[4] if len(d) > 4 else np.inf for v, d in first.items()}
+    later = seen[1].collect()
+    assert later and all(r.dist <= reached[tuple(r.v)] + 1e-6 for r in later)
+    assert found(index, spark, q) == brute(x, q, 5, 2) and len(nearest) == 50
