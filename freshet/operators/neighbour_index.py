@@ -11,8 +11,9 @@ Fit, with every row indexed:
 Search, over distinct query vectors: a query first visits one ring of its nearest list. The k-th distance found there,
 or a bound from the triangle inequality, limits which rings of which lists can hold a nearer row; it visits all of
 those. Visits of a ring are packed into chunks and joined with its blocks, so a task sees one chunk and one block at a
-time, however many queries or rows meet there. Nothing is dropped: with few dimensions few rings are visited, with many
-the search is slower but still exact. What is broadcast or gathered is one row per list.
+time, however many queries or rows meet there. Chunks are dealt to as many tasks as the visits need, those of a ring in
+many hands, each with its own copy of the ring's blocks. Nothing is dropped: with few dimensions few rings are visited,
+with many the search is slower but still exact. What is broadcast or gathered is one row per list or ring.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.operators.finder import distance, finder
@@ -32,6 +33,10 @@ MAX_LISTS = 4096
 BLOCK_ROWS = 2048
 #: Query vectors that are compared with a block at once.
 CHUNK = 256
+#: Chunks of a ring that stay together, with one copy of its blocks.
+HAND = 32
+#: Visits and indexed rows that one task brings together.
+TASK_VISITS = 250_000
 #: Candidates that one task sorts.
 TASK_CANDIDATES = 1_000_000
 #: Relative slack of bounds, far above rounding errors of distances.
@@ -72,10 +77,14 @@ def _vectors(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).reshape(-1)))
 
 
-def _salted(df: DataFrame, cell: Sequence[str], by: Column, size: int) -> DataFrame:
-    """A number per row that cuts each cell into parts of about ``size`` rows, by a hash."""
-    counts = df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
-    return df.join(counts, list(cell)).withColumn("part", F.pmod(F.xxhash64(by), "parts")).drop("parts")
+def _parts(df: DataFrame, size: int) -> DataFrame:
+    """Into how many parts of about ``size`` rows each ring is cut. A ring stands for about a block of indexed rows."""
+    return df.groupBy("list", "ring").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+
+
+def _salted(df: DataFrame, parts: DataFrame, by: Column) -> DataFrame:
+    """A part per row, by a hash. Rows are not shuffled for it, so a large ring is never in one task."""
+    return df.join(F.broadcast(parts), ["list", "ring"]).withColumn("part", F.pmod(F.xxhash64(by), "parts")).drop("parts")
 
 
 def build_index(
@@ -124,7 +133,8 @@ def build_index(
     span = F.col("high") - F.col("low")
     ring = F.when(span > 0, F.least(F.floor((F.col("r") - F.col("low")) / span * F.col("rings")), F.col("rings") - 1)).otherwise(0)
     placed = posted.join(F.broadcast(sizes), "list").select(dense.cast("int").alias("list"), ring.cast("int").alias("ring"), "id", "v", "y")
-    cut = _salted(pin(placed), ("list", "ring"), F.struct("id", "v", "y"), block_rows)
+    placed = pin(placed)
+    cut = _salted(placed, _parts(placed, block_rows), F.struct("id", "v", "y"))
     packed = cut.groupBy("list", "ring", "part").agg(F.sort_array(F.collect_list(F.struct("id", "y", "v"))).alias("m"))
     blocks = packed.select(
         "list", "ring", F.col("m.id").alias("ids"), F.col("m.y").alias("labels"), F.flatten("m.v").alias("vectors")
@@ -132,10 +142,20 @@ def build_index(
     return NeighbourIndex(pin(blocks), of, k, p)
 
 
-def _visit(index: NeighbourIndex, visits: DataFrame) -> DataFrame:
-    """Candidates (v, id, dist, label): the nearest rows, not beyond ``most``, of each block that a ``(v, list, ring, most)`` meets."""
-    chunks = _salted(visits, ("list", "ring"), F.col("v"), CHUNK).groupBy("list", "ring", "part").agg(F.collect_list(F.struct("v", "most")).alias("vs"))
-    met = chunks.select("list", "ring", F.flatten("vs.v").alias("queries"), F.col("vs.most").alias("most")).join(index.blocks, ["list", "ring"])
+def _tasks(spark: SparkSession, rows: int, each: int) -> int:
+    return max(-(-rows // each), spark.sparkContext.defaultParallelism)
+
+
+def _visit(index: NeighbourIndex, visits: DataFrame, n: int) -> DataFrame:
+    """Candidates (v, id, dist, label): the nearest rows, not beyond ``most``, of each block that one of ``n`` ``(v, list, ring, most)`` meets."""
+    parts, place = _parts(visits, CHUNK), ["list", "ring", "hand"]
+    tasks = _tasks(visits.sparkSession, n + int(index.lists.rows.sum()), TASK_VISITS)
+    # Both sides are dealt by hand: a ring that many queries visit, or many rows share, is in many tasks.
+    dealt = _salted(visits, parts, F.col("v")).withColumn("hand", F.floor(F.col("part") / HAND)).repartition(tasks, *place)
+    chunks = dealt.groupBy(*place, "part").agg(F.collect_list(F.struct("v", "most")).alias("vs"))
+    hands = F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / HAND))
+    blocks = index.blocks.join(F.broadcast(parts), ["list", "ring"]).withColumn("hand", F.explode(hands)).drop("parts").repartition(tasks, *place)
+    met = chunks.select(*place, F.flatten("vs.v").alias("queries"), F.col("vs.most").alias("most")).join(blocks, place)
     find, width = finder(index.k, index.p, BLOCK_ROWS), index.lists.centres.shape[1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +178,7 @@ def _visit(index: NeighbourIndex, visits: DataFrame) -> DataFrame:
 
 def _first(found: DataFrame, k: int, rows: int) -> DataFrame:
     """The k nearest of each ``v`` among about ``rows`` candidates, dealt to as many tasks as they need before they are sorted."""
-    tasks = max(-(-rows // TASK_CANDIDATES), found.sparkSession.sparkContext.defaultParallelism)
-    found = found.withColumn("h", F.xxhash64("v")).repartition(tasks, "h")
+    found = found.withColumn("h", F.xxhash64("v")).repartition(_tasks(found.sparkSession, rows, TASK_CANDIDATES), "h")
     nearest = Window.partitionBy("h", "v").orderBy("dist", "id", "label")
     return found.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k).drop("nth", "h")
 
@@ -212,14 +231,15 @@ def search(index: NeighbourIndex, vectors: DataFrame, k: int | None = None) -> D
     asked = pin(vectors.select("v").where("v is not null").distinct())
     kinds = "v array<double>, list int, ring int, most double"
     home = pin(asked.mapInArrow(lambda b: visited(b, False), kinds))
-    candidates = home.count() * index.k
-    near = pin(_first(_visit(index, home), index.k, candidates))
+    first = home.count()
+    near = pin(_first(_visit(index, home, first), index.k, first * index.k))
     full = near.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("dist")).alias("d"))  # k numbers each
     bound = full.where(F.col("n") >= k).select("v", F.get("d", F.lit(k - 1)).alias("reached"))
     bounded = asked.join(bound, "v", "left").withColumn("reached", F.coalesce("reached", F.lit(float("inf"))))
     rest = pin(bounded.mapInArrow(lambda b: visited(b, True), kinds))
+    later = rest.count()
     # At most: beyond the distance already reached nothing is handed on.
-    return _first(near.unionByName(_visit(index, rest)), k, candidates + rest.count() * index.k)
+    return _first(near.unionByName(_visit(index, rest, later)), k, (first + later) * index.k)
 
 
 def weighted(found: DataFrame, weights: str) -> DataFrame:

@@ -115,3 +115,18 @@ def test_later_visits_hand_on_no_row_beyond_the_distance_reached(spark, monkeypa
     later = seen[1].collect()
     assert later and all(r.dist <= reached[tuple(r.v)] + 1e-6 for r in later)
     assert found(index, spark, q) == brute(x, q, 5, 2) and len(nearest) == 50
+
+
+def test_visits_of_one_ring_are_dealt_to_many_tasks(spark, monkeypatch):
+    """However many queries meet a ring, a task gets a bounded number of them."""
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(0, 1, (40, 3)), rng.normal(0, 1, (600, 3))
+    index = ni.build_index(rows(spark, x), COLS, "id", "y", 3, lists=1, block_rows=40)
+    for name, value in (("CHUNK", 8), ("HAND", 2), ("TASK_VISITS", 40)):
+        monkeypatch.setattr(ni, name, value, raising=False)
+    seen, visit = [], ni._visit
+    monkeypatch.setattr(ni, "_visit", lambda *a: seen.append(visit(*a)) or seen[-1])
+    assert found(index, spark, q) == brute(x, q, 3, 2)
+    assert index.lists.rings.tolist() == [1]
+    each = seen[0].groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("v").alias("n")).collect()
+    assert sum(r.n for r in each) == 600 and max(r.n for r in each) < 150
