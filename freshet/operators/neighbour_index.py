@@ -35,6 +35,8 @@ BLOCK_ROWS = 2048
 CHUNK = 256
 #: Chunks of a ring that stay together, with one copy of its blocks.
 HAND = 32
+#: Rows that one task sorts by vector.
+TASK_ROWS = 1_000_000
 #: Visits and indexed rows that one task brings together.
 TASK_VISITS = 250_000
 #: Candidates that one task sorts.
@@ -87,6 +89,10 @@ def _salted(df: DataFrame, parts: DataFrame, by: Column) -> DataFrame:
     return df.join(F.broadcast(parts), ["list", "ring"]).withColumn("part", F.pmod(F.xxhash64(by), "parts")).drop("parts")
 
 
+def _tasks(spark: SparkSession, rows: int, each: int) -> int:
+    return max(-(-rows // each), spark.sparkContext.defaultParallelism)
+
+
 def build_index(
     train: DataFrame, features: Sequence[str], train_id: str | Sequence[str], label: str, k: int = 10, p: int = 2,
     lists: int | None = None, block_rows: int = BLOCK_ROWS,
@@ -102,7 +108,9 @@ def build_index(
     own = F.col(f"`{keys[0]}`") if len(keys) == 1 else F.struct(*[F.col(f"`{c}`") for c in keys])
     rows = train.select(own.alias("id"), vector(features).alias("v"), F.col(f"`{label}`").cast("double").alias("y"))
     first = Window.partitionBy("v").orderBy("id", "y")
-    rows = pin(rows.where("v is not null and y is not null").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k).drop("nth"))
+    # Each task sorts its rows to leave out all but k of a vector before they are shuffled, so rows are dealt evenly first: a file's share may hold any number.
+    dealt = rows.where("v is not null and y is not null").repartition(_tasks(train.sparkSession, train.count(), TASK_ROWS), F.xxhash64("id", "v", "y"))
+    rows = pin(dealt.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k).drop("nth"))
     n, width = rows.count(), len(features)
     if not n:
         return None
@@ -142,10 +150,6 @@ def build_index(
     return NeighbourIndex(pin(blocks), of, k, p)
 
 
-def _tasks(spark: SparkSession, rows: int, each: int) -> int:
-    return max(-(-rows // each), spark.sparkContext.defaultParallelism)
-
-
 def _visit(index: NeighbourIndex, visits: DataFrame, n: int) -> DataFrame:
     """Candidates (v, id, dist, label): the nearest rows, not beyond ``most``, of each block that one of ``n`` ``(v, list, ring, most)`` meets."""
     parts, place = _parts(visits, CHUNK), ["list", "ring", "hand"]

@@ -130,3 +130,16 @@ def test_visits_of_one_ring_are_dealt_to_many_tasks(spark, monkeypatch):
     assert index.lists.rings.tolist() == [1]
     each = seen[0].groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("v").alias("n")).collect()
     assert sum(r.n for r in each) == 600 and max(r.n for r in each) < 150
+
+
+def test_rows_are_dealt_evenly_before_they_are_sorted(spark, monkeypatch):
+    """The tasks that sort the labelled rows are as many as the rows need, whatever partitions they come in."""
+    x = np.random.default_rng(10).normal(0, 1, (300, 3))
+    x[::3] = 0.5
+    monkeypatch.setattr(ni, "TASK_ROWS", 10, raising=False)
+    plans, pin = [], ni.pin
+    monkeypatch.setattr(ni, "pin", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or pin(df))
+    index = ni.build_index(rows(spark, x).coalesce(1), COLS, "id", "y", 4)
+    assert "RepartitionByExpression [xxhash64(id" in plans[0] and "], 30" in plans[0]
+    assert index.lists.rows.sum() == 204
+    assert found(index, spark, x[:9]) == brute(x, x[:9], 4, 2)
