@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators.gramian import moments
 from freshet.operators.metrics import evaluate
-from freshet.operators.models import fit_model, get_model, model_registry, score
+from freshet.operators.models import _assemble, best_round, fit_model, get_model, model_registry, score
 from freshet.operators.neighbours import knn_predict, nearest
 from freshet.operators.search import SEARCH_SPACES, draw, search
 from tests.conftest import ntz
@@ -124,6 +124,26 @@ def test_early_stopping(table):
     assert m.model.getNumTrees < 40
 
 
+def test_patience_keeps_the_rounds_up_to_the_lowest_error(table):
+    df, _, _ = table
+    held = df.withColumn("held", F.col("id") % 3 == 0)
+    params = {"max_depth": 2, "learning_rate": 0.1, "subsample": 0.8}
+    whole = fit_model("GradientBoosting", held.filter("not held"), COLS, "y", n_estimators=24, **params)
+    errors = whole.model.evaluateEachIteration(_assemble(held.filter("held"), COLS), "squared")
+    for patience in (2, 30):
+        m = fit_model("GradientBoosting", held, COLS, "y", n_estimators=24, validation_col="held", patience=patience, **params)
+        lowest = best_round(errors, patience)[0]
+        assert m.model.getNumTrees == lowest > 3 and errors[lowest - 1] == min(errors[: lowest + patience])
+    hasty = fit_model("GradientBoosting", held, COLS, "y", n_estimators=24, validation_col="held", **params)
+    assert hasty.model.getNumTrees < lowest
+
+
+def test_best_round():
+    nan = float("nan")
+    assert best_round([3, 2, 2, 2.5, 1], 2) == (2, True) and best_round([3, 2, 2, 2.5, 1], 3) == (5, False)
+    assert best_round([3, 2, 4], 2) == (2, False) and best_round([1], 5) == (1, False) and best_round([nan] * 4, 2) == (1, True)
+
+
 def brute_knn(train, test, y, k, p, weights):
     out = []
     for q in test:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from freshet.config import FeatureConfig, PipelineConfig, SampleMode, SplitConfig, SplitStrategy, TuningConfig
 from freshet.operators import climatology as clim
-from freshet.operators.models import ModelEntry, get_model
+from freshet.operators.models import ModelEntry, fit_model, get_model
 from freshet.operators.quality import CheckFailed
 from freshet.operators.sampling import exact_sample, hash_sample, sample_entities
+from freshet.plans import catalogue, legacy
 from freshet.plans.experiment import ExperimentRunner, base_table, grid_coverage, region_run
 from freshet.plans.legacy import feature_target_table, grid_search
 from freshet.runtime import pin, shared_folder
@@ -173,6 +174,21 @@ def test_legacy(spark, pixels, tmp_path):
     assert grid_search(base, (2,), (1,), SplitConfig(train_end="2030-01-01", val_end="2031-01-01")).count() == 0
 
 
+def test_legacy_grid_is_whole(spark, pixels, monkeypatch):
+    """The registered query fits every pair with the registry's rounds and depth, and waits before it stops."""
+    asked, fits = [], []
+    series = pixels.select("pixel_id", "time", F.col("tp").alias("precipitation"))
+    base = feature_target_table(series, clim.climatology(pixels, "tp", levels={"p95": 0.95}), (2,), (1,))
+    monkeypatch.setattr(catalogue.src, "daily_series", lambda *a: pixels)
+    monkeypatch.setattr(legacy, "grid_search", lambda b, p, q, split, **params: asked.append((p, q, params)) or b)
+    catalogue.QUERIES["legacy_grid"](spark, "")
+    assert asked == [((3, 6), (1, 3), {})]
+    monkeypatch.setattr(legacy, "fit_model", lambda *a, **params: fits.append(params) or fit_model("DummyMean", *a[1:]))
+    with pytest.raises(AttributeError):  # a mean has no trees
+        grid_search(base, (2,), (1,), SPLIT)
+    assert fits == [{"validation_col": "_held", "patience": 20}]
+
+
 def test_region_samples_run_the_grid(spark, pixels, tmp_path):
     more = pixels.union(pixels.select(*[(F.col(c) + 100).alias(c) if c == "pixel_id" else (F.col(c) * 2).alias(c) if c == "tp" else F.col(c) for c in pixels.columns]))
     zones = more.withColumn("zone", F.when(F.col("pixel_id") < 100, "low").when(F.col("pixel_id") < 102, "high"))
