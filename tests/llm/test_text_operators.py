@@ -442,6 +442,101 @@ def test_characters_of_one_class_count_apart(spark):
     assert quality.symbols(["ア\u3000、😀"])[0].tolist() == [63, 29, 64, 64]
 
 
+def _recursion(good, model, order=quality.ORDER):
+    """Cost of the character that ends a text's n-gram, by the formula over characters as they are."""
+    counts = [collections.Counter()]
+    for t in good:
+        for i in range(len(t)):
+            counts[0][("",) * max(0, order - 1 - i) + tuple(t[max(0, i - order + 1) : i + 1])] += 1
+    for _ in range(order - 1):
+        counts.append(collections.Counter(g[1:] for g in counts[-1]))
+    classes, alone, table = model.dense(), model.own(), quality._symbol_table()
+    of = []
+    for c in counts:
+        k = collections.Counter(c.values())
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] and k[2] else None
+        raw = (0.5, 0.75, 0.9) if y is None else (1 - 2 * y * k[2] / k[1], 2 - 3 * y * k[3] / k[2], 3 - 4 * y * k[4] / k[3] if k[3] else 1.5)
+        of.append(raw if y is None else [min(max(d, 0.05), 0.95 + i) for i, d in enumerate(raw)])
+
+    def p(gram, level, last):
+        if level == order:
+            return last
+        own = {g: n for g, n in counts[level].items() if g[:-1] == gram[:-1]}
+        lower = p(gram[1:], level + 1, last)
+        if not own:
+            return lower
+        taken = {g: of[level][min(n, 3) - 1] for g, n in own.items()}
+        return (own.get(gram, 0) - taken.get(gram, 0) + sum(taken.values()) * lower) / sum(own.values())
+
+    def perplexity(t):
+        total = 0.0
+        for i, c in enumerate(t):
+            gram = ("",) * max(0, order - 1 - i) + tuple(t[max(0, i - order + 1) : i + 1])
+            code = 0
+            for x in gram:
+                code = code * quality.SYMBOLS + (int(table[ord(x)]) if x else 0)
+            total -= np.log2(p(gram, 0, 2.0 ** -float(classes[code] + alone[ord(c)])))
+        return 2 ** (total / len(t))
+
+    return perplexity
+
+
+def test_contexts_are_characters(spark):
+    good = ["слово и дело", "Élan été ÉTÉ", "日本語。日本", "abba cab", "дело 12 дело 13", "", "a"]
+    model = quality.fit(spark.createDataFrame([(t,) for t in [*good, None]], "text string"))
+    want = _recursion(good, model)
+    texts = ["слово и дело", "овлос и ледо", "été", "日本", "本日", "Дело 21", "\U0001f600x\x00", "a", "", None, "слово и дело"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(docs, model).collect()}
+    assert len(got) == len(texts) and got[8] is None and got[9] is None and got[0] == got[10]
+    for d, t in enumerate(texts):
+        assert not t or np.isclose(got[d], want(t), rtol=1e-4), (t, got[d], want(t))
+    # All of these letters are of one class: only their order tells the texts apart.
+    assert got[1] > 2 * got[0] and got[4] > got[3]
+
+
+def test_grams_of_any_alphabet(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.choice((97, 98, 0x430 + rng.randrange(30), 0x4E00 + rng.randrange(200)))) for _ in range(n)) for n in (0, 1, 2, 300, 70)]
+    want = collections.Counter()
+    for t in texts:
+        points = [0, 0, 0, *(ord(c) + 1 for c in t)]
+        want.update(tuple(points[i : i + 4]) for i in range(len(t)))
+    for largest in (quality.LARGEST, 20):
+        monkeypatch.setattr(quality, "LARGEST", largest)
+        context, own, offsets = quality.character_grams(texts)
+        got = collections.Counter()
+        found = quality.distinct_grams(context, own, 4)
+        for c, o, n in zip(*(x.tolist() for x in found)):
+            got[(c >> 42, c >> 21 & quality._MASK, c & quality._MASK, o)] += n
+        assert got == want and offsets.tolist() == [0, 0, 1, 3, 303, 373]
+        costs = quality.look_up(context, own, 4, (found[0], found[1], found[0] * 0.5 + found[1]))
+        assert (costs == context * 0.5 + own).all()
+        with pytest.raises(RuntimeError, match="no cost"):
+            quality.look_up(context, own, 4, tuple(x[1:] for x in (*found[:2], found[0])))
+
+
+def test_blocks_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 10)
+    rows = [(i, t) for i, t in enumerate(["aaaa", "bbbb", "", None, "cccccccccccccccc", "dddd", "ддддд", "e", "x" * 30, ""])]
+    batches = lambda k: [pa.RecordBatch.from_pydict({"id": [a for a, _ in rows[i : i + k]], "text": pa.array([b for _, b in rows[i : i + k]], pa.string())}) for i in range(0, len(rows), k)]
+    for k in (1, 3, 10):
+        blocks = list(quality._blocks(iter(batches(k))))
+        held = [pa.ipc.open_stream(data).read_all().to_pylist() for _, data, _ in blocks]
+        assert [(r["id"], r["text"]) for b in held for r in b] == rows
+        assert all(len(b) == 1 or sum(len((r["text"] or "").encode()) for r in b) <= 10 for b in held)
+        assert [[r["text"] for r in b] for b in held] == [texts for *_, texts in blocks]
+        assert [b[0] for b in blocks] == [b[0] for b in quality._blocks(iter(batches(k)))]
+
+
+def test_marks_lose_no_trusted_text(spark):
+    ids = [*range(-20, 400), None, 1 << 60]
+    docs = spark.createDataFrame([(d, f"t{d}") for d in ids] + [(7, "again")], "doc_id long, text string")
+    good = spark.createDataFrame([(d,) for d in ids if d is None or d % 3 == 1], "_good long")
+    got = sorted((r.doc_id, r.text) for r in quality.trusted_texts(docs, good).collect())
+    assert got == sorted([(d, f"t{d}") for d in ids if d is not None and d % 3 == 1] + [(7, "again")])
+
+
 # --- 7 language ------------------------------------------------------------------------------
 
 
